@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -33,7 +34,12 @@ from pyspark.sql import types as T
 from barloom.llm.common import row_slices
 
 #: States and remembered segments kept by a worker; beyond that nothing new is kept.
-MAX_STATES, MAX_SEGMENTS = 1_000_000, 700_000
+MAX_STATES, MAX_SEGMENTS = 600_000, 900_000
+#: Segments that are letters with marks behind, kept besides: they are rebuilt from their parts.
+MAX_MARKED = 200_000
+#: Bytes of one kept move.
+STRIDE = 4
+MARKED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,6 +66,7 @@ class Transducer:
         self.states = [first]
         self.numbers = {first: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.strides: dict[tuple[int, bytes], tuple[int, tuple[int, ...]]] = {}
 
     def _split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made ``token``; None for a single byte."""
@@ -142,16 +149,30 @@ class Transducer:
         return move
 
     def encode(self, data: bytes) -> list[int]:
-        """Token ids of one pre-token."""
+        """Token ids of one pre-token.
+
+        Moves over ``STRIDE`` bytes at once are kept as well, as moves of the
+        same transducer: most pre-tokens take a few of them.
+        """
         if len(self.states) > self.max_states:
             self._reset()
         out: list[int] = []
-        at, moves = 0, self.moves
-        for byte in data:
-            move = moves.get(at << 8 | byte) or self._move(at, byte)
-            at = move[0]
-            if move[1]:
-                out += move[1]
+        at, moves, strides = 0, self.moves, self.strides
+        for k in range(0, len(data), STRIDE):
+            piece = data[k : k + STRIDE]
+            stride = strides.get((at, piece))
+            if stride is None:
+                begin, tokens = at, ()
+                for byte in piece:
+                    move = moves.get(at << 8 | byte) or self._move(at, byte)
+                    at = move[0]
+                    tokens += move[1]
+                if len(strides) < self.max_states:
+                    strides[begin, piece] = (at, tokens)
+            else:
+                at, tokens = stride
+            if tokens:
+                out += tokens
         out += self.states[at][1][-1][1]
         return out
 
@@ -199,22 +220,43 @@ class ByteBpe:
         self.odd = regex.compile(r" \s| $")
         self.max_segments = max_segments
         self.seen: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.marked = 0
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             self.tokens[i] = token
         self.decimals = [b"%d" % i for i in range(len(self.tokens))]
 
     def _segment(self, text: str) -> bytes:
-        matches, found, ids = self.matches, [], None
+        ids: list[int] = []
         for match in self.pattern.findall(text):
-            ids = matches.get(match)
-            if ids is None:
-                ids = array("I", self.machine.encode(match.encode("utf-8", "surrogatepass"))).tobytes()
-                if len(matches) < self.max_segments:
-                    matches[match] = ids
-            found.append(ids)
-        return ids if len(found) == 1 else b"".join(found)
+            ids += self.machine.encode(match.encode("utf-8", "surrogatepass"))
+        return array("I", ids).tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        """Ids of a segment not seen yet (``word`` behind one space)."""
+        seen = self.seen
+        if word.isalpha():
+            ids = array("I", self.machine.encode(b" " + word.encode("utf-8", "surrogatepass"))).tobytes()
+        elif (parts := MARKED.fullmatch(word)) and parts[1].isalpha():
+            head, marks = parts.groups()  # the pattern always cuts between letters and marks
+            ids = (seen.get(head) or self._learn(head)) + self._marks(marks)
+            if self.marked >= MAX_MARKED:
+                return ids
+            self.marked += 1
+        else:
+            ids = self._segment(" " + word)
+        if len(seen) < self.max_segments:
+            seen[word] = ids
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self._segment(marks)
+            if len(self.tails) < 10_000:
+                self.tails[marks] = ids
+        return ids
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -227,9 +269,7 @@ class ByteBpe:
         for word in rest:
             ids = seen.get(word)
             if ids is None:
-                ids = self._segment(" " + word)
-                if len(seen) < self.max_segments:
-                    seen[word] = ids
+                ids = self._learn(word)
             found.append(ids)
         return b"".join(found)
 
