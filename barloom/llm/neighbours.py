@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from barloom.llm.common import written
 
 #: Vectors for each part, and rows of a block, at most.
-PER_PART, MAX_PARTS, BLOCK = 1500, 256, 4096
+PER_PART, MAX_PARTS, BLOCK = 4096, 256, 4096
 
 
 @dataclass
