@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.functions.windows import SERIES, TS, gated, ordered, trailing
 
@@ -206,7 +207,7 @@ def is_trending(adx: DataFrame, least: float = 25.0) -> DataFrame:
 def audit_lookahead(bars: DataFrame, compute: Callable[[DataFrame], DataFrame], columns: tuple[str, ...] = FEATURES, tolerance: float = 1e-9) -> DataFrame:
     """(series_id, column) whose value at a probe row changes when later rows are
     hidden. The probe is each series' middle bar."""
-    counted = with_bar_no(bars).withColumn("_n", F.count("*").over(ordered().rowsBetween(-(1 << 40), 1 << 40)))
+    counted = with_bar_no(bars).withColumn("_n", F.count("*").over(Window.partitionBy(SERIES)))
     probe = counted.where(F.col("bar_no") == F.floor(F.col("_n") / 2) + 1).select(SERIES, F.col(TS).alias("probe"))
     prefix = bars.join(probe.hint("shuffle_hash"), SERIES).where(F.col(TS) <= F.col("probe")).drop("probe")
     long = lambda df, name: df.join(probe.hint("shuffle_hash"), SERIES).where(F.col(TS) == F.col("probe")).select(SERIES, F.explode(F.create_map(*[v for c in columns for v in (F.lit(c), F.col(c))])).alias("column", name))

@@ -1,4 +1,6 @@
 """All base queries by name, with the SQL that states their result."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from barloom.plans import indicator_queries, report_queries
+
+QUERIES: dict = {**report_queries.QUERIES, **indicator_queries.QUERIES}
+ORACLE_SQL: dict = {**report_queries.SQL, **indicator_queries.SQL}

@@ -18,7 +18,9 @@ WIDTHS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hou
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table of the folder; timestamps without a zone are read in the session's."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.select(*[F.col(f"`{n}`").cast("timestamp").alias(n) if kind == "timestamp_ntz" else F.col(f"`{n}`") for n, kind in df.dtypes])
 
 
 def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
