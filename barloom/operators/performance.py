@@ -17,11 +17,14 @@ from barloom.functions.windows import SERIES, TS, ordered, running, trailing
 YEAR = 252
 K = (SERIES,)
 
-#: Named spans, both ends included. Fixed values.
+#: Named crisis spans, both ends included. Fixed values.
 CRISES = {
-    "early": ("1992-06-01", "1993-03-31"),
-    "middle": ("1994-02-01", "1994-12-31"),
-    "late": ("1997-07-01", "1998-02-28"),
+    "gfc_2008": ("2007-10-01", "2009-06-30"),
+    "euro_2011": ("2011-07-01", "2011-12-31"),
+    "china_2015": ("2015-08-01", "2016-02-29"),
+    "q4_2018": ("2018-10-01", "2018-12-31"),
+    "covid_2020": ("2020-02-15", "2020-04-30"),
+    "bear_2022": ("2022-01-01", "2022-10-31"),
     "full": ("1900-01-01", "2999-12-31"),
 }
 

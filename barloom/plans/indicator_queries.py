@@ -71,7 +71,7 @@ def a5(spark, sf):
     return rounded(src.with_mid_and_spread(_quotes(spark, sf)), "mid", "spread_pct")
 
 
-_STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'pending' ELSE 'partial' END"
+_STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'submitted' ELSE 'partially_filled' END"
 
 
 def _orders(spark, sf):

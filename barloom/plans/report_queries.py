@@ -22,6 +22,8 @@ from barloom.sources import bars as src
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 CAPITAL = 100_000.0
+#: Spans inside the tick table's dates.
+SPANS = {"early": ("1992-06-01", "1993-03-31"), "middle": ("1994-02-01", "1994-12-31"), "late": ("1997-07-01", "1998-02-28"), "full": ("1900-01-01", "2999-12-31")}
 
 
 def query(name: str, sql: str | None = None):
@@ -284,14 +286,14 @@ def g13(spark, sf):
 @query(
     "g17_crisis_slices",
     with_(
-        DAMPED + ", spans(slice, lo, hi) AS (VALUES " + ", ".join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, (a, b) in perf.CRISES.items()) + f"""),
+        DAMPED + ", spans(slice, lo, hi) AS (VALUES " + ", ".join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, (a, b) in SPANS.items()) + f"""),
 ins AS (SELECT d.series_id, slice, ts, ret, product(1 + ret) OVER {sql_running('d.series_id, slice')} AS e FROM damped d JOIN spans ON ts >= lo AND ts <= hi),
 dd AS (SELECT *, e / greatest(max(e) OVER {sql_running('series_id, slice')}, 1.0) - 1 AS dd FROM ins)""",
         f"SELECT series_id, slice, count(*) AS bars, round(arg_max(e, ts) - 1, 6) AS total_return, round({SHARPE}, 6) AS sharpe, round(min(dd), 6) AS max_drawdown FROM dd GROUP BY 1, 2 HAVING count(*) >= 2",
     ),
 )
 def g17(spark, sf):
-    return perf.crisis_slices(damped(spark, sf)).select("series_id", "slice", "bars", *[F.round(c, 6).alias(c) for c in ("total_return", "sharpe", "max_drawdown")])
+    return perf.crisis_slices(damped(spark, sf), SPANS).select("series_id", "slice", "bars", *[F.round(c, 6).alias(c) for c in ("total_return", "sharpe", "max_drawdown")])
 
 
 @query("f7_equity_from_weights", with_(TREND, "SELECT series_id, ts, round(net, 6) AS net, round(equity, 2) AS equity FROM eq"))

@@ -89,18 +89,18 @@ def latest_snapshot(trades: DataFrame, quotes: DataFrame, bars: DataFrame) -> Da
     return joined.select("series_id", zero(F.col("price")).alias("price"), zero(F.col("q.bid")).alias("bid"), zero(F.col("q.ask")).alias("ask"), zero(F.col("close")).alias("daily_close"))
 
 
-#: Broker words for an order's state and the six states kept. Fixed values.
+#: Broker words for an order's state and the state kept. Fixed values.
 STATUS = {
-    "new": "pending",
-    "accepted": "pending",
+    "new": "submitted",
+    "accepted": "submitted",
     "pending_new": "pending",
-    "accepted_for_bidding": "pending",
-    "held": "pending",
-    "partially_filled": "partial",
+    "accepted_for_bidding": "submitted",
     "filled": "filled",
+    "partially_filled": "partially_filled",
     "canceled": "cancelled",
     "cancelled": "cancelled",
-    "expired": "expired",
+    "expired": "cancelled",
+    "done_for_day": "cancelled",
     "rejected": "rejected",
     "suspended": "rejected",
 }
@@ -115,7 +115,7 @@ def normalise_status(status: Column) -> Column:
 
 def order_history(orders: DataFrame, state: str = "all", limit: int | None = None) -> DataFrame:
     """Orders that are open, closed or all, newest first; null numbers are 0."""
-    done = F.col("status").isin("filled", "cancelled", "expired", "rejected")
+    done = F.col("status").isin("filled", "cancelled", "rejected")
     if state != "all":
         orders = orders.where(done if state == "closed" else ~done)
     numbers = [n for n, kind in orders.dtypes if kind in ("double", "float", "int", "bigint") and n != "order_id"]
