@@ -88,7 +88,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: n
     values = []
     for found in rows:
         v = ratio[found]
-        values.append(v / (np.sqrt(np.square(v).sum()) or 1.0))
+        values.append((v / (np.sqrt(np.square(v).sum()) or 1.0)).astype(np.float32))
     weight, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(seed)
     for _ in range(sweeps):
@@ -161,8 +161,9 @@ def train_quality(documents: DataFrame, labels: DataFrame, learn: Column | None
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
 
     got = texts.mapInArrow(run, "doc_id long, label int, found binary").orderBy("doc_id", "label", "found").limit(4 * max_rows).toArrow()
-    rows = [np.frombuffer(x, "<i4").astype(np.int64) for x in got["found"].to_pylist()]
-    return fit(rows, got["label"].to_pylist())
+    rows, marked = [np.frombuffer(x, "<i4") for x in got["found"].to_pylist()], got["label"].to_pylist()
+    del got  # the driver holds the sample's features once
+    return fit(rows, marked)
 
 
 def score_quality(documents: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
