@@ -364,7 +364,7 @@ def reconcile(own: DataFrame, broker: DataFrame, keys: Sequence[str] = (SERIES,)
 def holding_bars(bars: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:
     """Bars since a position was entered; 0 where none is held."""
     flag = F.when((F.col("held") > 0) & (F.coalesce(F.lag("held").over(ordered(keys)), F.lit(0.0)) <= 0), 1).otherwise(0)
-    df = bars.withColumn("_seg", F.sum(flag).over(running(keys))) if False else bars.withColumn("_flag", flag)
+    df = bars.withColumn("_flag", flag)
     df = df.withColumn("_seg", F.sum("_flag").over(running(keys)))
     n = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(TS)) - 1
     return df.withColumn("holding_bars", F.when(F.col("held") > 0, n).otherwise(0)).drop("_flag", "_seg")
