@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import row_slices, written
+from barloom.llm.common import row_slices, shuffle_partitions, written
 from barloom.llm.components import components
 from barloom.llm.shingles import drawn, mixed, shingle_sets, signature
 
@@ -82,7 +82,7 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def confirmed(ids: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def confirmed(ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links of a cell that join its nodes: close pairs, closest first."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
@@ -134,9 +134,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     chains = keys.join(shared.hint("shuffle_hash"), "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     groups = components(chains, name="candidates")
 
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    placed = groups.join(sizes.hint("shuffle_hash"), "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.hash("node"), "blocks")).select("node", "component", "block", "blocks")
+    # only components of several blocks need their number of blocks; they are few, and salted, as one may hold a third of all nodes
+    salts = shuffle_partitions(documents.sparkSession)
+    large = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = groups.withColumn("salt", F.pmod(F.hash("node"), F.lit(salts)))
+    placed = salted.join(large.hint("shuffle_hash"), ["component", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).select("node", "component", "block", "blocks")
     wanted = placed.join(nodes.hint("shuffle_hash"), "node")
     # texts of candidates once more: their full sets are not worth storing for all documents
     texts = documents.select(F.col("doc_id").alias("rep"), "text").join(wanted.hint("shuffle_hash"), "rep")
@@ -145,24 +149,25 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         for part in row_slices(batches, "text"):
             sets = shingle_sets(part.column("text").to_pylist(), words)
             same = pa.array([_set_key(s) == k for s, k in zip(sets, part.column("set_key").to_pylist(), strict=True)])
-            names = ["node", "component", "block", "blocks", "sig"]
+            names = ["node", "rep", "component", "block", "blocks", "sig"]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"]).filter(same)
 
-    full = texts.mapInArrow(full_sets, "node long, component long, block int, blocks int, sig binary, shingles binary")
+    full = texts.mapInArrow(full_sets, "node long, rep long, component long, block int, blocks int, sig binary, shingles binary")
     cells = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("node", "component", "block", "sig", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    cells = cells.select("node", "rep", "component", "block", "sig", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def links_of(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.drop_duplicates("node").sort_values("node")
         sigs = np.frombuffer(b"".join(cell["sig"]), np.uint16).reshape(len(cell), -1)
         sets = [np.frombuffer(s, np.uint64) for s in cell["shingles"]]
-        found = confirmed(cell["node"].to_numpy(), cell["block"].to_numpy(), sigs, sets, percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    links = cells.groupBy("component", "low", "high").applyInPandas(links_of, "a long, b long")
-    classes = components(links, name="classes").join(nodes.select("node", "rep").hint("shuffle_hash"), "node")
-    lowest = classes.groupBy("component").agg(F.min("rep").alias("lowest"))
-    classes = classes.join(lowest.hint("shuffle_hash"), "component").select("node", "lowest")
+        found = np.array(confirmed(np.arange(len(cell)), sigs, sets, percent), np.int64).reshape(-1, 2)
+        ids, reps = cell["node"].to_numpy(), cell["rep"].to_numpy()
+        return pd.DataFrame({f"{what}_{side}": of[found[:, i]] for i, side in enumerate("ab") for what, of in (("rep", reps), ("node", ids))})
+
+    links = cells.groupBy("component", "low", "high").applyInPandas(links_of, "rep_a long, node_a long, rep_b long, node_b long")
+    # a node under its smallest doc_id: the smallest node of a class then names the class
+    ends = [F.struct(F.col(f"rep_{side}").alias("rep"), F.col(f"node_{side}").alias("node")).alias(side) for side in "ab"]
+    classes = components(links.select(*ends), name="classes").select("node.node", F.col("component.rep").alias("lowest"))
     of_set = nodes.join(classes.hint("shuffle_hash"), "node", "left").select("set_key", F.coalesce("lowest", "rep").alias("lowest"))
     # a text's copies may be a third of all rows: one row on the right for each set, so a skewed left side can be split
     linked = real.join(of_set.hint("shuffle_hash"), "set_key", "left").select("doc_id", "n_shingles", F.col("lowest").alias("component_id"))
