@@ -281,11 +281,13 @@ def inject_shocks(bars: DataFrame, events: DataFrame) -> DataFrame:
 
 def replay_allocation(signals: DataFrame, capital: float = 100_000.0, threshold: float = 0.10, base: float = 0.0005, coefficient: float = 0.0, reentry: int = 0, floor: float = 0.25, keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
     """The feedback loop in one fold per group: return, posture, target, hysteresis,
-    slippage. Needs ret, target (before posture), natr and calm."""
+    slippage. Needs ret, target (before posture), natr and calm. Columns ``floor``
+    and ``reentry``, constant in a group, take the place of the arguments."""
 
     def fold(g: pd.DataFrame) -> dict[str, np.ndarray]:
         n = len(g)
         ret, want, natr, calm = g["ret"].to_numpy(float), g["target"].to_numpy(float), np.nan_to_num(g["natr"].to_numpy(float)), g["calm"].to_numpy(bool)
+        least, calm_bars = (g[c].iloc[0] if c in g else default for c, default in (("floor", floor), ("reentry", reentry)))
         equity, held, peak, streak, recent = capital, 0.0, capital, 0, []
         curve, weights, postures, moves = np.empty(n), np.empty(n), np.empty(n, np.int32), np.zeros(n, bool)
         for i in range(n):
@@ -297,13 +299,13 @@ def replay_allocation(signals: DataFrame, capital: float = 100_000.0, threshold:
             severity = HALTED if gross <= -0.03 or five <= -0.07 else REDUCED if gross <= -0.02 or five <= -0.05 else NORMAL
             if peak > 0 and (peak - equity) / peak >= 0.10:
                 streak = streak + 1 if calm[i] else 0
-                if reentry and streak >= reentry:
+                if calm_bars and streak >= calm_bars:
                     peak, streak = equity, 0
                 else:
                     severity = HALTED
             else:
                 streak = 0
-            target = want[i] * (floor if severity == HALTED else 0.5 if severity == REDUCED else 1.0)
+            target = want[i] * (least if severity == HALTED else 0.5 if severity == REDUCED else 1.0)
             if abs(target - held) >= threshold or target == 0 and held > 0:
                 equity *= 1 - abs(target - held) * (base + coefficient * max(0.0, natr[i]))
                 held, moves[i] = target, True

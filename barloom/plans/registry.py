@@ -1,6 +1,6 @@
 """All base queries by name, with the SQL that states their result."""
 
-from barloom.plans import indicator_queries, report_queries
+from barloom.plans import decision_queries, indicator_queries, report_queries
 
-QUERIES: dict = {**report_queries.QUERIES, **indicator_queries.QUERIES}
-ORACLE_SQL: dict = {**report_queries.SQL, **indicator_queries.SQL}
+QUERIES: dict = {**report_queries.QUERIES, **indicator_queries.QUERIES, **decision_queries.QUERIES}
+ORACLE_SQL: dict = {**report_queries.SQL, **indicator_queries.SQL, **decision_queries.SQL}
