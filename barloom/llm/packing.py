@@ -16,6 +16,7 @@ longer than a sequence are cut.
 from __future__ import annotations
 
 import bisect
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -73,10 +74,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
         return times
 
     use((capacity,))
-    # pair sums of lengths: sum -> a few length pairs; triples are looked up as one length and a pair
+    # pair sums of lengths: sum -> the smaller length of each pair, as numbers, not objects (there may be
+    # capacity^2 / 4 pairs); triples are looked up as one length and a pair
     order = sorted(left)
     for gap_parts in (1, 2, 3):
-        pairs: dict[int, list[tuple[int, int]]] = {}
+        pairs: dict[int, array] = {}
         if gap_parts > 1:
             present = sorted(left)
             for i, a in enumerate(present):
@@ -84,7 +86,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
                     if a + b >= capacity:
                         break
                     if a != b or left[a] > 1:
-                        pairs.setdefault(a + b, []).append((a, b))
+                        if a + b not in pairs:
+                            pairs[a + b] = array("I")
+                        pairs[a + b].append(a)
         for big in reversed(order):
             while left.get(big):
                 gap, done = capacity - big, 0
@@ -92,19 +96,20 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
                     if left.get(gap, 0):
                         done = use((big, gap))
                 elif gap_parts == 2:
-                    options = pairs.get(gap, [])
+                    options = pairs.get(gap, ())
                     while options and not done:
-                        done = use((big, *options[-1]))
+                        done = use((big, options[-1], gap - options[-1]))
                         if not done:
                             options.pop()
                 else:
                     for c in reversed(present[: bisect.bisect_right(present, gap)]):
                         if c not in left:
                             continue
-                        options = pairs.get(gap - c, [])
+                        options = pairs.get(gap - c, ())
                         while options and not done:
-                            if all(x in left for x in options[-1]):
-                                done = use((big, c, *options[-1]))
+                            a, b = options[-1], gap - c - options[-1]
+                            if a in left and b in left:
+                                done = use((big, c, a, b))
                                 if not done:
                                     break
                             else:
