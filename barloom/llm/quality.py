@@ -84,21 +84,23 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, smooth: float =
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, cost: np.ndarray, sweeps: int, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise |w|^2/2 + sum cost * hinge, by its dual."""
-    values = []
-    for found in rows:
-        v = ratio[found]
-        values.append((v / (np.sqrt(np.square(v).sum()) or 1.0)).astype(np.float32))
+    """Weights and bias that minimise |w|^2/2 + sum cost * hinge, by its dual.
+
+    The weights come times the ratio, so that no row's values are stored: a
+    row's margin is a sum of weights at its features, over the row's length.
+    """
+    square = np.square(ratio)
+    scale = [1.0 / (np.sqrt(square[found].sum()) or 1.0) for found in rows]
     weight, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(seed)
     for _ in range(sweeps):
         largest = 0.0
         for i in order.permutation(len(rows)):
-            gradient = labels[i] * (weight[rows[i]] @ values[i] + bias) - 1.0
+            gradient = labels[i] * (weight[rows[i]].sum() * scale[i] + bias) - 1.0
             changed = min(max(alpha[i] - gradient / 2.0, 0.0), cost[i])  # |x|^2 is 1, and 1 for the bias
             step = (changed - alpha[i]) * labels[i]
             if step:
-                weight[rows[i]] += step * values[i]
+                weight[rows[i]] += step * scale[i] * square[rows[i]]
                 bias += step
                 alpha[i] = changed
                 largest = max(largest, abs(step))
@@ -117,7 +119,7 @@ def fit(rows: list[np.ndarray], labels: list[int], cost: float = 1.0, sweeps: in
         ratio = log_count_ratio(some, own)
         balance = np.where(own > 0, len(own) / max(1, 2 * (own > 0).sum()), len(own) / max(1, 2 * (own < 0).sum()))
         weight, bias = dual_coordinate_descent(some, own, ratio, cost * balance, sweeps, seed)
-        return ratio, weight * ratio, bias
+        return ratio, weight, bias
 
     held = np.arange(len(y)) % 5 == 0
     slope, offset = 3.0, 0.0
@@ -161,9 +163,9 @@ def train_quality(documents: DataFrame, labels: DataFrame, learn: Column | None
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
 
     got = texts.mapInArrow(run, "doc_id long, label int, found binary").orderBy("doc_id", "label", "found").limit(4 * max_rows).toArrow()
-    rows, marked = [np.frombuffer(x, "<i4") for x in got["found"].to_pylist()], got["label"].to_pylist()
-    del got  # the driver holds the sample's features once
-    return fit(rows, marked)
+    # views of the Arrow buffers: the driver holds the sample's features once
+    rows = [np.frombuffer(x.as_buffer(), "<i4") for x in got["found"]]
+    return fit(rows, got["label"].to_pylist())
 
 
 def score_quality(documents: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
