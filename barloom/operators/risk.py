@@ -266,6 +266,24 @@ def equity_from_weights(weights: DataFrame, capital: float, base: float = 0.0005
     return df.withColumn("equity", capital * F.product(1 + F.col("net")).over(running(keys)))
 
 
+def replay_portfolio(names: DataFrame, capital: float, base: float = 0.0005, most: int = 5, keys: Sequence[str] = ("portfolio",)) -> DataFrame:
+    """Equity of portfolios whose budget is split equally over the first names.
+
+    A row of ``names`` is a name on a bar: series_id, ts, ret, priority, and the
+    portfolio's budget and cap. Names beyond ``most`` weigh nothing, as do all
+    names on a bar without a budget. Names are summed by bar before the running
+    product, so that its window holds a row for each bar only.
+    """
+    bar = Window.partitionBy(*keys, TS)
+    chosen = (F.row_number().over(bar.orderBy("priority", SERIES)) <= most) & (F.col("budget") > 0)
+    df = names.withColumn("_in", F.coalesce(chosen, F.lit(False)).cast("int"))
+    df = df.withColumn("weight", F.when(F.col("_in") == 1, F.least(F.col("budget") / F.sum("_in").over(bar), F.col("cap"))).otherwise(0.0))
+    before = F.coalesce(F.lag("weight").over(ordered([*keys, SERIES])), F.lit(0.0))
+    df = df.withColumn("_before", before).groupBy(*keys, TS).agg(F.sum(F.col("_before") * F.col("ret")).alias("gross"), F.sum(F.abs(F.col("weight") - F.col("_before"))).alias("turnover"))
+    df = df.withColumn("net", (1 + F.coalesce("gross", F.lit(0.0))) * (1 - base * F.col("turnover")) - 1)
+    return df.withColumn("equity", capital * F.product(1 + F.col("net")).over(running(keys)))
+
+
 def inject_shocks(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Bars of every scenario, with prices scaled from each event's bar onward.
 

@@ -310,6 +310,33 @@ def g18(spark, sf):
 _CHANGES = _STATES + f", cb AS (SELECT *, row_number() OVER ({S}) AS n, last_value(CASE WHEN consecutive_bars >= 3 THEN state_id END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bef0 FROM runs), fl AS (SELECT series_id, ts, sum(c) OVER {frame(19)} > 4 AS hot FROM flags), "
 
 
+# --- portfolios -------------------------------------------------------------
+
+_CAPS = (0.15, 0.25, 0.35)
+
+
+@query(
+    "f9_replay_portfolio",
+    with_(
+        TREND
+        + f""",
+c(cap) AS (VALUES {", ".join(f"({x}e0)" for x in _CAPS)}),
+b AS (SELECT ts, CAST(weight AS DOUBLE) AS budget FROM trend WHERE series_id = 'N'),
+n AS (SELECT cap, t.series_id, t.ts, ret, coalesce(budget, 0) AS budget, row_number() OVER (PARTITION BY cap, t.ts ORDER BY t.series_id) AS k, count(*) OVER (PARTITION BY cap, t.ts) AS names FROM trend t LEFT JOIN b ON b.ts = t.ts CROSS JOIN c),
+w AS (SELECT *, CASE WHEN budget > 0 AND k <= 2 THEN least(budget / least(names, 2), cap) ELSE 0 END AS weight FROM n),
+l AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY cap, series_id ORDER BY ts), 0) AS prior FROM w),
+g AS (SELECT cap, ts, (1 + sum(prior * ret)) * (1 - 0.0005e0 * sum(abs(weight - prior))) - 1 AS net FROM l GROUP BY 1, 2)""",
+        "SELECT cap, ts, round(net, 6) AS net, round(100000 * product(1 + net) OVER (PARTITION BY cap ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS equity FROM g",
+    ),
+)
+def f9(spark, sf):
+    weights = perf.trend_weights(damped(spark, sf))
+    budget = weights.where("series_id = 'N'").select("ts", F.col("weight").cast("double").alias("budget"))
+    names = weights.select("series_id", "ts", "ret", F.col("series_id").alias("priority")).join(budget.hint("shuffle_hash"), "ts", "left")
+    names = names.withColumn("cap", F.explode(F.array(*[F.lit(x) for x in _CAPS])))
+    return risk.replay_portfolio(names, CAPITAL, most=2, keys=("cap",)).select("cap", "ts", F.round("net", 6).alias("net"), F.round("equity", 2).alias("equity"))
+
+
 @query(
     "j1_alert_candidates",
     with_(

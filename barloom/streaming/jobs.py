@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.operators.risk import HALTED, NORMAL, REDUCED
 from barloom.sources.bars import WIDTHS, with_mid_and_spread
 
 
@@ -72,6 +73,70 @@ def stream_ledger(fills: DataFrame) -> DataFrame:
     return fills.groupBy("series_id").applyInPandasWithState(step, "series_id string, fill_id string, held double, avg_price double, realized double", "held double, avg_price double", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_breaker(equity: DataFrame) -> DataFrame:
+    """Latched posture of each bar of an equity stream (series_id, ts, ret, equity).
+
+    The day's and the ISO week's latch start anew before the first bar of a day
+    or week is applied; the peak's latch stays.
+    """
+    level = lambda x, reduce, halt: HALTED if x <= -halt else REDUCED if x <= -reduce else NORMAL
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        day, week, daily, weekly, day_latch, week_latch, peak, peak_latch = state.get if state.exists else (0, 0, 1.0, 1.0, NORMAL, NORMAL, float("-inf"), NORMAL)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        severity = []
+        for ts, ret, now in zip(rows["ts"], rows["ret"], rows["equity"], strict=True):
+            iso = ts.isocalendar()
+            if (today := ts.toordinal()) != day:
+                day, daily, day_latch = today, 1.0, NORMAL
+            if (this := iso[0] * 100 + iso[1]) != week:
+                week, weekly, week_latch = this, 1.0, NORMAL
+            daily, weekly, peak = daily * (1 + ret), weekly * (1 + ret), max(peak, now)
+            day_latch = max(day_latch, level(daily - 1, 0.02, 0.03))
+            week_latch = max(week_latch, level(weekly - 1, 0.05, 0.07))
+            peak_latch = max(peak_latch, HALTED if (peak - now) / peak >= 0.10 else NORMAL)
+            severity.append(max(day_latch, week_latch, peak_latch))
+        state.update((int(day), int(week), float(daily), float(weekly), int(day_latch), int(week_latch), float(peak), int(peak_latch)))
+        yield rows[["series_id", "ts"]].assign(severity=pd.Series(severity, index=rows.index, dtype="int32"))
+
+    held = "day long, week long, daily double, weekly double, day_latch int, week_latch int, peak double, peak_latch int"
+    return equity.select("series_id", "ts", "ret", "equity").groupBy("series_id").applyInPandasWithState(step, "series_id string, ts timestamp, severity int", held, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_rolling_mean(bars: DataFrame, rows: int = 764, column: str = "close") -> DataFrame:
+    """Bars held and their mean, from a buffer of each series' last ``rows`` values."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [float(x) for x in state.get[0]] if state.exists else []
+        got = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        every = pd.Series([*held, *got[column]], dtype=float)
+        mean, size = every.rolling(rows, min_periods=1).mean(), every.rolling(rows, min_periods=1).count()
+        state.update((every.iloc[-rows:].tolist(),))
+        yield got[["series_id", "ts"]].assign(bars=size.iloc[len(held) :].astype("int32").to_numpy(), mean=mean.iloc[len(held) :].to_numpy())
+
+    return bars.select("series_id", "ts", column).groupBy("series_id").applyInPandasWithState(step, "series_id string, ts timestamp, bars int, mean double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_staleness(ticks: DataFrame, seconds: float = 300.0, timer_ms: int | None = None) -> DataFrame:
+    """Silences of a tick stream: kind ``gap`` for more than ``seconds`` between two
+    ticks, kind ``stale`` once nothing has come for as long on the clock."""
+    wait = int(timer_ms or seconds * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else pd.NaT
+        if state.hasTimedOut:
+            state.update(state.get)  # stays, without a timer: reported once
+            yield pd.DataFrame({"series_id": [key[0]], "ts": [last], "silence": [wait / 1000], "kind": ["stale"]})
+            return
+        ts = pd.concat(list(batches))["ts"].sort_values(ignore_index=True)
+        silence = (ts - ts.shift(fill_value=last)).dt.total_seconds()
+        state.update((int(max(ts.iloc[-1], last if pd.notna(last) else ts.iloc[-1]).value // 1000),))
+        state.setTimeoutDuration(wait)
+        yield pd.DataFrame({"series_id": key[0], "ts": ts, "silence": silence, "kind": "gap"})[silence > seconds]
+
+    return ticks.select("series_id", "ts").groupBy("series_id").applyInPandasWithState(step, "series_id string, ts timestamp, silence double, kind string", "last_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def upsert_latest(folder: str, key: str = "series_id"):
     """A foreachBatch sink that keeps one row per key: the latest by ts.
 

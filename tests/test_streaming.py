@@ -1,8 +1,13 @@
 """Batch and stream give the same rows."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.operators import risk
+from barloom.plans.report_queries import curve
 from barloom.sources import bars as src
 from barloom.streaming import jobs
 
@@ -43,3 +48,45 @@ def test_ledger(spark, sf_dir, tmp_path):
     want = {r.fill_id: (round(r.held, 6), round(r.avg_price, 6)) for r in risk.fill_ledger(shape(batch)).collect()}
     got = {r.fill_id: (round(r.held, 6), round(r.avg_price, 6)) for r in run(jobs.stream_ledger(shape(stream)), tmp_path, "ledger").collect()}
     assert got == want
+
+
+def bars(spark, sf_dir, tmp_path):
+    """An equity curve as a stream: a batch for each of three spans of time."""
+    rows = curve(spark, sf_dir).select("series_id", "ts", "close", "ret", "equity").withColumn("ret", F.col("ret") * 3)
+    rows.repartitionByRange(3, "ts").write.mode("overwrite").parquet(f"{tmp_path}/in")
+    return rows, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 5).parquet(f"{tmp_path}/in")
+
+
+def test_breaker(spark, sf_dir, tmp_path):
+    batch, stream = bars(spark, sf_dir, tmp_path)
+    want = {(r.series_id, r.ts): r.severity for r in risk.latched_breaker(batch).collect()}
+    got = {(r.series_id, r.ts): r.severity for r in run(jobs.stream_breaker(stream), tmp_path, "breaker").collect()}
+    assert got == want and set(want.values()) >= {0, 2}
+
+
+def test_rolling_mean(spark, sf_dir, tmp_path):
+    batch, stream = bars(spark, sf_dir, tmp_path)
+    w = Window.partitionBy("series_id").orderBy("ts").rowsBetween(-49, 0)
+    want = {(r.series_id, r.ts): (r.n, r.m) for r in batch.select("series_id", "ts", F.count("close").over(w).alias("n"), F.avg("close").over(w).alias("m")).collect()}
+    got = {(r.series_id, r.ts): (r.bars, r.mean) for r in run(jobs.stream_rolling_mean(stream, 50), tmp_path, "rolling").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == n and got[k][1] == pytest.approx(m, rel=1e-9) for k, (n, m) in want.items())
+
+
+def test_staleness(spark, sf_dir, tmp_path):
+    batch, stream = events(spark, sf_dir, tmp_path)
+    shape = lambda df: df.select(F.col("event_type").alias("series_id"), "ts")
+    gap = F.col("ts").cast("double") - F.lag("ts").over(Window.partitionBy("series_id").orderBy("ts")).cast("double")
+    want = sorted((r.series_id, r.ts) for r in shape(batch).withColumn("gap", gap).where("gap > 300").collect())
+    keys = shape(batch).select("series_id").distinct().count()
+    query = jobs.stream_staleness(shape(stream), timer_ms=500).writeStream.format("memory").queryName("stale").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+    try:
+        for _ in range(60):
+            got = spark.table("stale").collect()
+            if sum(r.kind == "stale" for r in got) >= keys:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert sorted((r.series_id, r.ts) for r in got if r.kind == "gap") == want and want
+    assert {r.series_id for r in got if r.kind == "stale"} == {r.series_id for r in shape(batch).distinct().collect()}
