@@ -52,11 +52,11 @@ def calm(bars: DataFrame, ranks: DataFrame) -> DataFrame:
     return joined.withColumn("calm", F.coalesce("vol_rank", F.lit(1.0)) < HIGH_CUT)
 
 
-def with_runs(states: DataFrame, state: str = "state_id", confirm: int = 3) -> DataFrame:
+def with_runs(states: DataFrame, state: str = "state_id", confirm: int = 3, keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
     """consecutive_bars in the state so far and whether it is confirmed."""
-    flag, frame = run_length(F.col(state))
+    flag, frame = run_length(F.col(state), keys)
     df = states.withColumn("_change", flag).withColumn("_island", F.sum("_change").over(frame))
-    df = df.withColumn("consecutive_bars", F.row_number().over(Window.partitionBy(SERIES, "_island").orderBy(TS)))
+    df = df.withColumn("consecutive_bars", F.row_number().over(Window.partitionBy(*keys, "_island").orderBy(TS)))
     return df.withColumn("is_confirmed", F.col("consecutive_bars") >= confirm).drop("_change", "_island")
 
 
@@ -67,11 +67,11 @@ def confirmed_changes(states: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("changed", F.col("is_confirmed") & (F.col("_n") >= 2) & (F.col("_before").isNull() | (F.col("_before") != F.col(label)))).drop("_before", "_n")
 
 
-def with_flicker(states: DataFrame, state: str = "state_id", bars: int = 20, most: int = 4) -> DataFrame:
+def with_flicker(states: DataFrame, state: str = "state_id", bars: int = 20, most: int = 4, keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
     """State changes among the last ``bars`` bars (one pair fewer) and a flag above ``most``."""
-    before = F.lag(state).over(ordered())
+    before = F.lag(state).over(ordered(keys))
     df = states.withColumn("_change", F.when(before.isNotNull() & (before != F.col(state)), 1).otherwise(0))
-    df = df.withColumn("flicker", F.sum("_change").over(trailing(bars - 1)))
+    df = df.withColumn("flicker", F.sum("_change").over(trailing(bars - 1, keys)))
     return df.withColumn("is_flickering", F.col("flicker") > most).drop("_change")
 
 
@@ -124,11 +124,11 @@ def forward(emission: np.ndarray, start: np.ndarray, transition: np.ndarray) ->
     return post, norm
 
 
-def regime_proba(features: DataFrame, models: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+def regime_proba(features: DataFrame, models: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
     """Filtered probabilities of each bar, its state (lowest id on ties) and the
-    step's log-likelihood. ``models`` has one row for each series."""
-    params = models.select(SERIES, "startprob", "transmat", "means", "covars")
-    joined = features.join(params.hint("shuffle_hash"), SERIES)
+    step's log-likelihood. ``models`` has one row for each group of ``keys``."""
+    params = models.select(*keys, "startprob", "transmat", "means", "covars")
+    joined = features.join(params.hint("shuffle_hash"), list(keys))
 
     def fold(g: pd.DataFrame) -> dict[str, np.ndarray]:
         first = g.iloc[0]
@@ -139,7 +139,7 @@ def regime_proba(features: DataFrame, models: DataFrame, columns: tuple[str, ...
         return {"probabilities": list(p), "state_id": p.argmax(axis=1).astype("int32"), "probability": p.max(axis=1), "log_likelihood": norm}
 
     out = {"probabilities": "array<double>", "state_id": "int", "probability": "double", "log_likelihood": "double"}
-    return ordered_fold(joined, fold, out).drop("startprob", "transmat", "means", "covars")
+    return ordered_fold(joined, fold, out, keys).drop("startprob", "transmat", "means", "covars")
 
 
 def mean_log_likelihood(scored: DataFrame) -> DataFrame:
@@ -197,6 +197,23 @@ def expectation_maximisation(x: np.ndarray, n: int, seed: int, iterations: int,
     return start, transition, means, covars, trace
 
 
+def walk_forward_states(tagged: DataFrame, columns: tuple[str, ...], n: int, iterations: int = 100, least_rows: int = 504) -> DataFrame:
+    """States of each fold's test bars under the model of its training bars.
+
+    ``tagged`` has fold_id and part. Filtering, runs and flicker go over the
+    whole fold and are cut to the test bars after; a fold without a fit is left out.
+    """
+    keys = (SERIES, "fold_id")
+    fits = fit_regime_models(tagged.where("part = 'train'"), columns, n, iterations=iterations, least_rows=least_rows, keys=keys)
+    scored = regime_proba(tagged, fits.where(F.col("log_likelihood") > float("-inf")), columns, keys)
+    return with_flicker(with_runs(scored, keys=keys), keys=keys).where("part = 'test'")
+
+
+def permuted_tiers(states: DataFrame, seed: int) -> DataFrame:
+    """A tier (0 low, 1 mid, 2 high) for each state of a fold by hash: the null model of a skill test."""
+    return states.withColumn("tier_no", F.pmod(F.xxhash64(F.lit(seed), SERIES, "fold_id", "state_id"), F.lit(3)).cast("int"))
+
+
 def bic(n: Column, d: int, log_likelihood: Column, rows: Column) -> Column:
     free = (n - 1) + n * (n - 1) + n * d + n * (d * (d + 1) / 2)
     return -2 * log_likelihood + free * F.log(rows.cast("double"))

@@ -419,3 +419,20 @@ def j3(spark, sf):
 def j2(spark, sf):
     alerts = src.read_table(spark, sf, "events").select(F.col("event_type").alias("event_key"), "ts", F.col("event_id").alias("alert_id"))
     return risk.rate_limit(alerts).where("passed").select("event_key", "ts", "alert_id")
+
+
+def _walked(spark, sf):
+    features = damped(spark, sf).withColumn("vol", F.stddev_samp("ret").over(running().rowsBetween(-19, 0))).na.drop()
+    folds = risk.make_folds(features.groupBy("series_id").agg(F.count("*").alias("n")))
+    return reg.walk_forward_states(risk.tag_folds(features, folds), ("ret", "vol"), 3, iterations=10)
+
+
+@query("f3_walk_forward_states")
+def f3(spark, sf):
+    return _walked(spark, sf).select("series_id", "fold_id", "ts", "state_id", "consecutive_bars", "is_confirmed", "flicker", F.round("probability", 6).alias("probability"))
+
+
+@query("d9_permuted_map")
+def d9(spark, sf):
+    states = _walked(spark, sf).select("series_id", "fold_id", "state_id").distinct()
+    return reg.permuted_tiers(states, 42).select("series_id", "fold_id", "state_id", "tier_no")
