@@ -56,7 +56,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     n = len(hashes)
     with np.errstate(over="ignore"):
         rolled = np.zeros(n, np.uint64)
-        for k in range(width):
+        for k in range(min(width, n)):
             rolled[: n - k] += hashes[k:] * factors[k]
         rolled = mixed(rolled)
         out, at = [], 0

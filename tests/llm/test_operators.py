@@ -270,6 +270,16 @@ def test_near_duplicates(spark, folder):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("words", [4, 5])
+def test_shingles_of_a_short_slice(spark, words):
+    texts = ["", "one", "one two", "one two three", "one two three four", "one two three four five"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    parts = [spark.createDataFrame([r], SCHEMA).coalesce(1) for r in rows]  # a slice of its own each
+    alone = {r.doc_id: (r.n_shingles, r.set_key) for p in parts for r in near_duplicates.sketches(p, words).collect()}
+    together = {r.doc_id: (r.n_shingles, r.set_key) for r in near_duplicates.sketches(spark.createDataFrame(rows, SCHEMA).coalesce(1), words).collect()}
+    assert alone == together and [alone[i][0] for i in range(6)] == [0, 1, 1, 1, 1, 6 - words]
+
+
 def test_near_duplicates_of_one_base(spark, tmp_path):
     draw = np.random.default_rng(2)
     base = [f"w{i}" for i in draw.integers(0, 9999, 300)]
