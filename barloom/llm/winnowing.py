@@ -1,12 +1,12 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's units are pieces of up to four characters of each run of visible
-characters. Every ``k`` units in a row are hashed; from every ``window`` hashes
-in a row the smallest is chosen, the rightmost on ties, and kept with its
-place. So any passage of ``window + k - 1`` units that two texts share, from
-the start of a word on, gives both a common hash. A text with fewer units has
-one hash of what it has; one with no unit has none. Null texts are empty;
-equal texts have equal fingerprints. Texts are never cut.
+White space is left out; every ``k`` visible characters in a row are hashed, at
+each character's place. From every ``window`` hashes in a row the smallest is
+chosen, the rightmost on ties, and kept with its place. So any passage of
+``window + k - 1`` visible characters that two texts share, wherever it begins,
+gives both a common hash. A text with fewer characters has one hash of what it
+has; one with no visible character has none. Null texts are empty; equal texts
+have equal fingerprints. Texts are never cut.
 
 A fingerprint is an array of 63-bit values: 36 bits of hash over 27 bits that
 count places backwards, so that the smaller of two equal hashes stands right.
@@ -22,20 +22,26 @@ from barloom.llm.common import bucket_of, range_buckets, shuffle_partitions
 
 PLACE_BITS = 27
 LAST_PLACE = (1 << PLACE_BITS) - 1
+BLANKS = " \t\n\x0b\f\r"
 
 
-def add_fingerprint(df: DataFrame, text: str, out: str, k: int = 4, window: int = 4) -> DataFrame:
+def add_fingerprint(df: DataFrame, text: str, out: str, k: int = 12, window: int = 8) -> DataFrame:
     """``df`` with the fingerprint of column ``text`` (not null) as array<bigint>."""
-    units, grams = f"_{out}_units", f"_{out}_grams"
+    coded, low, steps = f"_{out}_coded", f"_{out}_low", 1
     packed = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 64 - 36), PLACE_BITS) + (F.lit(LAST_PLACE).cast("long") - i)
-    df = df.withColumn(units, F.transform(F.regexp_extract_all(F.col(text), F.lit(r"\S{1,4}"), F.lit(0)), lambda u: F.xxhash64(u)))
-    u = F.col(units)
-    long_enough = F.transform(F.slice(u, 1, F.greatest(F.size(u) - (k - 1), F.lit(1))), lambda x, i: packed(F.xxhash64(x, *[F.get(u, i + j) for j in range(1, k)]), i))
-    short = F.when(F.size(u) == 0, F.array().cast("array<bigint>")).otherwise(F.array(packed(F.xxhash64(u), F.lit(0))))
-    df = df.withColumn(grams, F.when(F.size(u) >= k, long_enough).otherwise(short))
-    g = F.col(grams)
-    chosen = F.transform(F.slice(g, 1, F.greatest(F.size(g) - (window - 1), F.lit(1))), lambda x, i: F.least(x, *[F.get(g, i + j) for j in range(1, window)]))
-    return df.withColumn(out, F.array_distinct(chosen)).drop(units, grams)
+    # four bytes a character: a gram is cut out at once, whatever its place
+    df = df.withColumn(coded, F.encode(F.translate(F.col(text), BLANKS, ""), "UTF-32"))
+    c = F.col(coded)
+    places = F.sequence(F.lit(0), F.greatest(F.length(c) / 4 - k, F.lit(0)).cast("int"))
+    # held as an array's one element: a binary column is copied at every step of a lambda function
+    grams = F.transform(F.array(c), lambda b: F.transform(places, lambda i: packed(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * k))), i)))
+    df = df.withColumn(low, F.when(F.length(c) == 0, F.array().cast("array<bigint>")).otherwise(F.get(grams, F.lit(0))))
+    while steps < window:  # minima of ``steps`` hashes in a row, doubled; past the end of fewer
+        more = min(steps, window - steps)
+        df = df.withColumn(low, F.zip_with(low, F.slice(low, more + 1, F.greatest(F.size(low) - more, F.lit(0))), lambda a, b: F.least(a, b)))
+        steps += more
+    whole = F.slice(low, 1, F.greatest(F.size(low) - (window - 1), F.lit(1)))
+    return df.withColumn(out, F.array_distinct(whole)).drop(coded, low)
 
 
 def hashes(fingerprint: Column) -> Column:

@@ -210,6 +210,27 @@ def test_winnowing_keeps_its_guarantee(spark):
     assert [m.place for m in marks] == sorted(m.place for m in marks)
 
 
+def test_winnowing_finds_passages_at_any_offset(spark):
+    draw = np.random.default_rng(4)
+    runs = {"prose": "ab\ncd efg", "cjk": "".join(map(chr, range(0x4E00, 0x4E80))), "emoji": "😀😁😂漢a", "token": "ABCabc019+/"}
+    for name, letters in runs.items():
+        drawn = lambda n: "".join(draw.choice(list(letters), n))  # noqa: E731,B023
+        shared = drawn(60)
+        rows = [(offset, drawn(40)[:offset] + shared[offset % 5 :] + drawn(9)) for offset in range(40)]
+        got = [(r.doc_id, {m.hash for m in r.m}, r.text, [m.place for m in r.m]) for r in winnowing.add_fingerprint(spark.createDataFrame(rows, SCHEMA), "text", "p").select("doc_id", "text", winnowing.marks("p").alias("m")).collect()]
+        assert all(a & b for _, a, _, _ in got for _, b, _, _ in got), name
+        for _, found, text, places in got:  # each window has its choice, the places are of visible characters
+            visible = re.sub(r"[ \t-\r]", "", text)
+            assert places == sorted(places) and places[0] < 8 and max(np.diff(places)) <= 8 and len(visible) - 12 - places[-1] < 8
+
+
+def test_winnowing_takes_the_rightmost_minimum(spark):
+    df = spark.createDataFrame([(1, "a" * 400), (2, "漢" * 19), (3, "ab"), (4, "a b"), (5, " \n")], SCHEMA)
+    got = {r.doc_id: [(m.place, m.hash) for m in r.m] for r in winnowing.add_fingerprint(df, "text", "p").select("doc_id", winnowing.marks("p").alias("m")).collect()}
+    assert [p for p, _ in got[1]] == list(range(7, 389)) and [p for p, _ in got[2]] == [7]
+    assert len(got[3]) == 1 and got[3] == got[4] and got[5] == []
+
+
 def test_neighbours_recall(spark, tmp_path):
     draw = np.random.default_rng(1)
     x = draw.normal(size=(6000, 24)) + 2 * draw.normal(size=(12, 24))[draw.integers(0, 12, 6000)]
