@@ -191,14 +191,14 @@ def c17(spark, sf):
 @query("c1_fit_regime_models")
 def c1(spark, sf):
     features = damped(spark, sf).withColumn("vol", F.stddev_samp("ret").over(running().rowsBetween(-19, 0))).na.drop()
-    fits = reg.fit_regime_models(features, ("ret", "vol"), 3, iterations=15)
-    return fits.select("series_id", "n", "seed", "n_rows", F.round("log_likelihood", 4).alias("log_likelihood"), F.size("trace").alias("iterations"))
+    fits = reg.fit_regime_models(features, ("ret", "vol"), 3)
+    return fits.select("series_id", "n", "seed", "n_rows", F.round("log_likelihood", 4).alias("log_likelihood"), F.size("trace").alias("iterations"), "converged")
 
 
 @query("c6_regime_proba")
 def c6(spark, sf):
     features = damped(spark, sf).withColumn("vol", F.stddev_samp("ret").over(running().rowsBetween(-19, 0))).na.drop()
-    scored = reg.regime_proba(features, reg.fit_regime_models(features, ("ret", "vol"), 3, iterations=15), ("ret", "vol"))
+    scored = reg.regime_proba(features, reg.fit_regime_models(features, ("ret", "vol"), 3), ("ret", "vol"))
     return scored.select("series_id", "ts", "state_id", F.round("probability", 6).alias("probability"))
 
 
@@ -424,7 +424,7 @@ def j2(spark, sf):
 def _walked(spark, sf):
     features = damped(spark, sf).withColumn("vol", F.stddev_samp("ret").over(running().rowsBetween(-19, 0))).na.drop()
     folds = risk.make_folds(features.groupBy("series_id").agg(F.count("*").alias("n")))
-    return reg.walk_forward_states(risk.tag_folds(features, folds), ("ret", "vol"), 3, iterations=10)
+    return reg.walk_forward_states(risk.tag_folds(features, folds), ("ret", "vol"), 3)
 
 
 @query("f3_walk_forward_states")
