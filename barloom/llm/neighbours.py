@@ -1,10 +1,11 @@
 """Approximate nearest neighbours with learned partitions.
 
-On a bounded sample (``max_fit`` vectors of smallest id hash) the neighbour
-graph is built and cut into parts of balanced size with as few cut edges as
-local moves find; a small softmax classifier learns to tell a vector's part.
-Every vector is indexed under its most probable part. A query is routed to its
-most probable parts, as many as reach ``recall`` on the sample's own graph, and
+On a bounded sample (``max_fit`` vectors of smallest id hash) the graph of
+largest inner products is built and cut into parts of balanced size with as few
+cut edges as local moves find. A small softmax classifier learns to tell a
+vector's part from its direction and length, another the parts of a query's
+neighbours from its direction. Every vector is indexed under its most probable
+part. A query is routed to its most probable parts, as many as reach ``recall`` on the sample's own graph, and
 reranked there by the exact inner product in double precision. Parts are cut
 into blocks of bounded size, so a part that holds many vectors, or copies of
 one vector, is several tasks.
@@ -34,13 +35,30 @@ PER_PART, MAX_PARTS, BLOCK = 4096, 256, 4096
 
 @dataclass
 class Router:
-    weight: np.ndarray  # (dimensions, parts)
+    weight: np.ndarray  # (dimensions + 1, parts): tells a vector's part
     bias: np.ndarray
+    ask: np.ndarray  # (dimensions, parts): tells the parts of a query's neighbours
+    ask_bias: np.ndarray
     probes: int
+    longest: float = 1.0
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        return lengthened(x, self.longest) @ self.weight + self.bias
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        norms = np.linalg.norm(x, axis=1, keepdims=True)
-        return (x / np.where(norms > 0, norms, 1.0)) @ self.weight + self.bias
+        return directions(x) @ self.ask + self.ask_bias
+
+
+def directions(x: np.ndarray) -> np.ndarray:
+    """A query's length changes no order among its inner products."""
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norms > 0, norms, 1.0)
+
+
+def lengthened(x: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors of length one with a dimension more, so that lengths are kept as angles."""
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), longest)
+    return np.hstack([x, np.sqrt(np.maximum(1.0 - np.square(x).sum(axis=1, keepdims=True), 0.0))])
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -95,20 +113,11 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
     return part
 
 
-def fit_router(x: np.ndarray, parts: int, k: int, recall: float, steps: int = 150) -> Router:
-    """Partition the sample's graph, learn to route, and choose the probes."""
-    if parts < 2:
-        return Router(np.zeros((x.shape[1], 1)), np.zeros(1), 1)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    graph = neighbour_graph(x, k)
-    part = balanced_parts(x, graph, parts)
-    share = np.zeros((len(x), parts))
-    np.add.at(share, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1.0)
-    share[np.arange(len(x)), part] += graph.shape[1] / 2
-    share /= share.sum(axis=1, keepdims=True)
-    weight, bias = np.zeros((x.shape[1], parts)), np.zeros(parts)
+def softmax_fit(x: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weight and bias by Adam on the cross-entropy with each row's shares."""
+    weight, bias = np.zeros((x.shape[1], share.shape[1])), np.zeros(share.shape[1])
     moments = [np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(bias), np.zeros_like(bias)]
-    for step in range(1, steps + 1):  # Adam on the cross-entropy with the neighbours' shares
+    for step in range(1, steps + 1):
         z = x @ weight + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -116,13 +125,34 @@ def fit_router(x: np.ndarray, parts: int, k: int, recall: float, steps: int = 15
             moments[m] = 0.9 * moments[m] + 0.1 * gradient
             moments[m + 1] = 0.999 * moments[m + 1] + 0.001 * gradient**2
             value -= 0.3 * (moments[m] / (1 - 0.9**step)) / (np.sqrt(moments[m + 1] / (1 - 0.999**step)) + 1e-9)
-    odds = x @ weight + bias
-    home = odds.argmax(axis=1)
+    return weight, bias
+
+
+def fit_router(x: np.ndarray, parts: int, k: int, recall: float, steps: int = 150) -> Router:
+    """Partition the sample's graph of inner products, learn to place and to route, and choose the probes."""
+    if parts < 2:
+        return Router(np.zeros((x.shape[1] + 1, 1)), np.zeros(1), np.zeros((x.shape[1], 1)), np.zeros(1), 1)
+    longest = float(np.linalg.norm(x, axis=1).max())
+    placed, asked = lengthened(x, longest), directions(x)
+    graph = neighbour_graph(x, k)
+    part = balanced_parts(placed, graph, parts)
+
+    def shares(of: np.ndarray) -> np.ndarray:
+        share = np.zeros((len(x), parts))
+        np.add.at(share, (np.repeat(np.arange(len(x)), graph.shape[1]), of[graph].ravel()), 1.0)
+        return share
+
+    share = shares(part)
+    share[np.arange(len(x)), part] += graph.shape[1] / 2
+    weight, bias = softmax_fit(placed, share / share.sum(axis=1, keepdims=True), steps)
+    home = (placed @ weight + bias).argmax(axis=1)
+    ask, ask_bias = softmax_fit(asked, shares(home) / graph.shape[1], steps)
+    odds = asked @ ask + ask_bias
     rank = np.empty_like(odds, dtype=np.int64)
     np.put_along_axis(rank, np.argsort(-odds, axis=1, kind="stable"), np.arange(parts)[None, :], axis=1)
     reached = np.sort(rank[np.arange(len(x))[:, None], home[graph]].ravel())
     probes = int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))))]) + 1
-    return Router(weight, bias, min(parts, probes))
+    return Router(weight, bias, ask, ask_bias, min(parts, probes), longest)
 
 
 def _vectors(table: DataFrame, queries: Column, key: str, vector: str) -> DataFrame:
@@ -159,7 +189,7 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
             v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
             odds = router.odds(v)
             near = np.argsort(-odds, axis=1, kind="stable")[:, : router.probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(odds.argmax(axis=1).astype(np.int32)), pa.array(near.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in v], pa.binary()), batch.column("query")], names=["id", "part", "near", "v", "query"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(router.places(v).argmax(axis=1).astype(np.int32)), pa.array(near.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in v], pa.binary()), batch.column("query")], names=["id", "part", "near", "v", "query"])
 
     routed = rows.where(F.size("v") == width)
     routed = written(routed.mapInArrow(route, "id long, part int, near array<int>, v binary, query boolean"), "vectors")

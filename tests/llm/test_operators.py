@@ -252,6 +252,26 @@ def test_neighbours_recall(spark, tmp_path):
     assert hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_neighbours_recall_over_parts_and_lengths(spark, spread):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(16384, 16)) + 2 * draw.normal(size=(40, 16))[draw.integers(0, 40, 16384)]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(spread * draw.normal(size=(16384, 1)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, df.vec_id % 40 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    router = neighbours.fit_router(x[::2], 4, 20, 0.97)
+    hits = 0
+    for q in range(0, 16384, 40):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & got[q])
+    share = hits / (20 * len(got))
+    print("spread", spread, "recall", round(share, 4), "probes of 4 on half the vectors", router.probes)
+    assert len(got) == 410 and share >= 0.93
+
+
 def test_neighbours_small(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (20, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(df, df.vec_id % 20 == 0).orderBy("query_id", "rank").collect()]
