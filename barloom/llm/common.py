@@ -26,11 +26,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    The folder goes when the application ends, or sooner with ``discard``.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _file_system(spark, path, lambda files, at: files.deleteOnExit(at))
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what ``written`` stored for frames that nothing will read again."""
+    for frame in frames:
+        path = getattr(frame, "_written_at", None)
+        if path:
+            _file_system(frame.sparkSession, path, lambda files, at: files.delete(at, True))
+
+
+def _file_system(spark: SparkSession, path: str, do) -> None:
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:  # a remote session removes its folder itself
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        do(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,36 +1,42 @@
 """Approximate nearest neighbours with learned partitions.
 
-On a bounded sample (``max_fit`` vectors of smallest id hash) the graph of
-largest inner products is built and cut into parts of balanced size with as few
-cut edges as local moves find. A small softmax classifier learns to tell a
-vector's part from its direction and length, another the parts of a query's
-neighbours from its direction. Every vector is indexed under its most probable
-part. A query is routed to its most probable parts, as many as reach ``recall`` on the sample's own graph, and
-reranked there by the exact inner product in double precision. Parts are cut
-into blocks of bounded size, so a part that holds many vectors, or copies of
-one vector, is several tasks.
-
-Vectors that are null, zero, of another length than most of the sample, or hold
-null or non-finite components take no part, nor do rows with a null id. Ties go
-to the smaller id. A repeated id is answered once; a query never finds its own
-id. With fewer candidates than asked for, all are returned.
+The index is a tree of learned partitions. A node that holds many vectors is
+split: on a bounded sample of its vectors (``max_fit``) the graph of largest
+inner products is built and cut into parts of balanced size with as few cut
+edges as local moves find. A small softmax classifier learns to tell a vector's
+part from its direction and length, another the parts of a query's neighbours
+from its direction. Vectors go to their most probable part, queries to as many
+parts, most probable first, as reached ``recall`` of the neighbours of sample
+vectors that the classifiers had not seen. Small tables have one level; a part
+of more than ``split`` vectors is a node of the next level, so parts grow with
+the corpus and stay of bounded size. What reaches a leaf is reranked there by
+the exact inner product in double precision; leaves are cut into blocks, so a
+leaf that holds many vectors, or copies of one vector, is several tasks.
+
+Every row is a vector of its own and so is every query row: with a repeated id
+each row is answered, and finds the others. Vectors that are null, zero, of
+another length than most, or hold null or non-finite components take no part,
+nor do rows with a null id. Ties go to the smaller id. With fewer candidates
+than asked for, all are returned. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import io
+import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import written
+from barloom.llm.common import discard, written
 
-#: Vectors for each part, and rows of a block, at most.
-PER_PART, MAX_PARTS, BLOCK = 4096, 256, 4096
+#: Vectors of a node beyond which it is split, parts of a node, rows of a block.
+SPLIT, MOST_PARTS, BLOCK = 16_384, 64, 4096
 
 
 @dataclass
@@ -48,6 +54,16 @@ class Router:
     def odds(self, x: np.ndarray) -> np.ndarray:
         return directions(x) @ self.ask + self.ask_bias
 
+    def dumped(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, weight=self.weight, bias=self.bias, ask=self.ask, ask_bias=self.ask_bias, scalars=np.array([self.probes, self.longest]))
+        return out.getvalue()
+
+    @staticmethod
+    def loaded(data: bytes) -> Router:
+        held = np.load(io.BytesIO(data))
+        return Router(held["weight"], held["bias"], held["ask"], held["ask_bias"], int(held["scalars"][0]), float(held["scalars"][1]))
+
 
 def directions(x: np.ndarray) -> np.ndarray:
     """A query's length changes no order among its inner products."""
@@ -93,15 +109,14 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 1
                 part[i] = p
                 size[p] += 1
                 break
-    ends = np.concatenate([graph, np.full((n, 0), 0)], axis=1)
     back = [[] for _ in range(n)]
-    for i, row in enumerate(ends.tolist()):
+    for i, row in enumerate(graph.tolist()):
         for j in row:
             back[j].append(i)
     for _ in range(rounds):
         moved = 0
         for i in draw.permutation(n):
-            votes = np.bincount(part[np.append(ends[i], np.array(back[i], np.int64))], minlength=parts)
+            votes = np.bincount(part[np.append(graph[i], np.array(back[i], np.int64))], minlength=parts)
             p = int(votes.argmax())
             if p != part[i] and votes[p] > votes[part[i]] and size[p] < limit:
                 size[part[i]] -= 1
@@ -128,89 +143,175 @@ def softmax_fit(x: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarra
     return weight, bias
 
 
-def fit_router(x: np.ndarray, parts: int, k: int, recall: float, steps: int = 150) -> Router:
-    """Partition the sample's graph of inner products, learn to place and to route, and choose the probes."""
-    if parts < 2:
+def fit_router(x: np.ndarray, parts: int, k: int, recall: float, steps: int = 150, held: int = 4) -> Router:
+    """Partition the sample's graph of inner products, learn to place and to
+    route on all but every ``held``-th vector, and choose the probes on those."""
+    if parts < 2 or len(x) < 8 * parts:
         return Router(np.zeros((x.shape[1] + 1, 1)), np.zeros(1), np.zeros((x.shape[1], 1)), np.zeros(1), 1)
     longest = float(np.linalg.norm(x, axis=1).max())
     placed, asked = lengthened(x, longest), directions(x)
-    graph = neighbour_graph(x, k)
-    part = balanced_parts(placed, graph, parts)
+    learn = np.flatnonzero(np.arange(len(x)) % held)
+    graph = neighbour_graph(x[learn], k)
+    part = balanced_parts(placed[learn], graph, parts)
 
     def shares(of: np.ndarray) -> np.ndarray:
-        share = np.zeros((len(x), parts))
-        np.add.at(share, (np.repeat(np.arange(len(x)), graph.shape[1]), of[graph].ravel()), 1.0)
+        share = np.zeros((len(learn), parts))
+        np.add.at(share, (np.repeat(np.arange(len(learn)), graph.shape[1]), of[graph].ravel()), 1.0)
         return share
 
     share = shares(part)
-    share[np.arange(len(x)), part] += graph.shape[1] / 2
-    weight, bias = softmax_fit(placed, share / share.sum(axis=1, keepdims=True), steps)
+    share[np.arange(len(learn)), part] += graph.shape[1] / 2
+    weight, bias = softmax_fit(placed[learn], share / share.sum(axis=1, keepdims=True), steps)
     home = (placed @ weight + bias).argmax(axis=1)
-    ask, ask_bias = softmax_fit(asked, shares(home) / graph.shape[1], steps)
-    odds = asked @ ask + ask_bias
+    ask, ask_bias = softmax_fit(asked[learn], shares(home[learn]) / graph.shape[1], steps)
+    unseen = np.flatnonzero(np.arange(len(x)) % held == 0)
+    odds = asked[unseen] @ ask + ask_bias
     rank = np.empty_like(odds, dtype=np.int64)
     np.put_along_axis(rank, np.argsort(-odds, axis=1, kind="stable"), np.arange(parts)[None, :], axis=1)
-    reached = np.sort(rank[np.arange(len(x))[:, None], home[graph]].ravel())
+    reached = np.sort(rank[np.arange(len(unseen))[:, None], home[neighbour_graph(x, k)[unseen]]].ravel())
     probes = int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))))]) + 1
     return Router(weight, bias, ask, ask_bias, min(parts, probes), longest)
 
 
+def parts_of(n: int, split: int = SPLIT, most: int = MOST_PARTS) -> int:
+    """Parts of a node of n vectors: a quarter of the root, 4 at least."""
+    return int(np.clip(round(math.sqrt(n) / 4), 4, most))
+
+
+def levels_of(n: int, split: int = SPLIT, most: int = MOST_PARTS) -> int:
+    """How deep even splitting goes until no node holds more than ``split``."""
+    deep = 1
+    n /= parts_of(n, split, most)
+    while n > split:
+        n, deep = n / parts_of(n, split, most), deep + 1
+    return deep
+
+
 def _vectors(table: DataFrame, queries: Column, key: str, vector: str) -> DataFrame:
-    """id, whether it is a query, and components as doubles, only of vectors that take part."""
+    """row, id, whether it is a query, and components as doubles, only of vectors that take part."""
     rows = table.select(F.col(key).alias("id"), F.coalesce(queries, F.lit(False)).alias("query"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(_good("v"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(_good("v"))
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def _good(vector: str) -> Column:
     return F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(vector, lambda v: v != 0)
 
 
-def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, max_fit: int = 8192, recall: float = 0.97) -> DataFrame:
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
+
+
+def build_index(rows: DataFrame, asked: DataFrame, total: int, k: int, max_fit: int, recall: float, split: int, most: int) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """Leaves of all vectors and of all queries, and a summary of each level.
+
+    A level is four steps: count its nodes' rows, fit a router for each node on
+    a sample drawn by row hash, place the node's vectors, route its queries. All
+    are grouped by node, and by block of bounded size within it.
+    """
+    depth = levels_of(total, split, most)
+    target = recall ** (1 / depth)
+    open_rows, open_asked = rows.withColumn("node", F.lit("")), asked.withColumn("node", F.lit(""))
+    leaves, asked_leaves, summary, past = [], [], [], []
+    for level in itertools.count():
+        sizes = written(open_rows.groupBy("node").agg(F.count("*").alias("n")), "nodes")
+        rate = F.least(F.lit(1.0), F.lit(float(max_fit)) / F.col("n"))
+        sample = open_rows.join(sizes.hint("shuffle_hash"), "node").where(F.pmod(F.xxhash64("row", F.lit(level)), F.lit(1 << 30)) < rate * (1 << 30))
+
+        def fit(group: pd.DataFrame) -> pd.DataFrame:
+            n = int(group["n"].iloc[0])
+            router = fit_router(_matrix(group.sort_values("row")["v"]), parts_of(n, split, most), k, target)
+            return pd.DataFrame({"node": [group["node"].iloc[0]], "blocks": [-(-n // BLOCK)], "router": [router.dumped()], "parts": [len(router.bias)], "probes": [router.probes]})
+
+        # a sample is max_fit rows in expectation, whatever a node holds
+        routers = written(sample.select("node", "n", "row", "v").groupBy("node").applyInPandas(fit, "node string, blocks int, router binary, parts int, probes int"), "routers")
+
+        def place(key, own: pd.DataFrame, routers: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(routers):
+                return own.iloc[:0].drop(columns="block")
+            router = Router.loaded(routers["router"].iloc[0])
+            part = router.places(_matrix(own["v"])).argmax(axis=1)
+            return own.drop(columns="block").assign(node=own["node"] + "." + pd.Series(part.astype(str), index=own.index))
+
+        def route(key, own: pd.DataFrame, routers: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(routers):
+                return own.iloc[:0].drop(columns="block")
+            router = Router.loaded(routers["router"].iloc[0])
+            near = np.argsort(-router.odds(_matrix(own["v"])), axis=1, kind="stable")[:, : router.probes]
+            out = own.loc[own.index.repeat(near.shape[1])].drop(columns="block")
+            return out.assign(node=out["node"] + "." + pd.Series(near.ravel().astype(str), index=out.index))
+
+        def stepped(df: DataFrame, f, name: str) -> DataFrame:
+            counts = df.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+            dealt = df.join(counts.hint("shuffle_hash"), "node").withColumn("block", F.pmod(F.xxhash64("row", "node"), F.col("blocks")).cast("int")).drop("blocks")
+            there = routers.select("node", "router").join(counts.hint("shuffle_hash"), "node").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "router")
+            schema = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+            return written(dealt.groupBy("node", "block").cogroup(there.groupBy("node", "block")).applyInPandas(f, schema), name)
+
+        placed, routed = stepped(open_rows, place, "vectors"), stepped(open_asked, route, "queries")
+        made = routers.agg(F.count("*").alias("nodes"), F.sum("parts").alias("parts"), F.sum("probes").alias("probes")).first()
+        summary.append({"level": level, "nodes": made["nodes"], "parts": made["parts"] or 0, "probes": made["probes"] or 0})
+        # a part with nearly all of its node stays a leaf, however large: copies of one vector cannot be told apart
+        grown = placed.groupBy("node").agg(F.count("*").alias("n"))
+        before = sizes.select(F.col("node").alias("parent"), F.col("n").alias("all"))
+        grown = grown.withColumn("parent", F.regexp_replace("node", r"\.\d+$", "")).join(before.hint("shuffle_hash"), "parent")
+        more = written(grown.where((F.col("n") > split) & (F.col("n") < 0.9 * F.col("all"))).select("node"), "split")
+        past += [sizes, routers]
+        leaves.append(placed.join(more.hint("shuffle_hash"), "node", "left_anti"))
+        asked_leaves.append(routed.join(more.hint("shuffle_hash"), "node", "left_anti"))
+        if more.isEmpty():
+            break
+        open_rows, open_asked = placed.join(more.hint("shuffle_hash"), "node", "left_semi"), routed.join(more.hint("shuffle_hash"), "node", "left_semi")
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    discard(*past)
+    return union(leaves), union(asked_leaves), summary
+
+
+def nearest(
+    table: DataFrame,
+    queries: Column,
+    key: str = "vec_id",
+    vector: str = "embedding",
+    k: int = 20,
+    max_fit: int = 8192,
+    recall: float = 0.95,
+    split: int = SPLIT,
+    most: int = MOST_PARTS,
+    report: list | None = None,
+) -> DataFrame:
     """query_id, rank, id, score of the ``k`` nearest found for each query row.
 
-    ``queries`` is a predicate on ``key``; all rows are candidates.
+    ``queries`` is a predicate on the table's columns; all rows are candidates.
+    ``report``, if given, gets a summary of the levels (nodes, parts, probes).
     """
-    spark = table.sparkSession
     rows = _vectors(table, queries, key, vector)
+    lengths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(1).collect()
+    width = lengths[0]["width"] if lengths else 0
+    rows = written(rows.where(F.size("v") == width), "rows")  # fixes the row numbers
     total = rows.count()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max_fit).toArrow()["v"].to_pylist()
-    lengths = pd.Series([len(v) for v in sample], dtype="int64")
-    width = int(lengths.mode().min()) if len(lengths) else 0
-    x = np.array([v for v in sample if len(v) == width], np.float64).reshape(-1, max(width, 1))
-    parts = int(np.clip(total // PER_PART, 1, MAX_PARTS))
-    router = fit_router(x, parts if len(x) > 20 * parts else 1, k, recall)
-    shared = spark.sparkContext.broadcast(router)  # MAX_PARTS x dimensions numbers at most
-
-    def route(batches):
-        router = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
-            odds = router.odds(v)
-            near = np.argsort(-odds, axis=1, kind="stable")[:, : router.probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(router.places(v).argmax(axis=1).astype(np.int32)), pa.array(near.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in v], pa.binary()), batch.column("query")], names=["id", "part", "near", "v", "query"])
-
-    routed = rows.where(F.size("v") == width)
-    routed = written(routed.mapInArrow(route, "id long, part int, near array<int>, v binary, query boolean"), "vectors")
-    held = routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asked = routed.where("query").select(F.explode("near").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
-    plan = F.broadcast(held.join(asked.hint("shuffle_hash"), "part"))  # a row for each part
-    candidates = routed.join(plan, "part").select("part", F.pmod(F.hash("id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), "id", "v")
-    asking = routed.where("query").dropDuplicates(["id"]).select(F.col("id").alias("query_id"), F.col("v").alias("query_v"), F.explode("near").alias("part")).join(plan, "part")
-    asking = asking.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("query_id"), "askers").alias("asker"), "query_id", "query_v")
-
-    def rerank(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-        ids, c = own["id"].to_numpy(), np.frombuffer(b"".join(own["v"]), np.float64).reshape(len(own), -1)
+    asked = rows.where("query").select("row", "id", "v")
+    leaves, routed, summary = build_index(rows.select("row", "id", "v"), asked, total, k, max_fit, recall, split, most)
+    if report is not None:
+        report.extend(summary)
+
+    held = leaves.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    askers = routed.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
+    plan = written(held.join(askers.hint("shuffle_hash"), "node"), "leaves")
+    candidates = leaves.join(plan.hint("shuffle_hash"), "node").select("node", F.pmod(F.hash("row"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), "row", "id", "v")
+    asking = routed.join(plan.hint("shuffle_hash"), "node").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("row"), "askers").alias("asker"), F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("v").alias("query_v"))
+    nothing = pd.DataFrame({"query_row": [], "query_id": [], "id": [], "score": []}).astype({"query_row": "int64", "query_id": "int64", "id": "int64", "score": "float64"})
+
+    def rerank(own: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(some):
+            return nothing
+        ids, numbers, c = own["id"].to_numpy(), own["row"].to_numpy(), _matrix(own["v"])
         out = []
-        for at in range(0, len(asked), 256):
-            some = asked.iloc[at : at + 256]
-            q = np.frombuffer(b"".join(some["query_v"]), np.float64).reshape(len(some), -1)
+        for at in range(0, len(some), 256):
+            part = some.iloc[at : at + 256]
+            q = _matrix(part["query_v"])
             rough = q @ c.T
-            for name, vector, scores in zip(some["query_id"].to_numpy(), q, rough, strict=True):
-                scores[ids == name] = -np.inf
+            for number, name, vector, scores in zip(part["query_row"].to_numpy(), part["query_id"].to_numpy(), q, rough, strict=True):
+                scores[numbers == number] = -np.inf
                 n = int((scores > -np.inf).sum())
                 if not n:
                     continue
@@ -218,10 +319,10 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
                 best = np.flatnonzero(scores >= least - 1e-9 * (1 + abs(least)))  # whatever may tie
                 exact = (c[best] * vector).sum(axis=1)  # the same sum for equal vectors
                 top = np.lexsort((ids[best], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": name, "id": ids[best][top], "score": exact[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+                out.append((np.full(len(top), number), np.full(len(top), name), ids[best][top], exact[top]))
+        return pd.DataFrame({name: np.concatenate(column) for name, column in zip(nothing.columns, zip(*out, strict=True), strict=True)}) if out else nothing
 
-    cells = ["part", "block", "asker"]
-    found = candidates.groupBy(*cells).cogroup(asking.groupBy(*cells)).applyInPandas(rerank, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.dropDuplicates(["query_id", "id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    cells = ["node", "block", "asker"]
+    found = candidates.groupBy(*cells).cogroup(asking.groupBy(*cells)).applyInPandas(rerank, "query_row long, query_id long, id long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")

@@ -34,11 +34,9 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class (five words, 0.8): the smallest id."""
-    docs = docs.select(*COLUMNS)
-    classes = near_duplicates.near_duplicates(docs, words=5)
-    dropped = classes.where("not kept").select("doc_id")
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each near-duplicate class (five words, 0.8), the smallest
+    id; whole rows, so that an id on two texts loses neither's class."""
+    return near_duplicates.one_of_each(docs.select(*COLUMNS), words=5)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
