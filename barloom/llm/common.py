@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -99,11 +100,13 @@ def range_buckets(df: DataFrame, column: str, buckets: int) -> list:
 
 
 def bucket_of(column: str, bounds: list):
-    """Number of bounds <= the value; nulls go to bucket 0 (they sort first)."""
+    """Number of bounds <= the value, by bisection; nulls go to bucket 0 (they sort first)."""
     if not bounds:
         return F.lit(0)
-    edges = F.array(*[F.lit(b) for b in bounds])
-    return F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(column))), F.lit(0))
+    # one literal, whatever the number of bounds
+    edges = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= F.col(column), at + step).otherwise(at))
 
 
 def prefix_totals(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
