@@ -2,15 +2,23 @@
 
 A page becomes a row of text blocks. A small fixed linear classifier gives each
 block a cost for being called content and one for being called boilerplate:
-those are its capacities to the two terminals. Blocks that follow each other,
-and blocks that share a parent element, are tied by smoothness edges. The
-maximum flow's cut labels all blocks at once; the content side is the text.
+those are its capacities to the two terminals. Blocks that follow each other
+are tied by an edge that weakens with the steps between them in the element
+tree, and blocks of one parent by an edge of their own. The maximum flow's cut
+labels all blocks at once; the content side is the text.
+
+Evidence is graded: length, links, sentences, headings, paragraphs, elements
+and words of class, id and role each add or take some hundredths of a nat, as
+much as a few edges are worth. A class name speaks against a block in full only
+when all its words do ("cookie-notice"), else in part ("popular-science"), and
+what stands around the block can outvote it.
 
 White space inside a block becomes one space, blocks are joined by a newline in
 page order, character references are decoded. Nothing else is dropped or cut.
 Null and empty pages, pages without markup and truncated pages are all defined:
-no blocks give an empty text, open elements end with the page. Repeated rows
-are treated alike; other columns pass through.
+no blocks give an empty text, a page without any tag is its own text, open
+elements end with the page. Repeated rows are treated alike; other columns pass
+through.
 """
 
 from __future__ import annotations
@@ -29,6 +37,7 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "object", "canvas", "audio", "video", "select", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -38,41 +47,69 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 FENCE = {"table", "ul", "ol", "dl", "article", "section", "div", "main", "aside", "nav", "footer", "header", "body", "form", "menu"}
 SIDE_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset", "search"}
 MAIN_TAGS = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words of class, id and role that speak for boilerplate, for content, and for neither.
 SIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "promotion", "banner", "sidebar", "widget", "widgets", "related", "recommended", "trending", "popular", "comment", "comments", "respond", "replies", "disqus", "discussion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "copyright", "masthead", "topbar", "toolbar", "search", "complementary", "contentinfo", "alertdialog", "skip"}
 MAIN_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
-#: Classifier weights, in hundredths of a nat.
-BASE, MAIN, NAMED, SIDE, HEADING, PER_100_CHARS, MOST_CHARS, LINKED, SENTENCE, PARAGRAPH = -100, 500, 120, -2000, 60, 60, 300, -700, 60, 60
-#: Smoothness between neighbours and between children of one parent.
-NEXT, SIBLING = 40, 60
+PLAIN_WORDS = MAIN_WORDS | {"area", "bar", "block", "bottom", "box", "col", "column", "container", "form", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "module", "outer", "page", "panel", "posts", "primary", "right", "row", "secondary", "section", "site", "stories", "top", "wrap", "wrapper"}
+#: Classifier weights, in hundredths of a nat. A step in the tree of elements counts once.
+BASE, MAIN, NAMED, SIDE, PARTLY_SIDE, HIDDEN, MOST_SIDE = -100, 260, 80, -420, -120, -700, -900
+HEADING, PARAGRAPH, SENTENCE, PER_100_CHARS, MOST_CHARS, LINKED = 80, 80, 40, 60, 240, -260
+#: Smoothness: between neighbours (a quarter for each step beyond siblings' two), and between children of one parent.
+NEXT, SIBLING = 80, 60
 
 
 class _Node:
-    __slots__ = ("tag", "main", "side", "linked", "named", "number")
+    """An open element: what it and the elements around it say about its blocks."""
+
+    __slots__ = ("tag", "main", "side", "named", "closed", "linked", "number", "up", "depth")
 
     def __init__(self, tag, parent, attributes, number):
-        self.tag, self.number = tag, number
-        self.main, self.side, self.linked, self.named = (parent.main, parent.side, parent.linked, parent.named) if parent else (False, False, False, False)
-        self.main = self.main or tag in MAIN_TAGS
-        self.linked = self.linked or tag == "a"
-        self.side = self.side or tag in SIDE_TAGS or tag == "header" and not self.main
+        self.tag, self.number, self.up = tag, number, parent
+        if parent is None:
+            self.main, self.side, self.named, self.closed, self.linked, self.depth = False, 0, False, False, False, 0
+            return
+        self.main, self.side, self.named, self.closed, self.linked, self.depth = parent.main, parent.side, parent.named, parent.closed, parent.linked or tag == "a", parent.depth + 1
+        full = tag in SIDE_TAGS or tag == "header" and not self.main
+        main, partly = tag in MAIN_TAGS, False
         if attributes and not attributes.isspace():
             for name, value in NAMES.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
-                if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                    self.side = True
-                elif name == "style":
-                    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                        self.side = True
-                elif name != "aria-hidden" and tag not in ("html", "body"):
-                    words = set(WORD.findall(CAMEL.sub(" ", value).lower()))
-                    if words & SIDE_WORDS or "header" in words and not self.main:
-                        self.side = True
-                    self.named = self.named or bool(words & MAIN_WORDS)
-
-
-def blocks_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, score in hundredths, parent element) of each block in page order."""
-    found: list[tuple[str, int, int]] = []
+                if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and CONCEALED.search(value):
+                    self.side += HIDDEN
+                elif name in ("class", "id", "role") and tag not in ("html", "body"):
+                    for token in value.split():
+                        words = set(WORD.findall(CAMEL.sub(" ", token).lower()))
+                        against = words & SIDE_WORDS or "header" in words and not self.main
+                        full = full or bool(against) and words <= SIDE_WORDS | PLAIN_WORDS | {"header"}
+                        partly = partly or bool(against)
+                        self.named = self.named or bool(words & MAIN_WORDS)
+                    main = main or name == "role" and value.lower() in ("main", "article")
+        if main and not self.closed:  # what a page-wide form or a class said around it no longer counts
+            self.main, self.side = True, max(self.side, 0)
+        if full:
+            self.side += SIDE
+            self.main = self.named = False
+            self.closed = self.closed or tag != "form"
+        elif partly:
+            self.side += PARTLY_SIDE
+
+
+def steps_between(a: _Node, b: _Node) -> int:
+    """Steps from one element to another in the tree."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        n += 1
+    return n
+
+
+def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
+    """(text, score in hundredths, element) of each block in page order."""
+    found: list[tuple[str, int, _Node]] = []
     stack = [_Node("", None, "", 0)]
     pieces: list[str] = []
     linked = 0
@@ -81,7 +118,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int]]:
 
     def add(text: str) -> None:
         nonlocal linked, owner
-        if not pieces:
+        if not pieces or not text.isspace() and all(p.isspace() for p in pieces):
             owner = stack[-1]
         pieces.append(text)
         if stack[-1].linked:
@@ -92,28 +129,20 @@ def blocks_of(page: str) -> list[tuple[str, int, int]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                found.append((text, score(text), parent_of()))
+                found.append((text, score(text), owner))
             pieces.clear()
             linked = 0
 
-    def parent_of() -> int:
-        for node in reversed(stack):
-            if node.tag in FENCE or not node.tag:
-                return node.number
-        return 0
-
     def score(text: str) -> int:
-        node = owner
         n = len(text)
-        out = BASE + (MAIN if node.main else 0) + (NAMED if node.named else 0) + (SIDE if node.side else 0)
+        out = BASE + (MAIN if owner.main else 0) + (NAMED if owner.named else 0) + max(owner.side, MOST_SIDE)
         out += min(MOST_CHARS, n * PER_100_CHARS // 100) + LINKED * min(n, linked) // n
         if text[-1] in ".!?…。！？":
             out += SENTENCE
-        for up in reversed(stack):
-            if up.tag in BLOCK:
-                out += HEADING if up.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else PARAGRAPH if up.tag in ("p", "blockquote", "pre") else 0
-                break
-        return out
+        up = owner
+        while up.up and up.tag not in BLOCK:
+            up = up.up
+        return out + (HEADING if up.tag in HEADINGS else PARAGRAPH if up.tag in ("p", "blockquote", "pre") else 0)
 
     at, n = 0, len(page)
     while at < n:
@@ -168,6 +197,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int]]:
             numbered += 1
             stack.append(_Node(name, stack[-1], attributes, numbered))
     flush()
+    if not numbered:  # no tag opened: plain text
+        found = [(text, max(1, value), node) for text, value, node in found]
     return found
 
 
@@ -240,16 +271,30 @@ def min_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
                 a = to[path.pop() ^ 1]
 
 
-def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+def edges_of(blocks: list[tuple[str, int, _Node]]) -> list[tuple[int, int, int]]:
+    """Smoothness edges (a, b, capacity) of a page's blocks.
+
+    The border of an element that speaks against its blocks counts two steps.
+    """
     edges, last = [], {}
-    for i, (_, _, parent) in enumerate(blocks):
+    for i, (_, _, node) in enumerate(blocks):
+        parent = node
+        while parent.up and parent.tag not in FENCE:
+            parent = parent.up
         if i:
-            edges.append((i - 1, i, NEXT))
-        if parent in last:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    keep = min_cut([s for _, s, _ in blocks], edges)
+            before = blocks[i - 1][2]
+            apart = steps_between(before, node) - 2 + 2 * (before.side != node.side)
+            edges.append((i - 1, i, NEXT >> min(20, 2 * max(0, apart))))
+        group = (parent.number, node.side)
+        if group in last:
+            edges.append((last[group], i, SIBLING))
+        last[group] = i
+    return edges
+
+
+def main_text(page: str | None) -> str:
+    blocks = blocks_of(page or "")
+    keep = min_cut([s for _, s, _ in blocks], edges_of(blocks))
     return "\n".join(text for (text, _, _), k in zip(blocks, keep, strict=True) if k)
 
 
