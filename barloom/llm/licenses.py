@@ -1,14 +1,17 @@
 """License scans: exact containment join of text blocks with license notices.
 
-Blocks are lines. A block matches a template when it holds at least
-``threshold`` of the template's distinct words, whatever their order. The join
-is exact: words stand in one global order, rarest first, by their counts over
-all blocks of the corpus; a matching block must hold one of the template's
-first ``|T| - need + 1`` words (prefix filter), at least ``need`` template
-words at all (length filter), and enough words after the first shared one on
-either side (positional filter). Survivors are verified on the full sets.
-Words outside all templates cannot add to a containment, so blocks are kept as
-their template words only.
+A block is a run of consecutive words, whatever lines they stand on: ``2 * step``
+words from every multiple of ``step``, where ``step`` is the power of two from
+1.2 times the template's own words. So every run of ``step`` words lies whole in
+some block, and words far apart in a long line do not meet. A block matches a
+template when it holds at least ``threshold`` of the template's distinct words,
+whatever their order. The join is exact: words stand in one global order, rarest
+first, by the number of texts that hold them; a matching block must hold one of
+the template's first ``|T| - need + 1`` words (prefix filter), at least ``need``
+template words at all (length filter), and enough words after the first shared
+one on either side (positional filter). Survivors are verified on the full sets.
+Words outside all templates cannot add to a containment, so texts are kept as
+the places of template words only, and blocks are cut out around prefix words.
 
 Beside it, base phrases are found at every place where their words stand one
 after another in the whole text, over line ends too.
@@ -20,7 +23,10 @@ their own; other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 import math
+import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,23 +37,27 @@ from barloom.llm.common import written
 #: Base phrases and their labels. Fixed values of the contract.
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Notices of common licenses and the labels the join adds.
+#: Notices of common licenses and the labels the join adds: several texts for some.
 TEMPLATES = {
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2",
-    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
-    "agpl-3.0": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "all-rights-reserved": "All rights reserved.",
-    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
-    "unlicense": "This is free and unencumbered software released into the public domain",
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "either version 3 of the License, or (at your option) any later version"],
+    "gpl-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
+    "agpl-3.0": ["it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "mit-grant": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "cc-by-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "cc-by-sa-4.0": ["This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0."],
+    "all-rights-reserved": ["All rights reserved."],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,6 +65,10 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+#: Slots of the vocabulary's look-up table.
+SLOTS = 1024
+
+
 def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -64,10 +78,21 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
-    import re
+@dataclass(frozen=True)
+class Template:
+    label: str
+    words: tuple[str, ...]  # distinct
+    step: int  # words between the beginnings of two blocks
+    need: int
+
 
-    return {label: sorted(set(re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER))))) for label, text in templates.items()}
+def templates_of(texts: dict[str, list[str]], threshold: float) -> list[Template]:
+    out = []
+    for label, notices in texts.items():
+        for notice in notices:
+            words = re.findall(WORD, notice.translate(str.maketrans(UPPER, LOWER)))
+            out.append(Template(label, tuple(sorted(set(words))), 1 << math.ceil(math.log2(1.2 * len(words))), needed(len(set(words)), threshold)))
+    return out
 
 
 def needed(size: int, threshold: float) -> int:
@@ -84,51 +109,69 @@ def _labelled(places: Column, label: str, size: int) -> Column:
     return F.transform(places, lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("word"), F.lit(size).alias("size")))
 
 
-def scan_documents(documents: DataFrame, base: dict[str, str] = BASE_PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def scan_documents(documents: DataFrame, base: dict[str, str] = BASE_PHRASES, templates: dict[str, list[str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """For each row: doc_id, n_words, places by base phrase, matches.
 
     ``places`` is array<struct<label, word, size>>, ``matches`` is
-    array<struct<block, label, containment>>; both empty where nothing is found.
+    array<struct<word, width, label, containment>>, a block's first word and its
+    words; both empty where nothing is found.
     """
-    sets = template_words(templates)
-    vocabulary = sorted({w for words in sets.values() for w in words})
-    least = min(needed(len(words), threshold) for words in sets.values())
+    spark = documents.sparkSession
+    known = templates_of(templates, threshold)
+    vocabulary = sorted({w for t in known for w in t.words})
+    least = min(t.need for t in known)
     prefilter = "(?i)(?:" + "|".join(BETWEEN.join(p.split(" ")) for p in base) + ")"
     low = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", lowered(F.col("text")))
     found = F.concat(*[_labelled(_places(F.col("words"), p), label, len(p.split(" "))) for p, label in base.items()])
-    lines = F.split("low", "\n", -1)
-    held = F.transform(lines, lambda line, i: F.struct(i.alias("block"), F.array_intersect(words_of(line), F.array(*[F.lit(w) for w in vocabulary])).alias("held")))
     nothing = F.array().cast("array<struct<label:string,word:bigint,size:int>>")
+    # a word's number in the vocabulary, or null: its hash picks the few it could be
+    slots: dict[int, list[str]] = {}
+    for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.pmod(F.hash("w"), F.lit(SLOTS)).alias("slot")).collect():
+        slots.setdefault(r["slot"], []).append(r["w"])
+    held = json.dumps([sorted(slots.get(i, [])) for i in range(SLOTS)])
+    table = F.from_json(F.lit(held), "array<array<string>>")  # one literal of fixed size
+    hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(F.get(table, F.pmod(F.hash(w), F.lit(SLOTS))), w), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull())
     scanned = low.withColumn("words", words_of(F.col("low"))).select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.when(F.col("text").rlike(prefilter) & (F.size("words") > 0), found).otherwise(nothing).alias("places"),
-        F.filter(held, lambda b: F.size(b["held"]) > 0).alias("blocks"),
+        hits.alias("hits"),
     )
-    scanned = written(scanned, "license-blocks")  # fixes the row numbers
+    scanned = written(scanned, "license-words")  # fixes the row numbers
 
-    counts = scanned.select(F.explode("blocks").alias("b")).select(F.explode("b.held").alias("word")).groupBy("word").count()
+    counts = scanned.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("word")).groupBy("word").count()
     seen = {r["word"]: r["count"] for r in counts.collect()}  # template words only
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     index = []
-    for label, words in sets.items():
-        ranked = sorted(words, key=rank.__getitem__)
-        need = needed(len(ranked), threshold)
-        index += [(w, label, i, len(ranked), need, ranked) for i, w in enumerate(ranked[: len(ranked) - need + 1])]
-    spark = documents.sparkSession
-    prefixes = spark.createDataFrame(index, "word string, label string, at int, size int, need int, template array<string>")
-    ranks = F.create_map(*[F.lit(v) for w in order for v in (w, rank[w])])
-    ordered = scanned.select("row", F.explode("blocks").alias("b")).select("row", "b.block", "b.held").where(F.size("held") >= least)
-    ordered = ordered.withColumn("held", F.transform(F.array_sort(F.transform("held", lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda s: s["w"]))
-    tokens = ordered.select("row", "block", "held", F.posexplode("held").alias("pos", "word"))
+    for t in known:
+        ranked = sorted(t.words, key=rank.__getitem__)
+        index += [(w, t.label, i, len(ranked), t.need, t.step, ranked) for i, w in enumerate(ranked[: len(ranked) - t.need + 1])]
+    prefix = sorted({x[0] for x in index})
+    widest = 2 * max(t.step for t in known)
+    prefixes = spark.createDataFrame(index, "word string, label string, at int, size int, need int, step int, template array<string>")
+    ranks = F.from_json(F.lit(json.dumps(rank)), "map<string,int>")
+    # around each prefix word the template words that any block with it can hold
+    near = F.filter(
+        F.transform("hits", lambda h, k: F.when(F.array_contains(F.array(*[F.lit(w) for w in prefix]), h["w"]), F.struct(h["i"].alias("i"), h["w"].alias("word"), F.slice("hits", F.greatest(k + 1 - widest, F.lit(1)), F.lit(2 * widest)).alias("around")))),
+        lambda x: x.isNotNull(),
+    )
+    tokens = scanned.where(F.size("hits") >= least).select("row", F.explode(near).alias("x")).select("row", "x.*")
     # the index has a row for each prefix word of each template
-    pairs = tokens.join(F.broadcast(prefixes), "word").where((F.size("held") >= F.col("need")) & (F.lit(1) + F.least(F.size("held") - F.col("pos") - 1, F.col("size") - F.col("at") - 1) + F.least("pos", "at") >= F.col("need")))
+    pairs = tokens.join(F.broadcast(prefixes), "word")
+    own = F.floor(F.col("i") / F.col("step")).cast("int")
+    pairs = pairs.withColumn("block", F.explode(F.when(own > 0, F.array(own - 1, own)).otherwise(F.array(own))))
+    begin = F.col("block") * F.col("step")
+    inside = F.array_distinct(F.transform(F.filter("around", lambda h: (h["i"] >= begin) & (h["i"] < begin + 2 * F.col("step"))), lambda h: h["w"]))
+    pairs = pairs.withColumn("held", inside).where(F.size("held") >= F.col("need"))
+    pairs = pairs.withColumn("held", F.transform(F.array_sort(F.transform("held", lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda x: x["w"]))
+    pairs = pairs.withColumn("pos", F.array_position("held", F.col("word")).cast("int") - 1)
+    pairs = pairs.where(F.lit(1) + F.least(F.size("held") - F.col("pos") - 1, F.col("size") - F.col("at") - 1) + F.least("pos", "at") >= F.col("need"))
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("held", "template"))).where(F.col("shared") >= F.col("need"))
-    matches = pairs.groupBy("row", "block", "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
-    matches = matches.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "label", "containment"))).alias("matches"))
-    none = F.array().cast("array<struct<block:int,label:string,containment:double>>")
+    matches = pairs.groupBy("row", begin.cast("long").alias("word"), (2 * F.col("step")).alias("width"), "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
+    matches = matches.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("word", "width", "label", "containment"))).alias("matches"))
+    none = F.array().cast("array<struct<word:bigint,width:int,label:string,containment:double>>")
     return scanned.join(matches.hint("shuffle_hash"), "row", "left").select("doc_id", "n_words", "places", F.coalesce("matches", none).alias("matches"))
 
 
