@@ -5,15 +5,17 @@ continuation counts below the top order. All n-grams seen stand in one sorted
 array of hashes for each order, with a column of log-probabilities and of
 backoff weights for each language: a look-up is one binary search for all
 languages. The language of lowest cross-entropy per character wins; a text is
-rejected when even that exceeds what the language's own texts reach, with a
-margin that widens for short texts.
+rejected when even that exceeds what texts of the language reach that the
+models were not fitted on, with a margin that widens for short texts.
 
 Text is lower-cased; whatever is not a letter counts as one blank. A null text
 or one without a letter is ``und`` with score 0. Learned languages come from
 the non-null values of ``lang``; a language without rows is not learned. With
 no language at all every text is ``und``. Ties go to the language that sorts
-first. The fit uses about ``max_docs`` texts for each language (chosen by id
-hash): the documented bound. Every text is scored whole.
+first. The fit uses about ``max_docs`` texts for each language, a fifth of them
+to calibrate the rejection, chosen by id hash among those of at most
+``max_chars`` characters: the documented bound. Every text is scored whole, in
+steps of bounded memory.
 """
 
 from __future__ import annotations
@@ -28,24 +30,30 @@ from pyspark.sql import functions as F
 from barloom.llm.common import row_slices, written
 
 ORDER = 4
+#: Symbols of one step, and characters beyond which a text is cut into symbols piece by piece.
+STEP, PIECE = 1 << 18, 1 << 20
 UNDETERMINED = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _letters: np.ndarray | None = None
 
 
+def _letter_table() -> np.ndarray:
+    global _letters
+    if _letters is None:
+        _letters = np.array([chr(c).isalpha() for c in range(0x110000)])
+    return _letters
+
+
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-case code points of all texts, non-letters as single blanks (0).
 
     Each text with a letter begins and ends with a blank; the second array has
     its first place (and one more entry, the end).
     """
-    global _letters
-    if _letters is None:
-        _letters = np.array([chr(c).isalpha() for c in range(0x110000)])
     coded = [np.frombuffer(f" {(t or '').lower()} ".encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     sizes = np.array([len(c) for c in coded])
     points = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
-    points = np.where(_letters[points], points, 0)
+    points = np.where(_letter_table()[points], points, 0)
     first = np.zeros(len(points), bool)
     first[np.cumsum(sizes) - sizes] = True
     keep = (points > 0) | first
@@ -54,22 +62,24 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return points[keep].astype(np.uint64), starts
 
 
-def gram_hashes(points: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+def gram_hashes(points: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     """For each order n the hash of the n symbols that end at a place; 0 where
-    the text has fewer before it. The first blank of a text predicts nothing."""
+    the text (``place`` counts from its first blank) has fewer before it."""
     n = len(points)
-    begin = np.repeat(starts[:-1], np.diff(starts))
-    place = np.arange(n) - begin
     keys, key = [], np.zeros(n, np.uint64)
     for order in range(1, ORDER + 1):
         older = np.zeros(n, np.uint64)
-        older[order - 1 :] = points[: n - order + 1] if order > 1 else points
+        older[order - 1 :] = points[: max(0, n - order + 1)]
         key = (key * np.uint64(3) + older + np.uint64(order)) * _MIX
         key = key ^ (key >> np.uint64(29))
         keys.append(np.where(place >= order - 1, key | np.uint64(1), np.uint64(0)))
     return keys
 
 
+def places_of(starts: np.ndarray) -> np.ndarray:
+    return np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -105,12 +115,43 @@ class LanguageModel:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy per symbol by text and language, symbols by text)."""
-        points, starts = symbols(texts)
-        scores = self.place_scores(gram_hashes(points, starts))
-        scores[starts[:-1]] = 0
-        sizes = np.diff(starts) - 1  # predicted symbols; 0 for a text without a letter
-        total = np.add.reduceat(scores.astype(np.float64), starts[:-1], axis=0) if len(texts) else np.zeros((0, len(self.languages)))
-        return -total / np.maximum(sizes, 1)[:, None], sizes
+        total, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        short = [i for i, t in enumerate(texts) if len(t or "") <= PIECE]
+        if short:
+            points, starts = symbols([texts[i] for i in short])
+            place, of = places_of(starts), np.repeat(short, np.diff(starts))
+            for at in range(0, len(points), STEP):
+                low, high = max(0, at - ORDER), min(len(points), at + STEP)
+                self._add(total, points[low:high], place[low:high], at - low, of[at:high])
+            sizes[short] = np.diff(starts) - 1  # predicted symbols; 0 for a text without a letter
+        for i, t in enumerate(texts):
+            if len(t or "") > PIECE:
+                sizes[i] = self._long(total, i, t.lower()) - 1
+        return -total / np.maximum(sizes, 1)[:, None], np.maximum(sizes, 0)
+
+    def _add(self, total: np.ndarray, points: np.ndarray, place: np.ndarray, known: int, of: np.ndarray) -> None:
+        """Add the scores of the places after the first ``known`` to their texts' totals."""
+        scores = self.place_scores(gram_hashes(points, place))[known:].astype(np.float64)
+        scores[place[known:] == 0] = 0  # a text's first blank is given
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        total[of[first]] += np.add.reduceat(scores, first, axis=0)
+
+    def _long(self, total: np.ndarray, i: int, text: str) -> int:
+        """Add a long text's scores piece by piece; its number of symbols."""
+        tail, done = np.zeros(1, np.uint64), 0  # the text's first blank
+        for at in range(0, len(text) + 1, PIECE):
+            piece = text[at : at + PIECE] + (" " if at + PIECE > len(text) else "")
+            points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
+            points = np.where(_letter_table()[points], points, 0).astype(np.uint64)
+            points = points[(points > 0) | np.append(tail[-1] > 0, points[:-1] > 0)]
+            if not done:
+                points, tail = np.append(tail, points), tail[:0]
+            for k in range(0, len(points), STEP):
+                own = points[k : k + STEP]
+                both = np.append(tail, own)
+                self._add(total, both, done - len(tail) + np.arange(len(both)), len(tail), np.full(len(own), i))
+                tail, done = both[-ORDER:], done + len(own)
+        return done
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score from 0 to 1, and whether the text is rejected."""
@@ -126,9 +167,9 @@ class LanguageModel:
         return names, np.where(none, 0.0, 1 / odds).tolist(), (none | (lowest > limit)).tolist()
 
 
-def fit(counts: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]], calibrate: dict[str, list[str]]) -> LanguageModel:
+def fit(counts: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]) -> LanguageModel:
     """Build the arrays. ``counts``: for each language and order (hashes, counts,
-    suffix hashes, context hashes); ``calibrate``: texts for the rejection bound."""
+    suffix hashes, context hashes). The rejection is wide until it is calibrated."""
     languages = sorted(counts)
     size = len(languages)
     grams = [np.unique(np.concatenate([counts[x][o][0] for x in languages])) if size else np.zeros(0, np.uint64) for o in range(ORDER)]
@@ -172,34 +213,29 @@ def fit(counts: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
             lower = np.exp(logp[o - 1][suffix[o], i].astype(np.float64))
             p = np.maximum(c - discount, 0) / np.maximum(sums[context[o]], 1e-12) * (sums[context[o]] > 0) + freed[context[o]] * lower
             logp[o][:, i] = np.log(np.maximum(p, 1e-12))
-    model = LanguageModel(languages, grams, logp, backoff, floor, np.zeros(size), np.zeros(size))
-    for i, x in enumerate(languages):
-        entropy, sizes = model.entropies(calibrate[x])
-        own = entropy[sizes >= 20, i]
-        model.mean[i] = own.mean() if len(own) else 3.0
-        # calibrated: 1.25 times the largest excess of the language's own texts, at least half a nat
-        model.spread[i] = max(0.5, 1.25 * (own.max() - own.mean())) if len(own) else 2.0
-    return model
+    return LanguageModel(languages, grams, logp, backoff, floor, np.full(size, 3.0), np.full(size, 2.0))
 
 
-def train_languages(documents: DataFrame, learn: Column | None = None, max_docs: int = 400) -> LanguageModel:
-    """Fit on about ``max_docs`` whole texts of each language, chosen by id hash."""
+def train_languages(documents: DataFrame, learn: Column | None = None, max_docs: int = 500, max_chars: int = 100_000) -> LanguageModel:
+    """Fit on about ``max_docs`` whole texts of each language, chosen by id hash;
+    every fifth of them calibrates the rejection instead."""
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if learn is not None:
         usable = usable.where(learn)
-    usable = usable.select("doc_id", "lang", "text")
+    usable = usable.where(F.length("text") <= max_chars).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not sizes:
-        return fit({}, {})
+        return fit({})
     rate = F.element_at(F.create_map(*[F.lit(v) for x, n in sorted(sizes.items()) for v in (x, min(1.0, max_docs / n))]), F.col("lang"))
     sample = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < rate * (1 << 20))
-    sample = written(sample, "languages")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(5)) == 0
+    sample = written(sample.withColumn("held", held), "languages")
 
     def run(batches):
         for part in row_slices(batches, "text"):
             langs = np.array(part.column("lang").to_pylist(), object)
             points, starts = symbols(part.column("text").to_pylist())
-            keys = gram_hashes(points, starts)
+            keys = gram_hashes(points, places_of(starts))
             of = np.repeat(np.arange(len(langs)), np.diff(starts))
             for x in sorted(set(langs)):
                 mine = (langs == x)[of]
@@ -213,7 +249,7 @@ def train_languages(documents: DataFrame, learn: Column | None = None, max_docs:
                     columns = [pa.array([x] * len(key), pa.string()), pa.array([o] * len(key), pa.int32()), *[pa.array(v.view(np.int64)) for v in (key, below, before)], pa.array(count.astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", "o", "key", "below", "before", "n"])
 
-    grams = sample.mapInArrow(run, "lang string, o int, key long, below long, before long, n long")
+    grams = sample.where("not held").select("lang", "text").mapInArrow(run, "lang string, o int, key long, below long, before long, n long")
     # bounded by the sample: about max_docs texts of each language
     got = grams.groupBy("lang", "o", "key").agg(F.min("below").alias("below"), F.min("before").alias("before"), F.sum("n").alias("n")).toArrow().to_pandas()
     counts: dict[str, list] = {}
@@ -224,11 +260,25 @@ def train_languages(documents: DataFrame, learn: Column | None = None, max_docs:
             key = own.key.to_numpy(np.int64).view(np.uint64)
             order = np.argsort(key)
             counts[x].append((key[order], own.n.to_numpy()[order], own.below.to_numpy(np.int64).view(np.uint64)[order], own.before.to_numpy(np.int64).view(np.uint64)[order]))
-    texts: dict[str, list[str]] = {x: [] for x in counts}
-    for r in sample.select("lang", "text").orderBy("doc_id").toArrow().to_pylist():
-        if r["lang"] in texts:
-            texts[r["lang"]].append(r["text"])
-    return fit(counts, texts)
+    return calibrated(fit(counts), sample.where("held").select("lang", "text"))
+
+
+def calibrated(model: LanguageModel, texts: DataFrame) -> LanguageModel:
+    """``model`` with the rejection set by texts it was not fitted on: 1.25 times
+    the largest excess over their mean cross-entropy, at least half a nat."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for part in row_slices(batches, "text", 500_000):
+            entropy, sizes = model.entropies(part.column("text").to_pylist())
+            own = [model.languages.index(x) if x in model.languages else -1 for x in part.column("lang").to_pylist()]
+            keep = np.flatnonzero((sizes >= 20) & (np.array(own) >= 0))
+            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in keep], pa.int32()), pa.array([entropy[i, own[i]] for i in keep], pa.float64())], names=["own", "entropy"])
+
+    for r in texts.mapInArrow(run, "own int, entropy double").groupBy("own").agg(F.avg("entropy").alias("mean"), F.max("entropy").alias("most")).collect():  # a row for each language
+        model.mean[r["own"]], model.spread[r["own"]] = r["mean"], max(0.5, 1.25 * (r["most"] - r["mean"]))
+    return model
 
 
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
