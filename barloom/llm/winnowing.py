@@ -8,8 +8,9 @@ gives both a common hash. A text with fewer characters has one hash of what it
 has; one with no visible character has none. Null texts are empty; equal texts
 have equal fingerprints. Texts are never cut.
 
-A fingerprint is an array of 63-bit values: 36 bits of hash over 27 bits that
+A fingerprint is an array of 63-bit values: 32 bits of hash over 31 bits that
 count places backwards, so that the smaller of two equal hashes stands right.
+31 bits hold every place of the longest text that a column can.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from barloom.llm.common import bucket_of, range_buckets, shuffle_partitions
 
-PLACE_BITS = 27
+PLACE_BITS = 31
 LAST_PLACE = (1 << PLACE_BITS) - 1
 BLANKS = " \t\n\x0b\f\r"
 
@@ -28,7 +29,7 @@ BLANKS = " \t\n\x0b\f\r"
 def add_fingerprint(df: DataFrame, text: str, out: str, k: int = 12, window: int = 8) -> DataFrame:
     """``df`` with the fingerprint of column ``text`` (not null) as array<bigint>."""
     coded, low, steps = f"_{out}_coded", f"_{out}_low", 1
-    packed = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 64 - 36), PLACE_BITS) + (F.lit(LAST_PLACE).cast("long") - i)
+    packed = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 64 - 32), PLACE_BITS) + (F.lit(LAST_PLACE).cast("long") - i)
     # four bytes a character: a gram is cut out at once, whatever its place
     df = df.withColumn(coded, F.encode(F.translate(F.col(text), BLANKS, ""), "UTF-32"))
     c = F.col(coded)
@@ -73,14 +74,16 @@ def compare_with_edits(documents: DataFrame) -> DataFrame:
     comes the first). The key is cut into ranges, so a text is shuffled once;
     over a range's end the next range's first text is joined.
     """
-    spark = documents.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = shuffle_partitions(documents.sparkSession)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bounds = range_buckets(docs, "doc_id", 4 * parts)
     keyed = docs.withColumn("bucket", bucket_of("doc_id", bounds))
     firsts = keyed.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id"), F.col("text"))).alias("first"))
-    whole = Window.partitionBy(F.lit(0)).orderBy("bucket")  # a row for each range
-    firsts = firsts.select("bucket", F.coalesce(F.lead("first.text").over(whole), F.first("first.text").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    # which range comes next: a number for each range, without its text
+    around = Window.partitionBy(F.lit(0)).orderBy("bucket")
+    numbers = keyed.select("bucket").distinct()
+    numbers = numbers.select(F.col("bucket").alias("before"), F.coalesce(F.lead("bucket").over(around), F.first("bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("bucket"))
+    firsts = numbers.join(firsts.hint("shuffle_hash"), "bucket").select(F.col("before").alias("bucket"), F.col("first.text").alias("after"))
     firsts = add_fingerprint(firsts, "after", "after_print")
     within = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     rows = add_fingerprint(keyed.repartition(parts, "bucket"), "text", "print")
