@@ -7,8 +7,9 @@ class log-count ratio; a text's vector is scaled to unit length. A linear
 hinge-loss model is fitted by dual coordinate descent, and a logistic curve on
 held-back rows of the sample turns its margin into a score.
 
-The fit uses at most ``max_rows`` labelled rows, those of smallest id hash: the
-documented bound. Scoring covers every row and whole texts.
+The fit uses labelled rows in order of their id's hash, at most ``max_rows`` of
+them and ``max_bytes`` of their features: the documented bound, which holds on
+the driver whatever texts are like. Scoring covers every row and whole texts.
 
 Null and empty texts have only their length bin and get a score like any other.
 Rows with a null id, null label or null remainder are never learned from. With
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.llm.common import row_slices, written
 
@@ -144,8 +146,8 @@ def _logistic(x: np.ndarray, up: np.ndarray, rounds: int = 50) -> tuple[float, f
     return max(a, 0.1), b
 
 
-def train_quality(documents: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = 6000) -> QualityModel:
-    """Fit on at most ``max_rows`` labelled rows (those of smallest id hash).
+def train_quality(documents: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = 6000, max_bytes: int = 160_000_000) -> QualityModel:
+    """Fit on labelled rows in order of their id's hash, within the bounds.
 
     ``learn`` is a predicate on doc_id that says which labels may be used.
     """
@@ -162,7 +164,13 @@ def train_quality(documents: DataFrame, labels: DataFrame, learn: Column | None
             found = [indicators(t, marks).astype("<i4").tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
 
-    got = texts.mapInArrow(run, "doc_id long, label int, found binary").orderBy("doc_id", "label", "found").limit(4 * max_rows).toArrow()
+    found = texts.mapInArrow(run, "doc_id long, label int, found binary").withColumn("row", F.monotonically_increasing_id())
+    found = written(found, "features")  # fixes the row numbers
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.col("mark")]
+    first = found.select("row", "doc_id", "label", F.xxhash64("found").alias("mark"), F.length("found").alias("size")).orderBy(*order).limit(max_rows)
+    # a running total over max_rows numbers at most
+    first = first.withColumn("total", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= max_bytes)
+    got = found.join(F.broadcast(first.select("row", "total")), "row").orderBy("total", "row").select("label", "found").toArrow()
     # views of the Arrow buffers: the driver holds the sample's features once
     rows = [np.frombuffer(x.as_buffer(), "<i4") for x in got["found"]]
     return fit(rows, got["label"].to_pylist())
