@@ -177,27 +177,48 @@ class Transducer:
         return out
 
 
+def _utf8_states() -> list[bytes]:
+    """next[state][byte]: 0 between characters, 1 to 3 when so many continuation
+    bytes of any value are due, 4 to 7 when the next one is restricted (after E0,
+    ED, F0, F4), 8 where no character can go on."""
+    bad = 8
+    table = [bytearray([bad]) * 256 for _ in range(8)]
+    table[0][:0x80] = bytes(0x80)
+    for low, high, state in ((0xC2, 0xDF, 1), (0xE1, 0xEC, 2), (0xEE, 0xEF, 2), (0xF1, 0xF3, 3), (0xE0, 0xE0, 4), (0xED, 0xED, 5), (0xF0, 0xF0, 6), (0xF4, 0xF4, 7)):
+        table[0][low : high + 1] = bytes([state]) * (high - low + 1)
+    for state, low, high, then in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        table[state][low : high + 1] = bytes([then]) * (high - low + 1)
+    return [bytes(row) for row in table]
+
+
 class Utf8Machine:
-    """Incremental UTF-8: text for whatever is complete, the rest is held back."""
+    """Incremental UTF-8 as a table of states: text for whatever is complete.
+
+    Every lead byte starts from state 0, so the state after some bytes is known
+    from the last of them that is no continuation byte. Bytes that leave a state
+    open are held back until the next ones arrive.
+    """
+
+    NEXT = _utf8_states()
 
     def __init__(self):
         self.held = b""
 
-    @staticmethod
-    def _unfinished(data: bytes) -> int:
-        """Length of a started sequence at the end that may still become valid."""
+    def _open(self, data: bytes) -> int:
+        """Bytes at the end that an unfinished character holds."""
         for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte >= 0xC0:
-                need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4 if byte < 0xF8 else 0
-                return back if need > back else 0
-            if byte < 0x80:
-                return 0
+            if data[-back] & 0xC0 != 0x80:
+                state = 0
+                for byte in data[len(data) - back :]:
+                    state = self.NEXT[state][byte]
+                    if state == 8:
+                        return 0
+                return back if state else 0
         return 0
 
     def feed(self, data: bytes) -> str:
         data = self.held + data
-        keep = self._unfinished(data)
+        keep = self._open(data)
         self.held = data[len(data) - keep :] if keep else b""
         return data[: len(data) - keep].decode("utf-8", "replace")
 
