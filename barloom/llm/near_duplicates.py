@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import discard, row_slices, written
+from barloom.llm.common import discard, row_slices, shuffle_partitions, written
 from barloom.llm.components import components
 from barloom.llm.shingles import drawn, mixed, shingle_sets, signature
 
@@ -136,6 +136,15 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def _near(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and signatures are close."""
+    both = pairs.join(sketch.toDF("a", "sig_a", "size_a").hint("shuffle_hash"), "a").join(sketch.toDF("b", "sig_b", "size_b").hint("shuffle_hash"), "b")
+    both = both.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    places = F.sequence(F.lit(0), F.lit(CHUNKS * WIDTH - 1))
+    apart = F.filter(places, lambda i: F.substring(F.col("sig_a"), i * 2 + 1, F.lit(2)) != F.substring(F.col("sig_b"), i * 2 + 1, F.lit(2)))
+    return both.where(F.size(apart) <= CLOSE).select("a", "b")
+
+
 def _cells(members: DataFrame, keys: list[str]) -> DataFrame:
     """``members`` (keys, node, label, ...) dealt to cells of two blocks.
 
@@ -208,15 +217,14 @@ def _links(documents: DataFrame, nodes: DataFrame, words: int, percent: int) ->
     keys = _keys(nodes)
     groups = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("first < last")
     # keys with the same nodes are one group
-    groups = groups.groupBy("first", "last", "n", "mark").agg(F.min("key").alias("key")).select("key", "first", "n")
-    members = written(keys.join(groups.hint("shuffle_hash"), "key").select("key", "node", "first", "n"), "groups")
+    groups = written(groups.groupBy("first", "last", "n", "mark").agg(F.min("key").alias("key")).select("key", "first", "last", "n"), "keys")
     sketch = nodes.select("node", "sig", "size")
+    # a group of two is one pair, which needs no cell
+    twos = _near(groups.where("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).distinct(), sketch, percent)
+    members = written(keys.join(groups.where("n > 2").hint("shuffle_hash"), "key").select("key", "node", "first", "n"), "groups")
 
     stars = members.where((F.col("n") > BLOCK) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    near = stars.join(sketch.toDF("a", "sig_a", "size_a").hint("shuffle_hash"), "a").join(sketch.toDF("b", "sig_b", "size_b").hint("shuffle_hash"), "b")
-    values = lambda c: F.transform(F.sequence(F.lit(0), F.lit(CHUNKS * WIDTH - 1)), lambda i: F.substring(c, i * 2 + 1, F.lit(2)))
-    apart = F.size(F.filter(F.arrays_zip(values(F.col("sig_a")).alias("x"), values(F.col("sig_b")).alias("y")), lambda p: p["x"] != p["y"]))
-    near = near.where((100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (apart <= CLOSE))
+    near = _near(stars, sketch, percent)
     stars = written(near.select("a", "b"), "stars")
     links, classes = [], None
     if not stars.isEmpty():
@@ -228,8 +236,8 @@ def _links(documents: DataFrame, nodes: DataFrame, words: int, percent: int) ->
     of_group = members.select("key", "node")
     of_group = _labelled(of_group, classes) if classes is not None else of_group.withColumn("label", F.col("node"))
     with_sketch = of_group.join(sketch.hint("shuffle_hash"), "node")
-    close = written(_forest_of(with_sketch, ["key"], percent, False).distinct(), "close")
-    discard(members, stars)
+    close = written(_forest_of(with_sketch, ["key"], percent, False).unionByName(twos).distinct(), "close")
+    discard(members, stars, groups)
 
     ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(_full_sets(documents, nodes, ends, words), "sets")
@@ -239,8 +247,9 @@ def _links(documents: DataFrame, nodes: DataFrame, words: int, percent: int) ->
     # what is close, with whole classes in between: only regions of more than one class are compared again
     regions = components(close.unionByName(links[0]) if len(links) > 1 else close, name="regions").withColumnRenamed("component", "region")
     last = _labelled(regions, classes).join(sketch.hint("shuffle_hash"), "node")
-    mixed_regions = last.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("region")
-    last = last.join(mixed_regions.hint("shuffle_hash"), "region", "left_semi").join(sets.hint("shuffle_hash"), "node")
+    salts = shuffle_partitions(documents.sparkSession)  # one region may hold a third of all nodes
+    mixed_regions = last.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("region", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    last = last.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(mixed_regions.hint("shuffle_hash"), ["region", "salt"], "left_semi").drop("salt").join(sets.hint("shuffle_hash"), "node")
     links.append(written(_forest_of(last, ["region"], percent, True), "last-links"))
     discard(sets, close)
     return so_far.unionByName(links[-1])
