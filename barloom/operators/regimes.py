@@ -25,6 +25,19 @@ LABELS = {
     7: ("crash", "strong_bear", "weak_bear", "neutral", "weak_bull", "strong_bull", "euphoria"),
 }
 LOW_CUT, HIGH_CUT = 0.33, 0.67
+#: Strategy, leverage, size and confidence by label. Fixed values.
+HINTS = {
+    "crash": ("defensive", 0.0, 0.05, 0.65),
+    "strong_bear": ("defensive", 0.0, 0.10, 0.60),
+    "bear": ("reduced", 0.0, 0.15, 0.58),
+    "weak_bear": ("reduced", 0.0, 0.20, 0.55),
+    "neutral": ("balanced", 1.0, 0.25, 0.55),
+    "weak_bull": ("trend", 1.0, 0.30, 0.55),
+    "bull": ("trend", 1.0, 0.35, 0.55),
+    "strong_bull": ("trend", 1.25, 0.40, 0.55),
+    "euphoria": ("momentum", 1.25, 0.40, 0.60),
+    "unknown": ("defensive", 0.0, 0.0, 1.0),
+}
 
 
 def label_states(states: DataFrame, keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
@@ -35,6 +48,13 @@ def label_states(states: DataFrame, keys: tuple[str, ...] = (SERIES,)) -> DataFr
     return ranked.withColumn("label", F.try_element_at(F.try_element_at(scheme, F.col("n").cast("int")), F.col("rank")))
 
 
+def attach_hints(states: DataFrame, label: str = "label") -> DataFrame:
+    """strategy, leverage, size and confidence of each label; other labels and null as unknown."""
+    hints = F.create_map(*[v for name, (plan, lev, size, conf) in HINTS.items() for v in (F.lit(name), F.struct(F.lit(plan).alias("strategy"), F.lit(lev).alias("leverage"), F.lit(size).alias("size"), F.lit(conf).alias("confidence")))])
+    found = F.coalesce(F.try_element_at(hints, F.coalesce(label, F.lit("unknown"))), F.element_at(hints, F.lit("unknown")))
+    return states.withColumn("_hint", found).select("*", "_hint.*").drop("_hint")
+
+
 def vol_rank(states: DataFrame, keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
     """Position of a state by expected volatility, 0 to 1, and its tier."""
     w = Window.partitionBy(*keys)
@@ -276,6 +296,16 @@ def psi(expected: DataFrame, actual: DataFrame, keys: tuple[str, ...], value: st
     return edges.join(total.hint("shuffle_hash"), list(keys), "left").select(*keys, F.when(F.col("n_edges") < 2, 0.0).otherwise(F.coalesce("psi", F.lit(0.0))).alias("psi"))
 
 
+def max_feature_psi(expected: DataFrame, actual: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
+    """Largest stability index of a key over its features, and which it is (0 and null without any)."""
+    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    long = lambda df: df.select(*keys, F.expr(f"stack({len(columns)}, {pairs}) as (feature, value)")).where(F.col("value").isNotNull())
+    each = psi(long(expected), long(actual), (*keys, "feature"))
+    best = each.groupBy(*keys).agg(F.max("psi").alias("max_psi"), F.max_by("feature", F.struct("psi", "feature")).alias("feature"))
+    names = expected.select(*keys).unionByName(actual.select(*keys)).distinct()
+    return names.join(best.hint("shuffle_hash"), list(keys), "left").withColumn("max_psi", F.coalesce("max_psi", F.lit(0.0)))
+
+
 def posterior_entropy(probabilities: Column, floor: float = 1e-6) -> Column:
     """Normalised entropy of a probability array, 0 to 1."""
     n = F.size(probabilities)

@@ -210,19 +210,31 @@ def exposure_trim(equity: Column, gross: Column, price: Column, leverage: Column
 
 
 def leverage_reasons(df: DataFrame, cap: float = 1.25, least: float = 0.55) -> DataFrame:
-    """Leverage capped, and forced to 1 with the list of reasons why."""
-    reasons = F.array_compact(F.array(F.when(F.col("probability") < least, F.lit("uncertain")), F.when(F.col("severity") > 0, F.lit("posture")), F.when(F.col("open_positions") >= 3, F.lit("positions")), F.when(F.col("flicker") > 4, F.lit("flicker"))))
+    """Leverage capped, and brought down to 1 with the list of reasons why.
+
+    A signal may carry its own flag ``uncertain``. Leverage below 1 is never raised.
+    """
+    unsure = F.col("probability") < least
+    if "uncertain" in df.columns:
+        unsure = unsure | F.coalesce("uncertain", F.lit(False))
+    reasons = F.array_compact(F.array(F.when(unsure, F.lit("uncertain")), F.when(F.col("severity") > 0, F.lit("posture")), F.when(F.col("open_positions") >= 3, F.lit("positions")), F.when(F.col("flicker") > 4, F.lit("flicker"))))
     df = df.withColumn("reasons", reasons)
-    return df.withColumn("leverage", F.when(F.size("reasons") > 0, 1.0).otherwise(F.least("leverage", F.lit(cap))))
+    return df.withColumn("leverage", F.least("leverage", F.when(F.size("reasons") > 0, 1.0).otherwise(F.lit(cap))))
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation as an aggregate; null where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def max_correlation(returns: DataFrame, candidates: DataFrame, held: DataFrame, rows: int = 60, least: int = 30) -> DataFrame:
     """Largest signed correlation of each candidate with other held series, over
-    the last ``rows`` values of each, where enough dates are shared."""
+    the last ``rows`` values of each, where enough dates are shared. Series that
+    do not vary correlate with nothing (null)."""
     recent = returns.withColumn("_r", F.row_number().over(Window.partitionBy(SERIES).orderBy(F.desc(TS)))).where(F.col("_r") <= rows)
     c = candidates.select(SERIES).join(recent.hint("shuffle_hash"), SERIES).select(F.col(SERIES).alias("candidate"), TS, F.col("ret").alias("x"))
     h = held.select(SERIES).join(recent.hint("shuffle_hash"), SERIES).select(F.col(SERIES).alias("other"), TS, F.col("ret").alias("y"))
-    pairs = c.join(h.hint("shuffle_hash"), TS).where("candidate <> other").groupBy("candidate", "other").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    pairs = c.join(h.hint("shuffle_hash"), TS).where("candidate <> other").groupBy("candidate", "other").agg(correlation("x", "y").alias("r"), F.count("*").alias("n"))
     return pairs.where(F.col("n") >= least).groupBy("candidate").agg(F.max("r").alias("max_correlation"))
 
 
@@ -370,6 +382,11 @@ def mark_to_market(positions: DataFrame, prices: DataFrame) -> DataFrame:
     return df.withColumn("market_value", F.col("qty") * F.col("mark")).withColumn("unrealized", (F.col("mark") - F.col("avg_price")) * F.col("qty"))
 
 
+def position_weights(marked: DataFrame, equity: Column) -> DataFrame:
+    """Market value over the account's equity; 0 where equity is 0."""
+    return marked.withColumn("weight", F.coalesce(F.try_divide(F.col("market_value"), equity), F.lit(0.0)))
+
+
 def exposure_snapshot(marked: DataFrame, keys: Sequence[str] = ("account",)) -> DataFrame:
     return marked.groupBy(*keys).agg(F.sum(F.abs("market_value")).alias("gross"), F.sum("market_value").alias("net"), F.sum("unrealized").alias("unrealized"))
 

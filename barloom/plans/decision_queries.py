@@ -56,7 +56,7 @@ SIGNAL = {
     "open_positions": "o_custkey % 7",
     "probability": "0.4e0 + 0.05e0 * (o_orderkey % 11)",
     "flicker": "o_orderkey % 6",
-    "leverage": "1.0e0 + 0.25e0 * (o_orderkey % 3)",
+    "leverage": "0.5e0 + 0.25e0 * (o_orderkey % 5)",
     "target": "0.05e0 * (o_orderkey % 5)",
     "equity": "50000e0 + 1000e0 * (o_custkey % 50)",
     "gross": "1000e0 * (o_orderkey % 120)",
@@ -68,7 +68,7 @@ SIGNAL = {
 
 _VETO = "s AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in SIGNAL.items()) + """ FROM orders),
 forced AS (SELECT *, least(leverage, 1.25e0) AS asked, probability < 0.55 OR severity > 0 OR open_positions >= 3 OR flicker > 4 AS must FROM s),
-lev AS (SELECT *, CASE WHEN must THEN 1.0e0 ELSE asked END AS lev, price - stop AS dist FROM forced),
+lev AS (SELECT *, CASE WHEN must THEN least(asked, 1.0e0) ELSE asked END AS lev, price - stop AS dist FROM forced),
 n1 AS (SELECT *, floor(least(CASE WHEN dist <> 0 THEN 0.01e0 * equity / dist END, least(greatest(target, 0.0e0), 0.15e0) * (CASE WHEN severity = 1 THEN 0.5e0 ELSE 1.0e0 END) * equity / price)) AS sized FROM lev),
 n2 AS (SELECT *, least(sized, CASE WHEN dist <> 0 THEN floor(0.02e0 * equity / (3.0e0 * dist)) END) AS gapped FROM n1),
 n3 AS (SELECT *, (gross + gapped * price * lev) / equity > 1.25e0 + 1e-9 AS over FROM n2),

@@ -359,7 +359,7 @@ def e18(spark, sf):
     return risk.breaker_events(risk.latched_breaker(curve(spark, sf))).select("series_id", "ts", "from_severity", "to_severity")
 
 
-@query("e12_max_correlation", with_(DAMPED + ", l AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS r FROM damped), k AS (SELECT * FROM l WHERE r <= 60), p AS (SELECT a.series_id AS candidate, b.series_id AS other, corr(a.ret, b.ret) AS c, count(*) AS n FROM k a JOIN k b ON a.ts = b.ts AND a.series_id <> b.series_id GROUP BY 1, 2)", "SELECT candidate, round(max(c), 6) AS max_correlation FROM p WHERE n >= 30 GROUP BY 1"))
+@query("e12_max_correlation", with_(DAMPED + ", l AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS r FROM damped), k AS (SELECT * FROM l WHERE r <= 60), p AS (SELECT a.series_id AS candidate, b.series_id AS other, CASE WHEN stddev_pop(a.ret) > 0 AND stddev_pop(b.ret) > 0 THEN corr(a.ret, b.ret) END AS c, count(*) AS n FROM k a JOIN k b ON a.ts = b.ts AND a.series_id <> b.series_id GROUP BY 1, 2)", "SELECT candidate, round(max(c), 6) AS max_correlation FROM p WHERE n >= 30 GROUP BY 1"))
 def e12(spark, sf):
     ret = damped(spark, sf)
     names = ret.select("series_id").distinct()
@@ -378,13 +378,32 @@ def e7(spark, sf):
     return risk.duplicate_veto(events, ("user_id", "event_type"), 3600).select("event_id", "is_duplicate")
 
 
-@query("d8_hysteresis")
+_HELD = DAMPED + f""",
+t AS (SELECT series_id, ts, row_number() OVER ({S}) AS n, round((abs(ret) * 10) % 1, 2) AS target FROM damped),
+held(series_id, n, h) AS (
+  SELECT series_id, CAST(0 AS BIGINT), 0.0::DOUBLE FROM t WHERE n = 1
+  UNION ALL
+  SELECT t.series_id, t.n, CASE WHEN abs(t.target - p.h) >= 0.10e0 OR t.target = 0 AND p.h > 0 THEN t.target ELSE p.h END FROM held p JOIN t ON t.series_id = p.series_id AND t.n = p.n + 1)"""
+
+
+@query("d8_hysteresis", with_(_HELD, "SELECT t.series_id, ts, target, h AS held FROM t JOIN held USING (series_id, n)", True))
 def d8(spark, sf):
     df = damped(spark, sf).withColumn("target", F.round(F.abs(F.col("ret")) * 10 % 1, 2))
     return risk.hysteresis(df).select("series_id", "ts", "target", "held")
 
 
-@query("e15_calm_reentry")
+_REENTRY = DAMPED + f""",
+t AS (SELECT series_id, ts, row_number() OVER ({S}) AS n, equity, abs(ret) < 0.01 AS calm FROM curve),
+walk(series_id, n, peak, streak, halted) AS (
+  SELECT series_id, CAST(0 AS BIGINT), 0.0::DOUBLE, 0, false FROM t WHERE n = 1
+  UNION ALL
+  SELECT series_id, n, CASE WHEN s >= 3 THEN equity ELSE pk END, CASE WHEN s >= 3 THEN 0 ELSE s END, breached AND s < 3
+  FROM (SELECT *, CASE WHEN breached AND calm THEN streak + 1 ELSE 0 END AS s
+        FROM (SELECT t.series_id, t.n, t.equity, t.calm, p.streak, greatest(p.peak, t.equity) AS pk, (greatest(p.peak, t.equity) - t.equity) / greatest(p.peak, t.equity) >= 0.10e0 AS breached
+              FROM walk p JOIN t ON t.series_id = p.series_id AND t.n = p.n + 1)))"""
+
+
+@query("e15_calm_reentry", with_(_REENTRY, "SELECT t.series_id, ts, round(peak, 2) AS peak, halted AS peak_halted FROM t JOIN walk USING (series_id, n)", True))
 def e15(spark, sf):
     df = curve(spark, sf).withColumn("calm", F.abs(F.col("ret")) < 0.01)
     return risk.calm_reentry(df).select("series_id", "ts", F.round("peak", 2).alias("peak"), "peak_halted")
@@ -396,11 +415,22 @@ def f8(spark, sf):
     return risk.replay_allocation(df, CAPITAL, reentry=3).select("series_id", "ts", F.round("equity", 2).alias("equity"), "weight", "severity", "is_rebalance")
 
 
-@query("h1_fill_ledger")
+_FILLS = """f AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, l_shipdate AS ts, printf('%012d-%04d-', l_orderkey, l_linenumber) || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_extendedprice AS VARCHAR) AS fill_id, l_returnflag = 'R' AS sells, l_quantity AS qty, l_extendedprice / l_quantity AS price FROM lineitem),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts, fill_id) AS n FROM f),
+ledger(series_id, n, held, avg_price, realized) AS (
+  SELECT series_id, CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM o WHERE n = 1
+  UNION ALL
+  SELECT series_id, n, CASE WHEN gone THEN 0.0 ELSE left_over END, CASE WHEN gone THEN 0.0 WHEN sells THEN p_avg ELSE (p_held * p_avg + qty * price) / left_over END, CASE WHEN sells THEN (price - p_avg) * closed ELSE 0.0 END
+  FROM (SELECT *, sells AND p_held > 0 AND p_held - closed <= 1e-9 AS gone, CASE WHEN sells THEN p_held - closed ELSE p_held + qty END AS left_over
+        FROM (SELECT o.series_id, o.n, o.sells, o.qty, o.price, p.held AS p_held, p.avg_price AS p_avg, CASE WHEN o.sells THEN least(o.qty, p.held) ELSE 0.0 END AS closed
+              FROM ledger p JOIN o ON o.series_id = p.series_id AND o.n = p.n + 1)))"""
+
+
+@query("h1_fill_ledger", with_(_FILLS, "SELECT o.series_id, fill_id, round(held, 6) AS held, floor(avg_price * 10000) / 10000 AS avg_price, floor(realized * 100) / 100 AS realized FROM o JOIN ledger USING (series_id, n)", True))
 def h1(spark, sf):
-    fills = src.read_table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").alias("ts"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("f"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("qty"), F.round(F.try_divide("l_extendedprice", "l_quantity"), 2).alias("price"))
+    fills = src.read_table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").alias("ts"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("f"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("qty"), F.try_divide("l_extendedprice", "l_quantity").alias("price"))
     fills = fills.withColumn("fill_id", F.concat_ws("-", F.format_string("%012d", F.col("f.l_orderkey")), F.format_string("%04d", F.col("f.l_linenumber")), F.col("f.l_partkey").cast("string"), F.col("f.l_extendedprice").cast("string"))).drop("f")
-    return risk.fill_ledger(fills).select("series_id", "fill_id", F.round("held", 6).alias("held"), F.round("avg_price", 4).alias("avg_price"), F.round("realized", 2).alias("realized"))
+    return risk.fill_ledger(fills).select("series_id", "fill_id", F.round("held", 6).alias("held"), (F.floor(F.col("avg_price") * 10000) / 10000).alias("avg_price"), (F.floor(F.col("realized") * 100) / 100).alias("realized"))
 
 
 @query("h6_reconcile", "WITH a AS (SELECT l_partkey AS part, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS part, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT coalesce(a.part, b.part) AS part, coalesce(a.q, 0) AS own_qty, coalesce(b.q, 0) AS broker_qty, abs(coalesce(a.q, 0) - coalesce(b.q, 0)) > 1e-6 AS mismatch FROM a FULL JOIN b ON a.part = b.part")
@@ -415,7 +445,12 @@ def j3(spark, sf):
     return risk.feed_gaps(src.event_ticks(spark, sf)).select("series_id", "ts", F.round("gap_seconds", 3).alias("gap_seconds"))
 
 
-@query("j2_rate_limit")
+_PASSED = """o AS MATERIALIZED (SELECT event_type AS event_key, ts, event_id AS alert_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+nx AS MATERIALIZED (SELECT a.event_key, a.n, min(b.n) AS next FROM o a ASOF JOIN o b ON a.event_key = b.event_key AND a.ts + INTERVAL 15 MINUTE <= b.ts GROUP BY 1, 2),
+passed(event_key, n) AS (SELECT event_key, CAST(1 AS BIGINT) FROM o WHERE n = 1 UNION ALL SELECT p.event_key, nx.next FROM passed p JOIN nx ON nx.event_key = p.event_key AND nx.n = p.n)"""
+
+
+@query("j2_rate_limit", with_(_PASSED, "SELECT o.event_key, o.ts, o.alert_id FROM o JOIN passed USING (event_key, n)", True))
 def j2(spark, sf):
     alerts = src.read_table(spark, sf, "events").select(F.col("event_type").alias("event_key"), "ts", F.col("event_id").alias("alert_id"))
     return risk.rate_limit(alerts).where("passed").select("event_key", "ts", "alert_id")
