@@ -7,6 +7,8 @@ after it is windows and grouped aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -146,20 +148,38 @@ def forward(emission: np.ndarray, start: np.ndarray, transition: np.ndarray) ->
 
 def regime_proba(features: DataFrame, models: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
     """Filtered probabilities of each bar, its state (lowest id on ties) and the
-    step's log-likelihood. ``models`` has one row for each group of ``keys``."""
+    step's log-likelihood, and the place of its state by volatility. ``models``
+    has one row for each group of ``keys``; it is cogrouped, so that no bar
+    carries a copy of its model. Groups without a model are left out."""
     params = models.select(*keys, "startprob", "transmat", "means", "covars")
-    joined = features.join(params.hint("shuffle_hash"), list(keys))
-
-    def fold(g: pd.DataFrame) -> dict[str, np.ndarray]:
-        first = g.iloc[0]
-        grid = lambda v: np.array([[list(r) if np.ndim(r) else r for r in row] for row in v], float)
-        means, covars = grid(first["means"]), grid(first["covars"])
-        post, norm = forward(log_emission(g[list(columns)].to_numpy(float), means, covars), np.array(first["startprob"], float), grid(first["transmat"]))
+    out = {"probabilities": "array<double>", "state_id": "int", "probability": "double", "log_likelihood": "double", "vol_rank": "double"}
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in features.dtypes if n not in out), *(f"`{n}` {t}" for n, t in out.items())])
+
+    def score(group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if group.empty or model.empty:
+            return group.iloc[:0].assign(**dict.fromkeys(out))
+        group = group.sort_values(TS, kind="stable").reset_index(drop=True)
+        start, transition, means, covars = unpack(model.iloc[0])
+        post, norm = forward(log_emission(group[list(columns)].to_numpy(float), means, covars), start, transition)
         p = np.exp(post)
-        return {"probabilities": list(p), "state_id": p.argmax(axis=1).astype("int32"), "probability": p.max(axis=1), "log_likelihood": norm}
+        state = p.argmax(axis=1)
+        return group.assign(probabilities=list(p), state_id=state.astype("int32"), probability=p.max(axis=1), log_likelihood=norm, vol_rank=volatility_ranks(covars)[state])
+
+    return features.drop(*out).groupBy(*keys).cogroup(params.groupBy(*keys)).applyInPandas(score, schema)
+
 
-    out = {"probabilities": "array<double>", "state_id": "int", "probability": "double", "log_likelihood": "double"}
-    return ordered_fold(joined, fold, out, keys).drop("startprob", "transmat", "means", "covars")
+def unpack(model: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, transition, means, covariances) of a model's row."""
+    grid = lambda v: np.array([[list(r) if np.ndim(r) else r for r in row] for row in v], float)
+    return np.array(model["startprob"], float), grid(model["transmat"]), grid(model["means"]), grid(model["covars"])
+
+
+def volatility_ranks(covars: np.ndarray) -> np.ndarray:
+    """Place of each state, 0 to 1, by the deviation of the first feature (then id)."""
+    order = np.argsort(covars[:, 0, 0], kind="stable")
+    ranks = np.empty(len(order))
+    ranks[order] = np.arange(len(order)) / max(len(order) - 1, 1)
+    return ranks
 
 
 def mean_log_likelihood(scored: DataFrame) -> DataFrame:
@@ -168,16 +188,18 @@ def mean_log_likelihood(scored: DataFrame) -> DataFrame:
 
 def fit_regime_models(features: DataFrame, columns: tuple[str, ...], n: int, seed: int = 42, iterations: int = 100, least_rows: int = 504, min_covar: float = 1e-3, prior: float = 1e-2, keys: tuple[str, ...] = (SERIES,), gain: float = 1e-2) -> DataFrame:
     """One Gaussian hidden Markov model for each group of ``keys``, by expectation-
-    maximisation. Groups are fitted side by side; a group is one series."""
-    schema = ", ".join([*(f"`{k}` {t}" for k, t in features.dtypes if k in keys), "n int, seed int, startprob array<double>, transmat array<array<double>>, means array<array<double>>, covars array<array<array<double>>>, log_likelihood double, trace array<double>, n_rows long, converged boolean"])
+    maximisation. Groups are fitted side by side; a group is one series. Columns
+    ``n`` and ``seed`` among the keys take the place of the arguments."""
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in features.dtypes if k in keys and k not in ("n", "seed")), "n int, seed int, startprob array<double>, transmat array<array<double>>, means array<array<double>>, covars array<array<array<double>>>, log_likelihood double, trace array<double>, n_rows long, converged boolean"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(TS, kind="stable")
         x = group[list(columns)].to_numpy(float)
-        head = {k: [group[k].iloc[0]] for k in keys} | {"n": [n], "seed": [seed], "n_rows": [len(x)]}
+        states, draw = (int(group[k].iloc[0]) if k in keys else v for k, v in (("n", n), ("seed", seed)))
+        head = {k: [group[k].iloc[0]] for k in keys} | {"n": [states], "seed": [draw], "n_rows": [len(x)]}
         if len(x) < least_rows:
             return pd.DataFrame(head | {"startprob": [None], "transmat": [None], "means": [None], "covars": [None], "log_likelihood": [-np.inf], "trace": [[]], "converged": [False]})
-        start, transition, means, covars, trace = expectation_maximisation(x, n, seed, iterations, min_covar, prior, gain)
+        start, transition, means, covars, trace = expectation_maximisation(x, states, draw, iterations, min_covar, prior, gain)
         ok = bool(np.isfinite(trace[-1]))
         return pd.DataFrame(head | {"startprob": [start.tolist()], "transmat": [transition.tolist()], "means": [means.tolist()], "covars": [covars.tolist()], "log_likelihood": [trace[-1] if ok else -np.inf], "trace": [trace], "converged": [ok and len(trace) < iterations]})
 
@@ -229,7 +251,14 @@ def walk_forward_states(tagged: DataFrame, columns: tuple[str, ...], n: int, ite
     return with_flicker(with_runs(scored, keys=keys), keys=keys).where("part = 'test'")
 
 
-def permuted_tiers(states: DataFrame, seed: int) -> DataFrame:
+def fit_model_grid(features: DataFrame, columns: tuple[str, ...], states: Sequence[int] = (3, 4, 5, 6, 7), seeds: Sequence[int] = (42, 43, 44), least_rows: int = 504, keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
+    """A fit of each series for every number of states and seed, each a group of its own."""
+    points = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("seed")) for n in states for s in seeds])
+    wide = features.select(*keys, TS, *columns).withColumn("_p", F.explode(points)).select(*keys, TS, *columns, "_p.*")
+    return fit_regime_models(wide, columns, states[0], least_rows=least_rows, keys=(*keys, "n", "seed"))
+
+
+def permuted_tiers(states: DataFrame, seed: int | Column) -> DataFrame:
     """A tier (0 low, 1 mid, 2 high) for each state of a fold by hash: the null model of a skill test."""
     return states.withColumn("tier_no", F.pmod(F.xxhash64(F.lit(seed), SERIES, "fold_id", "state_id"), F.lit(3)).cast("int"))
 

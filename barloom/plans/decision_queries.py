@@ -245,13 +245,12 @@ def f14(spark, sf):
     return dec.breaker_bars(shocked(spark, sf), PATH).withColumn("equity", F.round("equity", 2))
 
 
-GRID = [(f, k) for f in (0.0, 0.25, 0.5, 1.0) for k in (0, 3)]
+GRID = [*((f, 0) for f in (0.0, 0.25, 0.5, 1.0)), *((f, k) for k in (3, 5, 10) for f in (0.0, 0.25))]
 
 
 def swept(spark, sf):
     """Replays of the whole grid: each (series, point) is one group of one fold."""
     df = damped(spark, sf).withColumns({"target": F.when(F.col("ret") > 0, 0.95).otherwise(0.6), "natr": F.abs("ret"), "calm": F.abs(F.col("ret")) < 0.01})
-    wide = dec.with_parameters(df, GRID)
     out = risk.replay_allocation(dec.with_parameters(df, GRID), CAPITAL, keys=("series_id", "point"))
     before = F.coalesce(F.lag("equity").over(ordered(("series_id", "point"))), F.lit(CAPITAL))
     return out.withColumn("net", F.col("equity") / before - 1)
