@@ -1,8 +1,10 @@
 """Structured Streaming versions of the stateful operators.
 
-Watermarks bound the state; rows later than the watermark are dropped and
-counted by Spark. Per-key state is small: a last time, a running position, a
-trimmed buffer.
+``stream_bars`` bounds its state by a watermark; rows later than that are dropped
+and counted by Spark. The other jobs keep a small state for each key for as long
+as the query runs (a last time, a running position, a trimmed buffer): they need
+a key's rows in time order, sort those of one micro-batch, and take its rows of a
+key as one frame, so a trigger's size must be limited at the source.
 """
 
 from __future__ import annotations

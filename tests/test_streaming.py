@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.operators import regimes as reg
 from barloom.operators import risk
 from barloom.plans.report_queries import curve
 from barloom.sources import bars as src
-from barloom.streaming import jobs
+from barloom.streaming import jobs, regime_jobs
 
 
 def run(stream, tmp_path, name):
@@ -19,11 +20,19 @@ def run(stream, tmp_path, name):
     return stream.sparkSession.table(name)
 
 
-def events(spark, sf_dir, tmp_path):
-    """The events as a stream of several files in time order."""
+def spans(spark, rows, tmp_path, per_batch=1):
+    """``rows`` as a stream: three spans of time, one after the other, a batch for each."""
+    low, high = (r[0].timestamp() for r in rows.select(F.min("ts")).union(rows.select(F.max("ts"))).collect())
+    part = F.least(F.floor((F.col("ts").cast("double") - low) / ((high - low) / 3)), F.lit(2))
+    for i in range(3):  # written in turn, so that the file source takes them in order
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.05)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{tmp_path}/in")
+
+
+def events(spark, sf_dir, tmp_path, per_batch=1):
     rows = src.read_table(spark, sf_dir, "events")
-    rows.repartitionByRange(3, "ts").write.mode("overwrite").parquet(f"{tmp_path}/in")
-    return rows, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 5).parquet(f"{tmp_path}/in")
+    return rows, spans(spark, rows, tmp_path, per_batch)
 
 
 def test_rate_limit(spark, sf_dir, tmp_path):
@@ -39,7 +48,9 @@ def test_bars(spark, sf_dir, tmp_path):
     shape = lambda df: df.select(F.col("event_type").alias("series_id"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("qty"), F.struct("ts", "event_id").alias("seq"))
     want = {(r.series_id, r.ts): tuple(r)[2:] for r in src.resample_bars(shape(batch), "1h").collect()}
     got = {(r.series_id, r.ts): tuple(r)[2:] for r in run(jobs.stream_bars(shape(stream), "1h", "1 hour"), tmp_path, "hours").collect()}
-    assert got and all(want[k] == v for k, v in got.items())
+    late = max(t for _, t in want)  # hours past the last watermark are still open
+    assert all(want[k] == v for k, v in got.items())
+    assert {k for k in want if (late - k[1]).total_seconds() > 3 * 3600} <= got.keys() and got
 
 
 def test_ledger(spark, sf_dir, tmp_path):
@@ -51,10 +62,9 @@ def test_ledger(spark, sf_dir, tmp_path):
 
 
 def bars(spark, sf_dir, tmp_path):
-    """An equity curve as a stream: a batch for each of three spans of time."""
+    """An equity curve and its stream."""
     rows = curve(spark, sf_dir).select("series_id", "ts", "close", "ret", "equity").withColumn("ret", F.col("ret") * 3)
-    rows.repartitionByRange(3, "ts").write.mode("overwrite").parquet(f"{tmp_path}/in")
-    return rows, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 5).parquet(f"{tmp_path}/in")
+    return rows, spans(spark, rows, tmp_path)
 
 
 def test_breaker(spark, sf_dir, tmp_path):
@@ -74,7 +84,7 @@ def test_rolling_mean(spark, sf_dir, tmp_path):
 
 
 def test_staleness(spark, sf_dir, tmp_path):
-    batch, stream = events(spark, sf_dir, tmp_path)
+    batch, stream = events(spark, sf_dir, tmp_path, 5)
     shape = lambda df: df.select(F.col("event_type").alias("series_id"), "ts")
     gap = F.col("ts").cast("double") - F.lag("ts").over(Window.partitionBy("series_id").orderBy("ts")).cast("double")
     want = sorted((r.series_id, r.ts) for r in shape(batch).withColumn("gap", gap).where("gap > 300").collect())
@@ -90,3 +100,56 @@ def test_staleness(spark, sf_dir, tmp_path):
         query.stop()
     assert sorted((r.series_id, r.ts) for r in got if r.kind == "gap") == want and want
     assert {r.series_id for r in got if r.kind == "stale"} == {r.series_id for r in shape(batch).distinct().collect()}
+
+
+def test_dedupe(spark, sf_dir, tmp_path):
+    batch, stream = events(spark, sf_dir, tmp_path)
+    keys = ("user_id", "event_type")
+    shape = lambda df: df.select(*keys, "ts", F.col("event_id").cast("long").alias("order_id"))
+    want = {r.order_id: r.is_duplicate for r in risk.duplicate_veto(shape(batch), keys, 86_400).collect()}
+    got = {r.order_id: r.is_duplicate for r in run(regime_jobs.stream_dedupe(shape(stream), keys, 86_400), tmp_path, "dedupe").collect()}
+    assert got == want and set(want.values()) == {True, False}
+
+
+def regimes(spark, rows, tmp_path):
+    """Models of the batch, and its states: what the stream must give."""
+    features = rows.withColumn("vol", F.stddev_samp("ret").over(Window.partitionBy("series_id").orderBy("ts").rowsBetween(-19, 0))).na.drop()
+    reg.fit_regime_models(features, ("ret", "vol"), 3).write.parquet(f"{tmp_path}/models")
+    models = spark.read.parquet(f"{tmp_path}/models")
+    scored = reg.with_flicker(reg.with_runs(reg.regime_proba(features, models, ("ret", "vol"))))
+    return models, {(r.series_id, r.ts): (r.state_id, r.consecutive_bars, r.is_confirmed, r.flicker, r.probability) for r in scored.collect()}
+
+
+def same(got, want):
+    assert got.keys() == want.keys() and want
+    for k, v in want.items():
+        assert got[k][:4] == v[:4] and got[k][4] == pytest.approx(v[4], rel=1e-6)
+
+
+def test_regimes_from_cold(spark, sf_dir, tmp_path):
+    batch, stream = bars(spark, sf_dir, tmp_path)
+    models, want = regimes(spark, batch, tmp_path)
+    rows = run(regime_jobs.stream_regimes(stream, models), tmp_path, "cold").collect()
+    assert len(rows) == batch.count()
+    same({(r.series_id, r.ts): (r.state_id, r.consecutive_bars, r.is_confirmed, r.flicker, r.probability) for r in rows if r.state_id is not None}, want)
+
+
+def test_regimes_from_history(spark, sf_dir, tmp_path):
+    batch = curve(spark, sf_dir).select("series_id", "ts", "ret").withColumn("ret", F.col("ret") * 3)
+    models, want = regimes(spark, batch, tmp_path)
+    cut = sorted({t for _, t in want})[len(want) // 6]
+    regime_jobs.warm_start(batch.where(F.col("ts") < cut), models).write.parquet(f"{tmp_path}/warm")
+    stream = spans(spark, batch.where(F.col("ts") >= cut), tmp_path)
+    rows = run(regime_jobs.stream_regimes(stream, models, spark.read.parquet(f"{tmp_path}/warm")), tmp_path, "warm").collect()
+    same({(r.series_id, r.ts): (r.state_id, r.consecutive_bars, r.is_confirmed, r.flicker, r.probability) for r in rows}, {k: v for k, v in want.items() if k[1] >= cut})
+
+
+def test_spread_filter_and_latest_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 100.0, 100.1), ("a", 3, 100.0, 103.0), ("b", 2, 50.0, 50.1), ("a", 2, 99.0, 99.1)], "series_id string, t int, bid double, ask double").withColumn("ts", F.timestamp_seconds("t"))
+    kept = jobs.stream_spread_filter(rows)
+    assert {(r.series_id, r.t) for r in kept.collect()} == {("a", 1), ("b", 2), ("a", 2)}
+    sink = jobs.upsert_latest(f"{tmp_path}/latest")
+    sink(rows.where("t = 1"), 0)
+    sink(rows.where("t > 1"), 1)
+    sink(rows.where("t > 1"), 1)  # a batch that runs again
+    assert {(r.series_id, r.t) for r in spark.read.parquet(f"{tmp_path}/latest/v1").collect()} == {("a", 3), ("b", 2)}
