@@ -10,12 +10,46 @@ from pyspark.sql.window import Window
 
 from barloom.functions.windows import SERIES, TS, ordered, running
 from barloom.operators import performance as perf
-from barloom.operators.risk import HALTED, REDUCED, exposure_trim, gap_budget, leverage_reasons
+from barloom.operators.risk import HALTED, REDUCED, daily_trade_limit, duplicate_veto, exposure_trim, gap_budget, held_correlation, leverage_reasons, sector_exposure
 
 LEAST_NOTIONAL = 100.0
 LEVELS = (0.0, 0.60, 0.95, 1.1875)
 
 
+def with_account_state(signals: DataFrame, accounts: DataFrame, positions: DataFrame, orders: DataFrame, sectors: DataFrame, returns: DataFrame, seconds: float = 60.0) -> DataFrame:
+    """Signals (order_id, account, series_id) with what the cascade asks of their account.
+
+    ``accounts`` has a row for each account (equity, buying_power, severity, locked),
+    ``positions`` one for each account and name (market_value), ``orders`` every
+    order sent, the signals' own among them (order_id, account, series_id, side,
+    ts), ``sectors`` a row for each name, ``returns`` (series_id, ts, ret).
+    An account without positions has exposure 0; a name without a sector has a null
+    ``sector_gross``. An account that is not known has no equity, so it is not sized.
+    """
+    held = positions.where("market_value <> 0")
+    book = held.groupBy("account").agg(F.sum(F.abs("market_value")).alias("gross"), F.count("*").alias("open_positions"))
+    by_sector = sector_exposure(held, sectors).withColumnRenamed("gross", "sector_gross")
+    sent = duplicate_veto(daily_trade_limit(orders), ("account", SERIES, "side"), seconds).select("order_id", "is_duplicate", "trades_before")
+    df = signals.join(accounts.hint("shuffle_hash"), "account", "left").join(book.hint("shuffle_hash"), "account", "left")
+    df = df.join(held.select("account", SERIES, F.lit(True).alias("is_held")).hint("shuffle_hash"), ["account", SERIES], "left")
+    df = df.join(sectors.hint("shuffle_hash"), SERIES, "left").join(by_sector.hint("shuffle_hash"), ["account", "sector"], "left")
+    df = df.join(held_correlation(signals, held, returns).hint("shuffle_hash"), ["account", SERIES], "left")
+    df = df.join(sent.hint("shuffle_hash"), "order_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return df.withColumns(
+        {
+            "gross": zero("gross"),
+            "open_positions": zero("open_positions"),
+            "trades_before": zero("trades_before"),
+            "is_held": F.coalesce("is_held", F.lit(False)),
+            "is_duplicate": F.coalesce("is_duplicate", F.lit(False)),
+            "severity": zero("severity"),
+            "locked": F.coalesce("locked", F.lit(False)),
+            "sector_gross": F.when(F.col("sector").isNotNull(), zero("sector_gross")),
+        }
+    )
+
+
 def veto_cascade(signals: DataFrame, cap: float = 0.15, limit: float = 1.25, most_sector: float = 0.30) -> DataFrame:
     """Approved shares and leverage of each signal, or the first rule it fails.
 
@@ -23,7 +57,7 @@ def veto_cascade(signals: DataFrame, cap: float = 0.15, limit: float = 1.25, mos
     price, stop, tradable, bid, ask, is_duplicate, trades_before, is_held,
     open_positions, probability, flicker, leverage, target, equity, gross,
     buying_power, max_correlation (null: none) and sector_gross (null: no
-    sector). Trims are listed in ``modifications``. Nothing is joined here.
+    sector), as ``with_account_state`` joins them. Trims are listed in ``modifications``.
     """
     price, equity = F.col("price"), F.col("equity")
     distance = price - F.col("stop")

@@ -63,13 +63,14 @@ def drawdown_duration(equity: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     return longest_run(with_drawdown(equity, keys), F.col("drawdown") < 0, keys, "drawdown_duration")
 
 
-def growth(equity: DataFrame, capital: float, keys: Sequence[str] = K) -> DataFrame:
-    """cagr, calmar and total return of an equity path."""
-    ends = equity.groupBy(*keys).agg(F.min_by("equity", TS).alias("first"), F.max_by("equity", TS).alias("last"), F.count("*").alias("n"))
+def growth(equity: DataFrame, capital: float, keys: Sequence[str] = K, **more: Column) -> DataFrame:
+    """cagr, calmar, total return and deepest drawdown of an equity path, and any
+    ``more`` aggregates of its rows, in one grouping."""
+    out = with_drawdown(equity, keys).groupBy(*keys).agg(F.min_by("equity", TS).alias("first"), F.max_by("equity", TS).alias("last"), F.count("*").alias("n"), F.min("drawdown").alias("max_drawdown"), *[c.alias(name) for name, c in more.items()])
     cagr = F.when((F.col("n") < 2) | (F.col("first") <= 0), 0.0).otherwise(F.pow(F.col("last") / F.when(F.col("first") > 0, F.col("first")), F.lit(float(YEAR)) / F.col("n")) - 1)
-    out = ends.join(max_drawdown(equity, keys).hint("shuffle_hash"), list(keys)).withColumn("cagr", cagr)
+    out = out.withColumn("cagr", cagr)
     calmar = F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs(F.when(F.col("max_drawdown") < 0, F.col("max_drawdown")))).otherwise(0.0)
-    return out.select(*keys, "cagr", calmar.alias("calmar"), (F.col("last") / capital - 1).alias("total_return"), "max_drawdown")
+    return out.select(*keys, "cagr", calmar.alias("calmar"), (F.col("last") / capital - 1).alias("total_return"), "max_drawdown", *more)
 
 
 def regime_breakdown(returns: DataFrame, regime: str = "regime", keys: Sequence[str] = K) -> DataFrame:

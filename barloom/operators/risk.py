@@ -238,6 +238,18 @@ def max_correlation(returns: DataFrame, candidates: DataFrame, held: DataFrame,
     return pairs.where(F.col("n") >= least).groupBy("candidate").agg(F.max("r").alias("max_correlation"))
 
 
+def held_correlation(signals: DataFrame, held: DataFrame, returns: DataFrame, rows: int = 60, least: int = 30) -> DataFrame:
+    """As ``max_correlation``, for each account's candidate against the names which
+    that account holds. Only pairs that some account asks for are correlated."""
+    recent = returns.withColumn("_r", F.row_number().over(Window.partitionBy(SERIES).orderBy(F.desc(TS)))).where((F.col("_r") <= rows) & F.col("ret").isNotNull())
+    asked = signals.select("account", SERIES).distinct().join(held.select("account", F.col(SERIES).alias("other")).hint("shuffle_hash"), "account").where(F.col(SERIES) != F.col("other"))
+    x = recent.select(SERIES, TS, F.col("ret").alias("x"))
+    y = recent.select(F.col(SERIES).alias("other"), TS, F.col("ret").alias("y"))
+    pairs = asked.select(SERIES, "other").distinct().join(x.hint("shuffle_hash"), SERIES).join(y.hint("shuffle_hash"), ["other", TS])
+    known = pairs.groupBy(SERIES, "other").agg(correlation("x", "y").alias("r"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return asked.join(known.hint("shuffle_hash"), [SERIES, "other"]).groupBy("account", SERIES).agg(F.max("r").alias("max_correlation"))
+
+
 def sector_exposure(positions: DataFrame, sectors: DataFrame, keys: Sequence[str] = ("account",)) -> DataFrame:
     known = positions.join(sectors.hint("shuffle_hash"), SERIES).where(F.col("sector").isNotNull())
     return known.groupBy(*keys, "sector").agg(F.sum(F.abs("market_value")).alias("gross"))
@@ -423,11 +435,20 @@ def rate_limit(alerts: DataFrame, minutes: float = 15.0, keys: tuple[str, ...] =
     return ordered_fold(alerts, fold, {"passed": "boolean"}, keys, (TS, "alert_id"))
 
 
-def feed_gaps(ticks: DataFrame, seconds: float = 300.0) -> DataFrame:
-    """Silences longer than ``seconds`` between two ticks of a series."""
-    w = Window.partitionBy(SERIES).orderBy("seq")
-    gap = F.col(TS).cast("double") - F.lag(TS).over(w).cast("double")
-    return ticks.withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds)
+def feed_gaps(ticks: DataFrame, seconds: float = 300.0, bucket: int = 900) -> DataFrame:
+    """Silences longer than ``seconds`` between two ticks of a series.
+
+    ``seq`` orders ticks by time first. A series is cut into spans of ``bucket``
+    seconds, so that a hot one is no single task; the last tick before a span comes
+    from a table of one row for each span. Ticks without a time are left out.
+    """
+    ticks = ticks.where(F.col(TS).isNotNull()).withColumn("_span", F.floor(F.col(TS).cast("double") / bucket))
+    last = ticks.groupBy(SERIES, "_span").agg(F.max(TS).alias("_end"))
+    last = last.select(SERIES, "_span", F.lag("_end").over(Window.partitionBy(SERIES).orderBy("_span")).alias("_before"))
+    inside = F.lag(TS).over(Window.partitionBy(SERIES, "_span").orderBy("seq"))
+    df = ticks.withColumn("_prev", inside).join(last.hint("shuffle_hash"), [SERIES, "_span"])
+    gap = F.col(TS).cast("double") - F.coalesce("_prev", "_before").cast("double")
+    return df.withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds).drop("_span", "_prev", "_before")
 
 
 def usage_band(used: Column, limit: Column) -> tuple[Column, Column]:

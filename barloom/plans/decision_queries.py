@@ -66,7 +66,7 @@ SIGNAL = {
     "take_profit": "CAST(NULL AS DOUBLE)",
 }
 
-_VETO = "s AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in SIGNAL.items()) + """ FROM orders),
+_RULES = """,
 forced AS (SELECT *, least(leverage, 1.25e0) AS asked, probability < 0.55 OR severity > 0 OR open_positions >= 3 OR flicker > 4 AS must FROM s),
 lev AS (SELECT *, CASE WHEN must THEN least(asked, 1.0e0) ELSE asked END AS lev, price - stop AS dist FROM forced),
 n1 AS (SELECT *, floor(least(CASE WHEN dist <> 0 THEN 0.01e0 * equity / dist END, least(greatest(target, 0.0e0), 0.15e0) * (CASE WHEN severity = 1 THEN 0.5e0 ELSE 1.0e0 END) * equity / price)) AS sized FROM lev),
@@ -80,6 +80,7 @@ verdict AS (SELECT *, CASE WHEN locked OR severity = 2 THEN 'halted' WHEN side <
  WHEN over AND (fitted <= 0 OR fitted * price < 100) THEN 'exposure' WHEN buying_power <> 0 AND fitted * price * lev > buying_power THEN 'buying power'
  WHEN max_correlation > 0.85e0 THEN 'correlation' WHEN near AND final * price < 100 THEN 'least notional' WHEN (sector_gross + final * price) / equity > 0.30e0 THEN 'sector' END AS reason FROM n5),
 out AS (SELECT *, CASE WHEN reason IS NULL THEN CAST(final AS BIGINT) ELSE 0 END AS shares, CASE WHEN reason IS NULL THEN array_to_string(list_filter([CASE WHEN must AND asked > 1 THEN 'leverage' END, CASE WHEN gapped < sized THEN 'gap' END, CASE WHEN over THEN 'exposure' END, CASE WHEN near THEN 'correlation' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS modifications FROM verdict)"""
+_VETO = "s AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in SIGNAL.items()) + " FROM orders)" + _RULES
 
 
 def decided(spark, sf):
@@ -92,6 +93,65 @@ def e5(spark, sf):
     return six(decided(spark, sf), "leverage").select("order_id", "reason", "shares", "leverage", "modifications")
 
 
+#: What a signal and its quote bring along, and the state of its account, by a rule on their keys.
+OWN = {"stop": "CASE WHEN order_id % 23 = 0 THEN NULL ELSE price * (0.86e0 + 0.02e0 * (order_id % 7)) END", **{c: SIGNAL[c].replace("o_orderkey", "order_id").replace("o_totalprice / 1000", "price") for c in ("side", "tradable", "bid", "ask", "probability", "flicker", "leverage", "target")}}
+STANDING = {"equity": "300000e0 + 10 * c_acctbal", "buying_power": "20 * c_acctbal", "severity": SIGNAL["severity"].replace("o_custkey", "c_custkey"), "locked": "c_custkey % 101 = 0"}
+SECTOR = "CASE WHEN CAST(substring(p_brand, 7) AS INT) % 6 <> 0 THEN CAST(substring(p_brand, 7) AS INT) % 6 END"
+
+_ACCOUNTS = f"""px AS (SELECT p_brand AS series_id, lineitem.*, l_extendedprice / l_quantity AS price FROM lineitem JOIN part ON p_partkey = l_partkey),
+mo AS (SELECT series_id, date_trunc('month', l_shipdate) AS ts, price, row_number() OVER (PARTITION BY series_id, date_trunc('month', l_shipdate) ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS k FROM px),
+mr AS (SELECT series_id, ts, price, ln(price / lag(price) OVER ({S})) AS ret, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS r FROM mo WHERE k = 1),
+cr AS (SELECT a.series_id, b.series_id AS other, corr(a.ret, b.ret) AS c FROM mr a JOIN mr b ON a.ts = b.ts AND a.series_id <> b.series_id WHERE a.r <= 60 AND b.r <= 60 AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30),
+sectors AS (SELECT DISTINCT p_brand AS series_id, {SECTOR} AS sector FROM part),
+q AS (SELECT o_custkey AS account, series_id, sum(l_quantity) AS qty FROM px JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_linenumber = 1 GROUP BY 1, 2),
+held AS (SELECT account, q.series_id, sector, qty * price AS mv FROM q JOIN mr ON mr.series_id = q.series_id AND r = 1 LEFT JOIN sectors ON sectors.series_id = q.series_id WHERE qty * price <> 0),
+book AS (SELECT account, sum(abs(mv)) AS gross, count(*) AS n FROM held GROUP BY 1),
+sec AS (SELECT account, sector, sum(abs(mv)) AS sg FROM held WHERE sector IS NOT NULL GROUP BY 1, 2),
+od AS (SELECT * FROM (SELECT o_orderkey AS order_id, o_custkey AS account, o_orderstatus, o_orderdate AS ts, series_id, price, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_extendedprice DESC, l_partkey DESC, l_linenumber DESC, l_quantity DESC) AS k FROM px JOIN orders ON o_orderkey = l_orderkey) WHERE k = 1),
+own AS (SELECT *, {", ".join(f"{e} AS {c}" for c, e in OWN.items())} FROM od),
+sent AS (SELECT order_id, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY account, series_id, side ORDER BY ts, order_id)) < 2592000, false) AS is_duplicate, row_number() OVER (PARTITION BY account, CAST(ts AS DATE) ORDER BY ts, order_id) - 1 AS trades_before FROM own),
+s AS (SELECT own.* EXCLUDE (k), is_duplicate, trades_before, {", ".join(f"{e} AS {c}" for c, e in STANDING.items())}, coalesce(gross, 0) AS gross, coalesce(n, 0) AS open_positions, h.mv IS NOT NULL AS is_held,
+  CASE WHEN sectors.sector IS NOT NULL THEN coalesce(sg, 0) END AS sector_gross, (SELECT max(c) FROM held o JOIN cr ON cr.other = o.series_id WHERE o.account = own.account AND cr.series_id = own.series_id) AS max_correlation
+  FROM own JOIN sent ON sent.order_id = own.order_id JOIN customer ON c_custkey = own.account LEFT JOIN book ON book.account = own.account LEFT JOIN held h ON h.account = own.account AND h.series_id = own.series_id
+  LEFT JOIN sectors ON sectors.series_id = own.series_id LEFT JOIN sec ON sec.account = own.account AND sec.sector = sectors.sector WHERE o_orderstatus = 'O')"""
+
+
+def account_signals(spark, sf):
+    """Signals of open orders on their largest line's brand, with the state of their
+    account joined from positions, all orders, sectors and monthly returns of brands."""
+    lines = src.read_table(spark, sf, "lineitem").withColumn("price", F.try_divide("l_extendedprice", "l_quantity"))
+    parts = src.read_table(spark, sf, "part")
+    px = lines.join(parts.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("series_id")).hint("shuffle_hash"), "l_partkey")
+    seq = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    months = px.groupBy("series_id", F.date_trunc("month", "l_shipdate").alias("ts")).agg(F.max_by("price", seq).alias("price"))
+    returns = months.withColumn("ret", F.log(F.col("price") / F.lag("price").over(ordered())))
+    marks = months.groupBy("series_id").agg(F.max_by("price", "ts").alias("close"))
+
+    orders = src.read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("account"), "o_orderstatus", F.col("o_orderdate").alias("ts"))
+    first = px.where("l_linenumber = 1").withColumnRenamed("l_orderkey", "order_id").join(orders.where("o_orderstatus = 'F'").hint("shuffle_hash"), "order_id")
+    bought = first.groupBy("account", "series_id").agg(F.sum("l_quantity").alias("qty"), F.avg("price").alias("avg_price"))
+    positions = risk.mark_to_market(bought, marks)
+
+    main = px.groupBy(F.col("l_orderkey").alias("order_id")).agg(F.max_by(F.struct("series_id", "price"), F.struct("l_extendedprice", "l_partkey", "l_linenumber", "l_quantity")).alias("m"))
+    sent = orders.join(main.hint("shuffle_hash"), "order_id").select("order_id", "account", "o_orderstatus", "ts", "m.*")
+    sent = sent.selectExpr("*", *[f"{e} AS {c}" for c, e in OWN.items()])
+    accounts = src.read_table(spark, sf, "customer").selectExpr("c_custkey AS account", *[f"{e} AS {c}" for c, e in STANDING.items()])
+    sectors = parts.selectExpr("p_brand AS series_id", f"{SECTOR} AS sector").distinct()
+    return dec.with_account_state(sent.where("o_orderstatus = 'O'"), accounts, positions, sent, sectors, returns, 2592000)
+
+
+@query(
+    "e5_account_cascade",
+    with_(
+        _ACCOUNTS + _RULES,
+        "SELECT order_id, series_id, round(gross, 2) AS gross, open_positions, is_held, is_duplicate, trades_before, round(sector_gross, 2) AS sector_gross, round(max_correlation, 6) AS max_correlation, reason, shares, round(lev, 6) AS leverage, modifications FROM out",
+    ),
+)
+def e5_joined(spark, sf):
+    df = dec.veto_cascade(account_signals(spark, sf)).withColumns({"gross": F.round("gross", 2), "sector_gross": F.round("sector_gross", 2)})
+    return six(df, "leverage", "max_correlation").select("order_id", "series_id", "gross", "open_positions", "is_held", "is_duplicate", "trades_before", "sector_gross", "max_correlation", "reason", "shares", "leverage", "modifications")
+
+
 @query("a13_order_intents", with_(_VETO, "SELECT order_id, shares, round(price + 2 * (price - stop), 2) AS take_profit, round(stop, 2) AS stop_price, round(price * 1.001e0, 2) AS limit_price FROM out WHERE shares > 0"))
 def a13(spark, sf):
     return dec.order_intents(decided(spark, sf)).select("order_id", "shares", "take_profit", "stop_price", "limit_price")

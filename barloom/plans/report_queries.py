@@ -64,10 +64,8 @@ round(arg_max(equity, ts) / 100000 - 1, 6) AS total_return FROM dd GROUP BY 1"""
     ),
 )
 def flagship(spark, sf):
-    path = trend_path(spark, sf)
-    grown = perf.growth(path, CAPITAL)
-    ratio = perf.ratios(path.select("series_id", F.col("net").alias("ret")))
-    return grown.join(ratio.hint("shuffle_hash"), "series_id").select("series_id", *[F.round(c, 6).alias(c) for c in ("sharpe", "max_drawdown", "cagr", "total_return")])
+    grown = perf.growth(trend_path(spark, sf), CAPITAL, sharpe=perf.sharpe(F.col("net")))
+    return grown.select("series_id", *[F.round(c, 6).alias(c) for c in ("sharpe", "max_drawdown", "cagr", "total_return")])
 
 
 @query("g1_sharpe_g2_sortino", with_(DAMPED, f"SELECT series_id, round({SHARPE}, 6) AS sharpe, round({SORTINO}, 6) AS sortino FROM damped GROUP BY 1"))
