@@ -185,9 +185,27 @@ def best_point(scores: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:
     return scores.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def alerts(changes: DataFrame, breakers: DataFrame, flickers: DataFrame) -> DataFrame:
-    """Alert rows of regime changes, posture changes and flicker, with severity."""
-    row = lambda df, kind, level: df.select(SERIES, TS, F.lit(kind).alias("kind"), level.alias("level"))
+def alerts(changes: DataFrame, breakers: DataFrame, flickers: DataFrame, returns: DataFrame | None = None, gaps: DataFrame | None = None, decisions: DataFrame | None = None, outsized: float = 0.03) -> DataFrame:
+    """Alert rows of regime changes, posture changes and flicker, and where given of
+    outsized returns, silences of the feed and decisions on challengers, with severity."""
+    row = lambda df, kind, level: df.select(SERIES, TS, (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), level.alias("level"))
     out = row(changes, "regime_change", F.lit("info"))
     out = out.unionByName(row(breakers, "posture_change", F.when(F.col("to_severity") == HALTED, "critical").otherwise("warning")))
-    return out.unionByName(row(flickers, "flicker", F.lit("warning")))
+    out = out.unionByName(row(flickers, "flicker", F.lit("warning")))
+    if returns is not None:
+        out = out.unionByName(row(returns.where(F.abs("ret") > outsized), "large_return", F.lit("warning")))
+    if gaps is not None:
+        out = out.unionByName(row(gaps, "feed_down", F.lit("critical")))
+    if decisions is not None:
+        out = out.unionByName(row(decisions, F.when(F.col("promoted"), "retrained").otherwise("retrain_rejected"), F.when(F.col("promoted"), "info").otherwise("warning")))
+    return out
+
+
+def benchmark_table(strategy: DataFrame, benchmarks: dict[str, DataFrame], random: DataFrame, capital: float) -> DataFrame:
+    """A row for the strategy (against its capital), for each benchmark curve and
+    for the mean of random paths, which have neither growth rate nor drawdown."""
+    own = perf.growth(strategy, capital, sharpe=perf.sharpe(F.col("net"))).drop("calmar").withColumn("strategy", F.lit("strategy"))
+    for name, curve in benchmarks.items():
+        own = own.unionByName(perf.benchmark_metrics(curve).withColumn("strategy", F.lit(name)))
+    drawn = random.select(SERIES, F.lit("random").alias("strategy"), F.col("mean_return").alias("total_return"), F.col("mean_sharpe").alias("sharpe"))
+    return own.unionByName(drawn, allowMissingColumns=True)

@@ -107,10 +107,13 @@ def trade_stats(returns: DataFrame, keys: Sequence[str] = K) -> DataFrame:
 
 
 def worst_case(returns: DataFrame, keys: Sequence[str] = K) -> DataFrame:
-    """Worst bar, worst full 5- and 21-bar spans, longest losing streak."""
+    """Worst bar, worst full 5- and 21-bar spans, longest losing streak, and the
+    longest stretch of the compounded path under its peak."""
     span = lambda n: F.when(F.count("ret").over(trailing(n, keys)) == n, F.product(1 + F.col("ret")).over(trailing(n, keys)) - 1)
     worst = returns.withColumns({"_5": span(5), "_21": span(21)}).groupBy(*keys).agg(F.min("ret").alias("worst_bar"), F.min("_5").alias("worst_5"), F.min("_21").alias("worst_21"))
-    return worst.join(longest_run(returns, F.col("ret") < 0, keys, "loss_streak").hint("shuffle_hash"), list(keys))
+    streak = longest_run(returns, F.col("ret") < 0, keys, "loss_streak")
+    under = drawdown_duration(buy_hold(returns, 1.0, keys), keys).withColumnRenamed("drawdown_duration", "underwater")
+    return worst.join(streak.hint("shuffle_hash"), list(keys)).join(under.hint("shuffle_hash"), list(keys))
 
 
 def buy_hold(returns: DataFrame, capital: float, keys: Sequence[str] = K) -> DataFrame:
@@ -124,19 +127,63 @@ def trend_weights(bars: DataFrame, rows: int = 200) -> DataFrame:
     return bars.withColumn("_above", above).withColumn("weight", F.coalesce(F.lag("_above").over(ordered()), F.lit(0.0))).drop("_above")
 
 
+def in_slices(rows: DataFrame, spans: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows inside named spans, both ends included; a row may stand in several.
+    Only the spans, a table of the caller's, are broadcast."""
+    table = rows.sparkSession.createDataFrame([(n, a, b) for n, (a, b) in spans.items()], "slice string, lo string, hi string")
+    table = table.select("slice", F.to_timestamp("lo").alias("lo"), F.to_timestamp("hi").alias("hi"))
+    return rows.join(F.broadcast(table), (F.col(TS) >= F.col("lo")) & (F.col(TS) <= F.col("hi"))).drop("lo", "hi")
+
+
 def crisis_slices(returns: DataFrame, spans: dict[str, tuple[str, str]] = CRISES, keys: Sequence[str] = K) -> DataFrame:
     """Metrics inside named spans, compounded from each span's own start. Spans
     with fewer than two bars are left out."""
-    spark = returns.sparkSession
-    table = spark.createDataFrame([(n, a, b) for n, (a, b) in spans.items()], "slice string, lo string, hi string")
-    table = table.select("slice", F.to_timestamp("lo").alias("lo"), F.to_timestamp("hi").alias("hi"))
-    inside = returns.join(F.broadcast(table), (F.col(TS) >= F.col("lo")) & (F.col(TS) <= F.col("hi"))).drop("lo", "hi")
     own = [*keys, "slice"]
-    path = inside.withColumn("equity", F.product(1 + F.col("ret")).over(running(own)))
+    path = in_slices(returns, spans).withColumn("equity", F.product(1 + F.col("ret")).over(running(own)))
     path = path.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(running(own)), F.lit(1.0)) - 1)
     return path.groupBy(*own).agg(F.count("*").alias("bars"), (F.max_by("equity", TS) - 1).alias("total_return"), sharpe(F.col("ret")).alias("sharpe"), F.min("drawdown").alias("max_drawdown")).where("bars >= 2")
 
 
+def slice_report(paths: DataFrame, spans: dict[str, tuple[str, str]] = CRISES, keys: Sequence[str] = K, rf: float = 0.0) -> DataFrame:
+    """A strategy beside holding and the trend rule inside named spans.
+
+    A row of ``paths`` has net (the strategy's return), ret (the asset's), trend_ret
+    (the trend rule's, its average taken over the whole series) and severity.
+    Drawdowns begin anew in each span; spans with fewer than two bars are left out.
+    """
+    own = [*keys, "slice"]
+    frame = running(own)
+    df = in_slices(paths, spans).withColumns({"_e": F.product(1 + F.col("net")).over(frame), "_h": F.product(1 + F.col("ret")).over(frame)})
+    df = df.withColumns({"_ed": F.col("_e") / F.max("_e").over(frame) - 1, "_hd": F.col("_h") / F.max("_h").over(frame) - 1})
+    return df.groupBy(*own).agg(
+        F.count("*").alias("bars"),
+        (F.max_by("_e", TS) - 1).alias("total_return"),
+        sharpe(F.col("net"), rf).alias("sharpe"),
+        F.min("_ed").alias("max_drawdown"),
+        (F.max_by("_h", TS) - 1).alias("hold_return"),
+        sharpe(F.col("ret"), rf).alias("hold_sharpe"),
+        F.min("_hd").alias("hold_drawdown"),
+        (F.product(1 + F.col("trend_ret")) - 1).alias("trend_return"),
+        F.avg((F.col("severity") == 2).cast("double")).alias("halted_share"),
+    ).where("bars >= 2")
+
+
+def holdout_gate(slices: DataFrame, keys: Sequence[str] = K) -> DataFrame:
+    """In how many of its slices a strategy has a larger Sharpe and a shallower drawdown than holding."""
+    won = (F.col("sharpe") > F.col("hold_sharpe")) & (F.col("max_drawdown") > F.col("hold_drawdown"))
+    return slices.groupBy(*keys).agg(F.count_if(won).alias("passes"), F.count("*").alias("slices"))
+
+
+def benchmark_metrics(paths: DataFrame, keys: Sequence[str] = K) -> DataFrame:
+    """Metrics of benchmark curves from their own first value: the first bar has no
+    return. Curves of one bar have zeros."""
+    df = with_drawdown(paths.withColumn("_r", F.try_divide("equity", F.lag("equity").over(ordered(keys))) - 1), keys)
+    growth_of = F.try_divide(F.max_by("equity", TS), F.min_by("equity", TS))
+    many = F.count("equity") >= 2
+    zero = lambda c: F.when(many, c).otherwise(0.0)
+    return df.groupBy(*keys).agg(zero(growth_of - 1).alias("total_return"), zero(F.pow(growth_of, F.lit(float(YEAR)) / F.count("equity")) - 1).alias("cagr"), zero(sharpe(F.col("_r"))).alias("sharpe"), zero(F.min("drawdown")).alias("max_drawdown"))
+
+
 def beats(own: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Whether a strategy beats a benchmark: by return, and by risk-adjusted return."""
     b = other.select(*keys, F.col("total_return").alias("b_return"), F.col("sharpe").alias("b_sharpe"), F.col("max_drawdown").alias("b_drawdown"))

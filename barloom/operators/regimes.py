@@ -114,6 +114,46 @@ def transition_table(models: DataFrame) -> DataFrame:
     return rows.select(SERIES, "from_state", F.posexplode("row").alias("to_state", "probability"))
 
 
+def runner_ups(probabilities: Column) -> Column:
+    """States by falling probability; the smaller state first on ties."""
+    placed = F.transform(probabilities, lambda p, i: F.struct((-p).alias("p"), i.alias("i")))
+    return F.transform(F.array_sort(placed), lambda s: s["i"])
+
+
+def latest_state(states: DataFrame, infos: DataFrame, risks: DataFrame) -> DataFrame:
+    """One row for each series: its last regime with label, confidence, length,
+    volatility rank and runner-ups, and the account's losses beside it.
+
+    ``states`` has state_id, probabilities, consecutive_bars and is_confirmed,
+    ``infos`` a row for each state (label, vol_rank), ``risks`` ret, drawdown and
+    severity for each bar. A state without a row in ``infos`` has no label.
+    """
+    last = states.groupBy(SERIES).agg(F.max(TS).alias(TS), F.max_by(F.struct("state_id", "probabilities", "consecutive_bars", "is_confirmed"), TS).alias("_s")).select(SERIES, TS, "_s.*")
+    risk = risks.groupBy(SERIES).agg(F.max_by(F.struct("ret", "drawdown", "severity"), TS).alias("_r")).select(SERIES, "_r.*")
+    df = last.join(infos.select(SERIES, "state_id", "label", "vol_rank").hint("shuffle_hash"), [SERIES, "state_id"], "left").join(risk.hint("shuffle_hash"), SERIES, "left")
+    return df.select(
+        SERIES,
+        TS,
+        "state_id",
+        "label",
+        F.try_element_at("probabilities", F.col("state_id") + 1).alias("confidence"),
+        F.col("consecutive_bars").alias("stability"),
+        "is_confirmed",
+        F.coalesce("vol_rank", F.lit(0.0)).alias("vol_rank"),
+        runner_ups(F.col("probabilities")).alias("runner_ups"),
+        "severity",
+        F.greatest(-F.col("ret"), F.lit(0.0)).alias("day_loss"),
+        F.greatest(-F.col("drawdown"), F.lit(0.0)).alias("peak_loss"),
+        (F.col("severity") == 0).alias("breakers_clear"),
+    )
+
+
+def regime_table(infos: DataFrame, transitions: DataFrame) -> DataFrame:
+    """States of each series with their hints and the shares of the states that follow, as a map."""
+    to = transitions.groupBy(SERIES, F.col("from_state").alias("state_id")).agg(F.map_from_entries(F.collect_list(F.struct("to_state", "share"))).alias("follows"))
+    return attach_hints(infos).join(to.hint("shuffle_hash"), [SERIES, "state_id"], "left")
+
+
 # --- models -----------------------------------------------------------------
 
 
@@ -299,6 +339,14 @@ def stale_models(series: DataFrame, models: DataFrame, now: Column, days: float
     return joined.where(F.col("age_days").isNull() | (F.col("age_days") > days))
 
 
+def rollback(versions: DataFrame, promotions: DataFrame) -> DataFrame:
+    """The champion (promoted last) of each series and the version just before it;
+    null where the champion is the first version or not among the versions."""
+    champion = promotions.groupBy(SERIES).agg(F.max_by("version", F.struct(TS, "version")).alias("version"))
+    before = versions.select(SERIES, "version").distinct().withColumn("rolled_back_to", F.lag("version").over(Window.partitionBy(SERIES).orderBy("version")))
+    return champion.join(before.hint("shuffle_hash"), [SERIES, "version"], "left").withColumnRenamed("version", "champion")
+
+
 def model_asof(bars: DataFrame, promotions: DataFrame) -> DataFrame:
     """Each bar with the version promoted last at or before it (null before the first)."""
     points = promotions.select(SERIES, TS, F.col("version"), F.lit(0).alias("_bar"))

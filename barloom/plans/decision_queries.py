@@ -344,13 +344,12 @@ def g14(spark, sf):
 _TABLE = TREND + f""",
 paths AS (SELECT 'trend' AS strategy, series_id, ts, net AS ret, equity FROM eq UNION ALL SELECT 'buy_hold', series_id, ts, ret, equity FROM curve),
 dd AS (SELECT *, equity / max(equity) OVER {sql_running('strategy, series_id')} - 1 AS dd FROM paths),
-summary AS (SELECT strategy, series_id, arg_max(equity, ts) / 100000 - 1 AS total_return, {SHARPE} AS sharpe, min(dd) AS max_drawdown FROM dd GROUP BY 1, 2)"""
+steps AS (SELECT strategy, series_id, ts, equity, dd, equity / lag(equity) OVER (PARTITION BY strategy, series_id ORDER BY ts) - 1 AS ret FROM dd),
+summary AS (SELECT strategy, series_id, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS total_return, pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0 / count(*)) - 1 AS cagr, {SHARPE} AS sharpe, min(dd) AS max_drawdown FROM steps GROUP BY 1, 2)"""
 
 
 def summaries(spark, sf):
-    trend = dec.path_summary(trend_path(spark, sf), "net", CAPITAL, ("series_id",))
-    hold = dec.path_summary(curve(spark, sf), "ret", CAPITAL, ("series_id",))
-    return trend, hold
+    return perf.benchmark_metrics(trend_path(spark, sf)), perf.benchmark_metrics(curve(spark, sf))
 
 
 @query("g15_benchmark_table", with_(_TABLE, "SELECT strategy, series_id, round(total_return, 6) AS total_return, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown FROM summary"))

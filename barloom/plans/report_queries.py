@@ -263,12 +263,13 @@ def g10(spark, sf):
     "g11_worst_case",
     with_(
         DAMPED + f""", sp AS (SELECT *, CASE WHEN count(*) OVER {frame(5)} = 5 THEN product(1 + ret) OVER {frame(5)} - 1 END AS r5, CASE WHEN count(*) OVER {frame(21)} = 21 THEN product(1 + ret) OVER {frame(21)} - 1 END AS r21, sum(CASE WHEN ret < 0 THEN 0 ELSE 1 END) OVER {sql_running()} AS isl FROM damped),
-st AS (SELECT series_id, isl, count(*) FILTER (ret < 0) AS n FROM sp GROUP BY 1, 2)""",
-        "SELECT sp.series_id, round(min(ret), 6) AS worst_bar, round(min(r5), 6) AS worst_5, round(min(r21), 6) AS worst_21, (SELECT max(n) FROM st WHERE st.series_id = sp.series_id) AS loss_streak FROM sp GROUP BY 1",
+st AS (SELECT series_id, isl, count(*) FILTER (ret < 0) AS n FROM sp GROUP BY 1, 2),
+uw AS (SELECT *, equity < max(equity) OVER {sql_running()} AS under FROM curve), ui AS (SELECT *, sum(CASE WHEN under THEN 0 ELSE 1 END) OVER {sql_running()} AS isl FROM uw), uc AS (SELECT series_id, isl, count(*) FILTER (under) AS n FROM ui GROUP BY 1, 2)""",
+        "SELECT sp.series_id, round(min(ret), 6) AS worst_bar, round(min(r5), 6) AS worst_5, round(min(r21), 6) AS worst_21, (SELECT max(n) FROM st WHERE st.series_id = sp.series_id) AS loss_streak, (SELECT max(n) FROM uc WHERE uc.series_id = sp.series_id) AS underwater FROM sp GROUP BY 1",
     ),
 )
 def g11(spark, sf):
-    return perf.worst_case(damped(spark, sf)).select("series_id", *[F.round(c, 6).alias(c) for c in ("worst_bar", "worst_5", "worst_21")], "loss_streak")
+    return perf.worst_case(damped(spark, sf)).select("series_id", *[F.round(c, 6).alias(c) for c in ("worst_bar", "worst_5", "worst_21")], "loss_streak", "underwater")
 
 
 @query("g12_buy_hold", with_(DAMPED, "SELECT series_id, ts, round(equity, 2) AS equity FROM curve"))
@@ -424,11 +425,14 @@ ledger(series_id, n, held, avg_price, realized) AS (
               FROM ledger p JOIN o ON o.series_id = p.series_id AND o.n = p.n + 1)))"""
 
 
+def fills(spark, sf):
+    rows = src.read_table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").alias("ts"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("f"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("qty"), F.try_divide("l_extendedprice", "l_quantity").alias("price"))
+    return rows.withColumn("fill_id", F.concat_ws("-", F.format_string("%012d", F.col("f.l_orderkey")), F.format_string("%04d", F.col("f.l_linenumber")), F.col("f.l_partkey").cast("string"), F.col("f.l_extendedprice").cast("string"))).drop("f")
+
+
 @query("h1_fill_ledger", with_(_FILLS, "SELECT o.series_id, fill_id, round(held, 6) AS held, floor(avg_price * 10000) / 10000 AS avg_price, floor(realized * 100) / 100 AS realized FROM o JOIN ledger USING (series_id, n)", True))
 def h1(spark, sf):
-    fills = src.read_table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").alias("ts"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("f"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("qty"), F.try_divide("l_extendedprice", "l_quantity").alias("price"))
-    fills = fills.withColumn("fill_id", F.concat_ws("-", F.format_string("%012d", F.col("f.l_orderkey")), F.format_string("%04d", F.col("f.l_linenumber")), F.col("f.l_partkey").cast("string"), F.col("f.l_extendedprice").cast("string"))).drop("f")
-    return risk.fill_ledger(fills).select("series_id", "fill_id", F.round("held", 6).alias("held"), (F.floor(F.col("avg_price") * 10000) / 10000).alias("avg_price"), (F.floor(F.col("realized") * 100) / 100).alias("realized"))
+    return risk.fill_ledger(fills(spark, sf)).select("series_id", "fill_id", F.round("held", 6).alias("held"), (F.floor(F.col("avg_price") * 10000) / 10000).alias("avg_price"), (F.floor(F.col("realized") * 100) / 100).alias("realized"))
 
 
 @query("h6_reconcile", "WITH a AS (SELECT l_partkey AS part, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS part, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT coalesce(a.part, b.part) AS part, coalesce(a.q, 0) AS own_qty, coalesce(b.q, 0) AS broker_qty, abs(coalesce(a.q, 0) - coalesce(b.q, 0)) > 1e-6 AS mismatch FROM a FULL JOIN b ON a.part = b.part")
