@@ -84,8 +84,9 @@ def dist_sma(rows: int = 200) -> Column:
 # --- folds ------------------------------------------------------------------
 
 
-def ordered_fold(df: DataFrame, fold: Callable[[pd.DataFrame], dict[str, np.ndarray]], out: dict[str, str], keys: tuple[str, ...] = (SERIES,), order: tuple[str, ...] = (TS,)) -> DataFrame:
-    """Add columns that a recurrence gives over each group in order.
+def ordered_fold(df: DataFrame, fold: Callable[[pd.DataFrame], dict[str, np.ndarray]], out: dict[str, str], keys: tuple[str, ...] = (SERIES,), order: tuple[str, ...] = (TS,), drop: bool = True) -> DataFrame:
+    """Add columns that a recurrence gives over each group in order. Without
+    ``drop``, ``fold`` may read the columns that it replaces.
 
     ``fold`` gets a group's rows in order and returns the new columns. A group
     is one series (with its scenario or parameter): it must fit a worker.
@@ -96,7 +97,7 @@ def ordered_fold(df: DataFrame, fold: Callable[[pd.DataFrame], dict[str, np.ndar
         group = group.sort_values(list(order), kind="stable").reset_index(drop=True)
         return group.assign(**fold(group))
 
-    return df.drop(*out).groupBy(*keys).applyInPandas(run, schema)
+    return (df.drop(*out) if drop else df).groupBy(*keys).applyInPandas(run, schema)
 
 
 def ema_values(x: np.ndarray, span: int) -> np.ndarray:
@@ -192,10 +193,29 @@ def feature_matrix(bars: DataFrame) -> DataFrame:
     return df.select("series_id", "ts", "open", "high", "low", "close", "volume", "ema", "atr", *FEATURES)
 
 
+def rolling_z(x: np.ndarray, rows: int, block: int = 8192) -> np.ndarray:
+    """``z_score`` of an array; frames are views, taken a block at a time."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= rows:
+        frames = np.lib.stride_tricks.sliding_window_view(x, rows)
+        for i in range(0, len(frames), block):
+            part = frames[i : i + block]
+            deviation = part.std(axis=1, ddof=1)
+            here = slice(i + rows - 1, i + rows - 1 + len(part))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[here] = np.where(deviation > 0, (x[here] - part.mean(axis=1)) / deviation, np.nan)
+    return out
+
+
 def standardised_features(bars: DataFrame, rows: int = 252) -> DataFrame:
-    """Rolling z-scores of all features, rows with a null dropped (warm-up)."""
-    df = feature_matrix(bars)
-    return df.select("series_id", "ts", "close", "ema", "atr", *[z_score(c, rows).alias(c) for c in FEATURES]).na.drop()
+    """Rolling z-scores of all features, rows with a null dropped (warm-up).
+
+    The scores are taken in one fold over the series, which its windows have left
+    on one partition: long sliding frames cost a window its whole frame at every row.
+    """
+    df = feature_matrix(bars).select("series_id", "ts", "close", "ema", "atr", *FEATURES)
+    scored = ordered_fold(df, lambda g: {c: _null(rolling_z(g[c].to_numpy(float, na_value=np.nan), rows)) for c in FEATURES}, dict.fromkeys(FEATURES, "double"), drop=False)
+    return scored.na.drop()
 
 
 def is_trending(adx: DataFrame, least: float = 25.0) -> DataFrame:

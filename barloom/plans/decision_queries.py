@@ -14,7 +14,7 @@ from barloom.operators import decisions as dec
 from barloom.operators import performance as perf
 from barloom.operators import regimes as reg
 from barloom.operators import risk
-from barloom.plans.report_queries import _INFO, _LATCH, _POSTURE, _STATES, CAPITAL, SHARPE, curve, damped, state_table, states, trend_path
+from barloom.plans.report_queries import _INFO, _LATCH, _POSTURE, _STATES, CAPITAL, SHARPE, curve, damped, replay_sql, state_table, states, trend_path
 from barloom.plans.sql import BARS, DAMPED, S, TREND, frame, with_
 from barloom.plans.sql import running as sql_running
 from barloom.sources import bars as src
@@ -316,7 +316,18 @@ def swept(spark, sf):
     return out.withColumn("net", F.col("equity") / before - 1)
 
 
-@query("f15_parameter_sweep")
+@query(
+    "f15_parameter_sweep",
+    with_(
+        replay_sql(", ".join(f"({i}, {f}e0, {k})" for i, (f, k) in enumerate(GRID)))
+        + f""",
+nets AS (SELECT series_id, point, ts, equity, equity / coalesce(lag(equity) OVER (PARTITION BY series_id, point ORDER BY ts), {CAPITAL}) - 1 AS ret, equity / max(equity) OVER {sql_running('series_id, point')} - 1 AS dd FROM replayed),
+scores AS (SELECT series_id, point, arg_max(equity, ts) / {CAPITAL} - 1 AS total_return, {SHARPE} AS sharpe, min(dd) AS max_drawdown FROM nets GROUP BY 1, 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY sharpe DESC, point) AS r FROM scores)""",
+        "SELECT series_id, point, round(total_return, 6) AS total_return, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown FROM best WHERE r = 1",
+        True,
+    ),
+)
 def f15(spark, sf):
     scores = dec.path_summary(swept(spark, sf), "net", CAPITAL, ("series_id", "point"))
     return six(dec.best_point(scores), "total_return", "sharpe", "max_drawdown")

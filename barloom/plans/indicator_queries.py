@@ -214,12 +214,29 @@ def b16(spark, sf):
     return rounded(ind.add_recurrences(src.daily_bars(spark, sf)), "adx")
 
 
-@query("b17_feature_matrix")
+_MATRIX = (
+    "rs AS (" + with_(_RSI, "SELECT series_id, ts, CASE WHEN bar_no < 14 THEN NULL WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + u / l) END AS rsi FROM numbered JOIN rsi USING (series_id, bar_no)", True) + "),\n"
+    "ax AS (" + with_(_ADX, "SELECT series_id, ts, a AS adx FROM numbered JOIN adx USING (series_id, bar_no)", True) + "),\n"
+    "ar AS (" + with_(_ATR, "SELECT series_id, ts, a AS atr FROM numbered JOIN atr USING (series_id, bar_no)", True) + "),\n"
+    + NUMBERED
+    + f""",
+f1 AS (SELECT series_id, ts, bar_no, close, {", ".join(f"ln(close / lag(close, {p}) OVER ({S})) AS ret_{p}" for p in (1, 5, 20))}, {", ".join(f"100 * (close / lag(close, {p}) OVER ({S}) - 1) AS roc_{p}" for p in (10, 20))},
+  {z('volume', 50)} AS volume_z, {sql_gated('avg', 'volume', 10)} AS v10, {sql_gated('avg', 'close', 50)} AS s50, (close - ({sql_gated('avg', 'close', 200)})) / close AS dist_sma FROM numbered),
+f2 AS (SELECT *, {sql_gated('stddev_samp', 'ret_1', 20)} AS realized_vol, ({sql_gated('stddev_samp', 'ret_1', 5)}) / nullif({sql_gated('stddev_samp', 'ret_1', 20)}, 0) AS vol_ratio, {slope('v10', 10)} AS volume_trend, {slope('s50', 50)} AS sma_slope FROM f1),
+fm AS (SELECT f2.*, rsi, adx, atr / close AS natr FROM f2 LEFT JOIN rs USING (series_id, ts) LEFT JOIN ax USING (series_id, ts) LEFT JOIN ar USING (series_id, ts))"""
+)
+
+
+@query("b17_feature_matrix", with_(_MATRIX, "SELECT series_id, ts, " + ", ".join(f"round({c}, {4 if c == 'sma_slope' else 6}) AS {c}" for c in ind.FEATURES) + " FROM fm"))
 def b17(spark, sf):
-    return rounded(ind.feature_matrix(src.daily_bars(spark, sf)), *ind.FEATURES)
+    df = ind.feature_matrix(src.daily_bars(spark, sf))
+    return df.select("series_id", "ts", *[F.round(c, 4 if c == "sma_slope" else 6).alias(c) for c in ind.FEATURES])
 
 
-@query("b18_standardised_features")
+@query(
+    "b18_standardised_features",
+    with_(_MATRIX + ", zs AS (SELECT series_id, ts, " + ", ".join(f"{z(c, 252)} AS {c}" for c in ind.FEATURES) + " FROM fm)", "SELECT series_id, ts, " + ", ".join(f"round({c}, 6) AS {c}" for c in ind.FEATURES) + " FROM zs WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ind.FEATURES)),
+)
 def b18(spark, sf):
     return rounded(ind.standardised_features(src.daily_bars(spark, sf)), *ind.FEATURES)
 

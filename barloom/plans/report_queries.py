@@ -408,7 +408,28 @@ def e15(spark, sf):
     return risk.calm_reentry(df).select("series_id", "ts", F.round("peak", 2).alias("peak"), "peak_halted")
 
 
-@query("f8_replay_allocation")
+def replay_sql(points: str) -> str:
+    """The feedback loop over (point, least, calm_bars) rows, a bar at a time."""
+    return DAMPED + f""",
+points(point, least, calm_bars) AS (VALUES {points}),
+bars_of AS MATERIALIZED (SELECT series_id, ts, ret, row_number() OVER ({S}) AS n, CASE WHEN ret > 0 THEN 0.95e0 ELSE 0.6e0 END AS want, abs(ret) < 0.01e0 AS calm FROM damped),
+loop(series_id, point, n, equity, held, peak, streak, g1, g2, g3, g4, severity, moved) AS (
+  SELECT series_id, point, CAST(0 AS BIGINT), {CAPITAL}::DOUBLE, 0.0::DOUBLE, {CAPITAL}::DOUBLE, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0, false FROM bars_of CROSS JOIN points WHERE n = 1
+  UNION ALL
+  SELECT series_id, point, n, CASE WHEN go THEN equity * (1 - abs(target - held) * 0.0005e0) ELSE equity END, CASE WHEN go THEN target ELSE held END, CASE WHEN freed THEN equity ELSE peak END, CASE WHEN freed THEN 0 ELSE streak END, gross, g1, g2, g3, severity, go
+  FROM (SELECT *, abs(target - held) >= 0.10e0 OR target = 0 AND held > 0 AS go
+   FROM (SELECT *, want * (CASE severity WHEN 2 THEN least WHEN 1 THEN 0.5e0 ELSE 1.0e0 END) AS target
+    FROM (SELECT *, CASE WHEN breached AND NOT freed THEN 2 WHEN gross <= -0.03e0 OR five <= -0.07e0 THEN 2 WHEN gross <= -0.02e0 OR five <= -0.05e0 THEN 1 ELSE 0 END AS severity
+     FROM (SELECT *, breached AND calm_bars > 0 AND streak >= calm_bars AS freed
+      FROM (SELECT * EXCLUDE (streak), CASE WHEN breached AND calm THEN streak + 1 ELSE 0 END AS streak
+       FROM (SELECT *, (peak - equity) / peak >= 0.10e0 AS breached
+        FROM (SELECT b.series_id, l.point, b.n, b.want, b.calm, l.held, l.streak, l.g1, l.g2, l.g3, p.least, p.calm_bars, l.held * b.ret AS gross, l.equity * (1 + l.held * b.ret) AS equity, greatest(l.peak, l.equity * (1 + l.held * b.ret)) AS peak,
+          (1 + l.g4) * (1 + l.g3) * (1 + l.g2) * (1 + l.g1) * (1 + l.held * b.ret) - 1 AS five
+         FROM loop l JOIN bars_of b ON b.series_id = l.series_id AND b.n = l.n + 1 JOIN points p ON p.point = l.point)))))))),
+replayed AS (SELECT l.series_id, l.point, b.ts, l.equity, l.held AS weight, l.severity, l.moved AS is_rebalance FROM loop l JOIN bars_of b ON b.series_id = l.series_id AND b.n = l.n)"""
+
+
+@query("f8_replay_allocation", with_(replay_sql("(0, 0.25e0, 3)"), "SELECT series_id, ts, round(equity, 2) AS equity, weight, severity, is_rebalance FROM replayed", True))
 def f8(spark, sf):
     df = damped(spark, sf).withColumns({"target": F.when(F.col("ret") > 0, 0.95).otherwise(0.6), "natr": F.abs("ret"), "calm": F.abs(F.col("ret")) < 0.01})
     return risk.replay_allocation(df, CAPITAL, reentry=3).select("series_id", "ts", F.round("equity", 2).alias("equity"), "weight", "severity", "is_rebalance")

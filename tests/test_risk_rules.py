@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from barloom.operators import regimes, risk
+from barloom.functions.windows import ordered
+from barloom.operators import decisions, indicators, regimes, risk
+from barloom.sources import bars
+from barloom.streaming import jobs
 
 
 def test_flat_series_correlate_with_nothing(spark):
@@ -22,3 +25,88 @@ def test_leverage_is_never_raised(spark):
 def test_hints_of_unknown_labels(spark):
     df = spark.createDataFrame([("bull",), (None,), ("other",)], "label string")
     assert [(r.strategy, r.leverage) for r in regimes.attach_hints(df).collect()] == [("trend", 1.0), ("defensive", 0.0), ("defensive", 0.0)]
+
+
+def test_a_leaky_feature_is_found(spark):
+    """An average centred on its bar sees later bars; one that ends on it does not."""
+    rows = [(s, i, float((i * k) % 11)) for s, k in (("a", 3), ("b", 5)) for i in range(40)]
+    rows_of = spark.createDataFrame(rows, "series_id string, n int, close double").withColumn("ts", F.timestamp_seconds(F.col("n") * 86400))
+
+    def features(df):
+        w = ordered()
+        return df.withColumns({"causal": F.avg("close").over(w.rowsBetween(-2, 0)), "leaky": F.avg("close").over(w.rowsBetween(-2, 2))})
+
+    found = indicators.audit_lookahead(rows_of, features, ("causal", "leaky")).collect()
+    assert {(r.series_id, r["column"]) for r in found} == {("a", "leaky"), ("b", "leaky")}
+
+
+def test_indicators_do_not_depend_on_partitions(spark):
+    rows = [(s, i, float(50 + (i * k) % 23)) for s, k in (("a", 3), ("b", 5)) for i in range(300)]
+    rows_of = spark.createDataFrame(rows, "series_id string, n int, close double").withColumn("ts", F.timestamp_seconds(F.col("n") * 86400))
+    rows_of = rows_of.withColumns({"open": F.col("close"), "high": F.col("close") + 1, "low": F.col("close") - 1, "volume": F.col("close") * 3})
+    once, many = (sorted(map(tuple, indicators.feature_matrix(rows_of.repartition(n)).collect())) for n in (1, 13))
+    assert once == many and len(once) == 600
+
+
+def test_silences_over_spans(spark):
+    """A gap over many empty spans, equal times, a null time and a lone tick."""
+    rows = [("a", t, i) for i, t in enumerate((0, 100, 100, 899, 901, 4000, 4301))] + [("a", None, 99), ("b", 7, 0)]
+    ticks = spark.createDataFrame(rows, "series_id string, s int, i int").withColumn("ts", F.timestamp_seconds("s")).withColumn("seq", F.struct("ts", "i"))
+    got = sorted((r.series_id, r.s, r.gap_seconds) for r in risk.feed_gaps(ticks, 300).collect())
+    assert got == [("a", 899, 799.0), ("a", 4000, 3099.0), ("a", 4301, 301.0)]
+
+
+def test_stability_index_of_odd_values(spark):
+    """Equal sides give 0, one value gives 0, a side that is empty does not fail."""
+    side = lambda rows: spark.createDataFrame(rows, "k string, value double")
+    same = [("same", float(i)) for i in range(50)] + [("one", 1.0)] * 5
+    got = {r.k: r.psi for r in regimes.psi(side(same), side(same + [("new", 1.0)]), ("k",)).collect()}
+    assert got["same"] == 0.0 and got["one"] == 0.0
+    moved = regimes.psi(side(same), side([("same", float(i + 40)) for i in range(50)]), ("k",)).collect()
+    assert {r.k for r in moved} >= {"same"} and max(r.psi for r in moved) > 1
+    assert regimes.psi(side([]), side([]), ("k",)).collect() == []
+
+
+def test_account_state_of_unknown_accounts_and_names(spark):
+    frame = spark.createDataFrame
+    signals = frame([(1, "x", "a"), (2, "y", "b"), (3, None, "a")], "order_id long, account string, series_id string")
+    accounts = frame([("x", 1000.0, 50.0, 1, False)], "account string, equity double, buying_power double, severity int, locked boolean")
+    positions = frame([("x", "a", -40.0), ("x", "b", 0.0), ("x", "c", 60.0)], "account string, series_id string, market_value double")
+    orders = frame([(1, "x", "a", "buy", 100), (9, "x", "a", "buy", 70), (2, "y", "b", "buy", 5)], "order_id long, account string, series_id string, side string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    sectors = frame([("a", "s1"), ("b", None), ("c", "s1")], "series_id string, sector string")
+    returns = frame([(s, i, float((i * k) % 7)) for s, k in (("a", 3), ("b", 2), ("c", 3)) for i in range(40)], "series_id string, s int, ret double").withColumn("ts", F.timestamp_seconds(F.col("s") * 86400))
+    got = {r.order_id: r for r in decisions.with_account_state(signals, accounts, positions, orders, sectors, returns).collect()}
+    assert len(got) == 3
+    assert (got[1].gross, got[1].open_positions, got[1].is_held, got[1].is_duplicate, got[1].trades_before, got[1].sector_gross) == (100.0, 2, True, True, 1, 100.0)
+    assert abs(got[1].max_correlation - 1) < 1e-9
+    assert (got[2].gross, got[2].is_held, got[2].equity, got[2].sector_gross, got[2].max_correlation) == (0.0, False, None, None, None)
+    assert got[3].gross == 0.0 and not got[3].is_held
+
+
+def test_rollback_needs_an_earlier_version(spark):
+    versions = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1)], "series_id string, version int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    promoted = versions.where("version <> 3").unionByName(spark.createDataFrame([("c", 7, 1)], "series_id string, version int, s int").withColumn("ts", F.timestamp_seconds("s")))
+    got = {r.series_id: (r.champion, r.rolled_back_to) for r in regimes.rollback(versions, promoted).collect()}
+    assert got == {"a": (2, 1), "b": (1, None), "c": (7, None)}
+
+
+def test_reports_are_written(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "series_id string, equity double")
+    frames = {"equity_curve": df, "trade_log": df.select("equity"), "regime_history": df}
+    assert bars.write_report(frames, str(tmp_path)) == ["equity_curve", "trade_log", "regime_history"]
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/equity_curve").select("series_id", "equity").collect()} == {("a", 1.0), ("b", 2.0)}
+
+
+def test_latest_rows_are_kept_over_batches(spark, tmp_path):
+    sink = jobs.upsert_latest(str(tmp_path))
+    batch = lambda rows: spark.createDataFrame(rows, "series_id string, s int, v int").withColumn("ts", F.timestamp_seconds("s"))
+    sink(batch([("a", 1, 10), ("a", 2, 11), ("b", 1, 20)]), 0)
+    for _ in range(2):  # a batch that runs again gives the same
+        sink(batch([("a", 1, 12), ("b", 3, 21), ("c", 1, 30)]), 1)
+    got = {r.series_id: r.v for r in spark.read.parquet(f"{tmp_path}/v1").collect()}
+    assert got == {"a": 11, "b": 21, "c": 30}
+
+
+def test_wide_quotes_are_filtered(spark):
+    quotes = spark.createDataFrame([("a", 100.0, 100.2), ("b", 100.0, 102.0), ("c", None, 5.0), ("d", 0.0, 5.0)], "series_id string, bid double, ask double")
+    assert [r.series_id for r in jobs.stream_spread_filter(quotes).collect() if r.series_id in "ab"] == ["a"]
