@@ -1,8 +1,8 @@
 """Causal indicators of bars: trailing windows and ordered folds.
 
 Window indicators are plain column expressions over one partitioning. The
-recurrences (EMA, Wilder averages) are folds over a series in time order; they
-emit null while they warm up. All are causal: a row depends on earlier rows of
+recurrences (EMA, Wilder averages) are folds over a series in time order; the
+Wilder averages of ranges and directions are 0 until their seed. All are causal: a row depends on earlier rows of
 its own series only.
 """
 
@@ -164,22 +164,24 @@ def add_ema(bars: DataFrame, span: int = 50, column: str = "close", out: str = "
     return ordered_fold(bars, lambda g: {out: ema_values(g[column].to_numpy(float), span)}, {out: "double"})
 
 
-def add_atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    return ordered_fold(bars, lambda g: {"atr": _null(atr_values(g, n))}, {"atr": "double"})
+def add_atr(bars: DataFrame, n: int = 14, warmup: float | None = 0.0) -> DataFrame:
+    """Average true range; ``warmup`` (None: null) stands on the bars before its seed."""
+    return ordered_fold(bars, lambda g: {"atr": _null(atr_values(g, n), warmup)}, {"atr": "double"})
 
 
-def add_recurrences(bars: DataFrame, n: int = 14, span: int = 50) -> DataFrame:
-    """ema, atr, rsi and adx in one pass over each series."""
+def add_recurrences(bars: DataFrame, n: int = 14, span: int = 50, warmup: float | None = 0.0) -> DataFrame:
+    """ema, atr, rsi and adx in one pass over each series. ``warmup`` stands for atr
+    and adx before their seeds; rsi is null there."""
 
     def fold(g: pd.DataFrame) -> dict[str, np.ndarray]:
         close = g["close"].to_numpy(float)
-        return {"ema": ema_values(close, span), "atr": _null(atr_values(g, n)), "rsi": _null(rsi_values(close, n)), "adx": _null(adx_values(g, n))}
+        return {"ema": ema_values(close, span), "atr": _null(atr_values(g, n), warmup), "rsi": _null(rsi_values(close, n)), "adx": _null(adx_values(g, n), warmup)}
 
     return ordered_fold(bars, fold, dict.fromkeys(("ema", "atr", "rsi", "adx"), "double"))
 
 
-def _null(x: np.ndarray):
-    return pd.array([None if np.isnan(v) else v for v in x], dtype="Float64")
+def _null(x: np.ndarray, fill: float | None = None):
+    return pd.array([fill if np.isnan(v) else v for v in x], dtype="Float64")
 
 
 # --- the feature matrix -----------------------------------------------------

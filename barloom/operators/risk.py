@@ -399,8 +399,15 @@ def position_weights(marked: DataFrame, equity: Column) -> DataFrame:
     return marked.withColumn("weight", F.coalesce(F.try_divide(F.col("market_value"), equity), F.lit(0.0)))
 
 
-def exposure_snapshot(marked: DataFrame, keys: Sequence[str] = ("account",)) -> DataFrame:
-    return marked.groupBy(*keys).agg(F.sum(F.abs("market_value")).alias("gross"), F.sum("market_value").alias("net"), F.sum("unrealized").alias("unrealized"))
+def exposure_snapshot(marked: DataFrame, keys: Sequence[str] = ("account",), realized: DataFrame | None = None) -> DataFrame:
+    """Gross, net and unrealised result; with ``realized`` (keys, realized) the total
+    result too, of accounts that hold nothing any more as well."""
+    out = marked.groupBy(*keys).agg(F.sum(F.abs("market_value")).alias("gross"), F.sum("market_value").alias("net"), F.sum("unrealized").alias("unrealized"))
+    if realized is None:
+        return out
+    made = realized.groupBy(*keys).agg(F.sum("realized").alias("realized"))
+    both = out.join(made.hint("shuffle_hash"), list(keys), "full_outer").na.fill(0.0, ["gross", "net", "unrealized", "realized"])
+    return both.withColumn("total", F.col("realized") + F.col("unrealized"))
 
 
 def reconcile(own: DataFrame, broker: DataFrame, keys: Sequence[str] = (SERIES,), tolerance: float = 1e-6) -> DataFrame:

@@ -169,12 +169,12 @@ atr(series_id, bar_no, a) AS (
   SELECT b.series_id, b.bar_no, (p.a * 13 + b.tr) / 14 FROM atr p JOIN trs b ON b.series_id = p.series_id AND b.bar_no = p.bar_no + 1)"""
 
 
-@query("b13_atr", with_(_ATR, "SELECT series_id, ts, round(a, 4) AS atr FROM numbered LEFT JOIN atr USING (series_id, bar_no)", True))
+@query("b13_atr", with_(_ATR, "SELECT series_id, ts, round(coalesce(a, 0), 4) AS atr FROM numbered LEFT JOIN atr USING (series_id, bar_no)", True))
 def b13(spark, sf):
     return rounded(ind.add_atr(src.daily_bars(spark, sf)), "atr", places=4)
 
 
-@query("b14_natr", with_(_ATR, "SELECT series_id, ts, round(a / close, 6) AS natr FROM numbered LEFT JOIN atr USING (series_id, bar_no)", True))
+@query("b14_natr", with_(_ATR, "SELECT series_id, ts, round(coalesce(a, 0) / close, 6) AS natr FROM numbered LEFT JOIN atr USING (series_id, bar_no)", True))
 def b14(spark, sf):
     df = ind.add_atr(src.daily_bars(spark, sf))
     return rounded(df.withColumn("natr", F.try_divide("atr", "close")), "natr")
@@ -209,7 +209,7 @@ adx(series_id, bar_no, a) AS (
   SELECT b.series_id, b.bar_no, (p.a * 13 + b.dx) / 14 FROM adx p JOIN dx b ON b.series_id = p.series_id AND b.bar_no = p.bar_no + 1)"""
 
 
-@query("b16_adx", with_(_ADX, "SELECT series_id, ts, round(a, 6) AS adx FROM numbered LEFT JOIN adx USING (series_id, bar_no)", True))
+@query("b16_adx", with_(_ADX, "SELECT series_id, ts, round(coalesce(a, 0), 6) AS adx FROM numbered LEFT JOIN adx USING (series_id, bar_no)", True))
 def b16(spark, sf):
     return rounded(ind.add_recurrences(src.daily_bars(spark, sf)), "adx")
 
@@ -223,7 +223,7 @@ _MATRIX = (
 f1 AS (SELECT series_id, ts, bar_no, close, {", ".join(f"ln(close / lag(close, {p}) OVER ({S})) AS ret_{p}" for p in (1, 5, 20))}, {", ".join(f"100 * (close / lag(close, {p}) OVER ({S}) - 1) AS roc_{p}" for p in (10, 20))},
   {z('volume', 50)} AS volume_z, {sql_gated('avg', 'volume', 10)} AS v10, {sql_gated('avg', 'close', 50)} AS s50, (close - ({sql_gated('avg', 'close', 200)})) / close AS dist_sma FROM numbered),
 f2 AS (SELECT *, {sql_gated('stddev_samp', 'ret_1', 20)} AS realized_vol, ({sql_gated('stddev_samp', 'ret_1', 5)}) / nullif({sql_gated('stddev_samp', 'ret_1', 20)}, 0) AS vol_ratio, {slope('v10', 10)} AS volume_trend, {slope('s50', 50)} AS sma_slope FROM f1),
-fm AS (SELECT f2.*, rsi, adx, atr / close AS natr FROM f2 LEFT JOIN rs USING (series_id, ts) LEFT JOIN ax USING (series_id, ts) LEFT JOIN ar USING (series_id, ts))"""
+fm AS (SELECT f2.*, rsi, coalesce(adx, 0) AS adx, coalesce(atr, 0) / close AS natr FROM f2 LEFT JOIN rs USING (series_id, ts) LEFT JOIN ax USING (series_id, ts) LEFT JOIN ar USING (series_id, ts))"""
 )
 
 

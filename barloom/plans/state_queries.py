@@ -185,3 +185,19 @@ def c20(spark, sf):
 @query("h2_realized_by_day", with_(_FILLS, "SELECT o.series_id, CAST(ts AS DATE) AS day, round(sum(realized), 2) AS realized FROM o JOIN ledger USING (series_id, n) GROUP BY 1, 2", True))
 def h2(spark, sf):
     return risk.realized_by_day(risk.fill_ledger(rq.fills(spark, sf))).withColumn("realized", F.round("realized", 2))
+
+
+@query(
+    "h4_total_result",
+    with_(
+        _FILLS + ", lst AS (SELECT series_id, arg_max(price, n) AS mark FROM o GROUP BY 1), lg AS (SELECT series_id, arg_max(held, n) AS held, arg_max(avg_price, n) AS avg_price, sum(realized) AS realized FROM ledger GROUP BY 1)",
+        "SELECT series_id, round(abs(held * mark), 2) AS gross, round(held * mark, 2) AS net, round((mark - avg_price) * held, 2) AS unrealized, round(realized, 2) AS realized, round(realized + (mark - avg_price) * held, 2) AS total FROM lg JOIN lst USING (series_id)",
+        True,
+    ),
+)
+def h4(spark, sf):
+    ledger = risk.fill_ledger(rq.fills(spark, sf))
+    last = ledger.groupBy("series_id").agg(F.max_by(F.struct("held", "avg_price", "price"), F.struct("ts", "fill_id")).alias("p"), F.sum("realized").alias("realized"))
+    marked = risk.mark_to_market(last.select("series_id", F.col("p.held").alias("qty"), F.col("p.avg_price").alias("avg_price")), last.select("series_id", F.col("p.price").alias("close")))
+    out = risk.exposure_snapshot(marked, ("series_id",), last.select("series_id", "realized"))
+    return out.select("series_id", *[F.round(c, 2).alias(c) for c in ("gross", "net", "unrealized", "realized", "total")])
