@@ -144,12 +144,12 @@ def account_signals(spark, sf):
     "e5_account_cascade",
     with_(
         _ACCOUNTS + _RULES,
-        "SELECT order_id, series_id, round(gross, 2) AS gross, open_positions, is_held, is_duplicate, trades_before, round(sector_gross, 2) AS sector_gross, round(max_correlation, 6) AS max_correlation, reason, shares, round(lev, 6) AS leverage, modifications FROM out",
+        "SELECT order_id, series_id, round(gross / equity, 6) AS gross_share, open_positions, is_held, is_duplicate, trades_before, round(sector_gross / equity, 6) AS sector_share, round(max_correlation, 6) AS max_correlation, reason, shares, round(lev, 6) AS leverage, modifications FROM out",
     ),
 )
 def e5_joined(spark, sf):
-    df = dec.veto_cascade(account_signals(spark, sf)).withColumns({"gross": F.round("gross", 2), "sector_gross": F.round("sector_gross", 2)})
-    return six(df, "leverage", "max_correlation").select("order_id", "series_id", "gross", "open_positions", "is_held", "is_duplicate", "trades_before", "sector_gross", "max_correlation", "reason", "shares", "leverage", "modifications")
+    df = dec.veto_cascade(account_signals(spark, sf)).withColumns({"gross_share": F.col("gross") / F.col("equity"), "sector_share": F.col("sector_gross") / F.col("equity")})
+    return six(df, "leverage", "max_correlation", "gross_share", "sector_share").select("order_id", "series_id", "gross_share", "open_positions", "is_held", "is_duplicate", "trades_before", "sector_share", "max_correlation", "reason", "shares", "leverage", "modifications")
 
 
 @query("a13_order_intents", with_(_VETO, "SELECT order_id, shares, round(price + 2 * (price - stop), 2) AS take_profit, round(stop, 2) AS stop_price, round(price * 1.001e0, 2) AS limit_price FROM out WHERE shares > 0"))
