@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, html_text, language, licenses, near_duplicates, neighbours, packing, quality, token_files, winnowing
+from barloom.llm import byte_bpe, fill_middle, html_text, language, licenses, near_duplicates, neighbours, packing, piece_bpe, quality, spelling, token_files, winnowing
 from barloom.llm.common import id_remainder, shared_path, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +63,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_files, op3_html_text, op4_quality, op5_licenses, op6_packing, op7_language, op8_winnowing, op9_neighbours, op10_near_duplicates)}
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip_digests(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"), least_length=7, least_n=2, slip=31, ratio=10)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+
+
+_ALL = (op1_byte_bpe, op2_token_files, op3_html_text, op4_quality, op5_licenses, op6_packing, op7_language, op8_winnowing, op9_neighbours, op10_near_duplicates, op11_piece_bpe, op12_spelling, op13_fill_middle)
+QUERIES = {f.__name__: f for f in _ALL}
+
 
 def _license_sql() -> str:
     """The license scan by plain comparison of every block with every template."""
@@ -102,5 +115,25 @@ reach AS (SELECT same, doc_id AS root FROM c UNION SELECT l.b, reach.root FROM r
 class AS (SELECT same, min(root) AS root FROM reach GROUP BY same)
 SELECT w.doc_id, coalesce(own.n, 0) AS n_shingles, CASE WHEN w.doc_id IS NOT NULL THEN coalesce(class.root, w.doc_id) END AS component_id, coalesce(w.doc_id = coalesce(class.root, w.doc_id), true) AS kept FROM w LEFT JOIN own ON own.row = w.row LEFT JOIN class ON class.same = own.same"""
 
+#: Words by plain hashing (crc32 from its table of 256, over the bytes of id and run); near words by equality without one place.
+_SPELLING_SQL = """WITH RECURSIVE tab AS MATERIALIZED (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+c AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, run, count(*) AS n FROM d WHERE length(run) >= 7 GROUP BY 1, 2),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) AS h FROM (SELECT run, n, hex(encode(doc || ':' || run)) AS x FROM c), tab),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+x AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+l AS (SELECT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT x.word, w.word, w.n FROM x JOIN w ON w.word = x.rest UNION SELECT w.word, x.word, x.n FROM x JOIN w ON w.word = x.rest),
+g AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS other, max(m) AS m FROM l GROUP BY 1),
+f AS MATERIALIZED (SELECT w.word, CASE WHEN m >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN g ON g.word = w.word),
+r AS (SELECT word, word AS root, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.form)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL"""
+
+_FILL_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi FROM h),
+p AS (SELECT *, coalesce(array_to_string(u[1:lo], ''), '') AS pre, coalesce(array_to_string(u[lo + 1:hi], ''), '') AS mid, coalesce(array_to_string(u[hi + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 #: What SQL can state of them. The tests hold the others against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_licenses": _license_sql(), "op10_near_duplicates": _NEAR_DUPLICATE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_licenses": _license_sql(), "op10_near_duplicates": _NEAR_DUPLICATE_SQL, "op12_spelling": _SPELLING_SQL, "op13_fill_middle": _FILL_SQL}

@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline against brute force on small tables."""
+"""The first ten operators and the pipeline against brute force on small tables."""
 
 import base64
 import hashlib
