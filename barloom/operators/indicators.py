@@ -1,9 +1,9 @@
-"""Causal indicators of bars: trailing windows and ordered folds.
+"""Causal indicators of bars: trailing windows and recurrences.
 
 Window indicators are plain column expressions over one partitioning. The
-recurrences (EMA, Wilder averages) are folds over a series in time order; the
-Wilder averages of ranges and directions are 0 until their seed. All are causal: a row depends on earlier rows of
-its own series only.
+recurrences (EMA, Wilder averages) are scans over spans of each series; the
+Wilder averages of ranges and directions are 0 until their seed. All are
+causal: a row depends on earlier rows of its own series only.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.spans import DAYS
 from barloom.functions.windows import SERIES, TS, gated, ordered, trailing
+from barloom.operators.scans import affine_scan, mean_maps, unseeded, wilder_maps
 
 FEATURES = ("ret_1", "ret_5", "ret_20", "realized_vol", "vol_ratio", "volume_z", "volume_trend", "adx", "sma_slope", "rsi", "dist_sma", "roc_10", "roc_20", "natr")
 
@@ -100,84 +102,63 @@ def ordered_fold(df: DataFrame, fold: Callable[[pd.DataFrame], dict[str, np.ndar
     return (df.drop(*out) if drop else df).groupBy(*keys).applyInPandas(run, schema)
 
 
-def ema_values(x: np.ndarray, span: int) -> np.ndarray:
-    """Seeded with the first value; alpha = 2 / (span + 1)."""
-    alpha, out = 2.0 / (span + 1), np.empty(len(x))
-    level = np.nan
-    for i, v in enumerate(x):
-        level = v if i == 0 else alpha * v + (1 - alpha) * level
-        out[i] = level
-    return out
-
-
-def wilder_values(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
-    """Seed at bar first + n - 1 with the mean of n values, then (prev*(n-1) + x)/n."""
-    out = np.full(len(x), np.nan)
-    seed = first + n - 1
-    if len(x) > seed:
-        level = x[first : seed + 1].mean()
-        out[seed] = level
-        for i in range(seed + 1, len(x)):
-            level = (level * (n - 1) + x[i]) / n
-            out[i] = level
-    return out
-
-
-def true_range_values(bars: pd.DataFrame) -> np.ndarray:
-    high, low, close = (bars[c].to_numpy(float) for c in ("high", "low", "close"))
-    out = high - low
-    out[1:] = np.maximum(out[1:], np.maximum(np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])))
-    return out
-
+HLC = ("high", "low", "close")
 
-def atr_values(bars: pd.DataFrame, n: int = 14) -> np.ndarray:
-    return wilder_values(true_range_values(bars), n)
 
-
-def rsi_values(close: np.ndarray, n: int = 14) -> np.ndarray:
-    """Exponential means with alpha = 1/n of gains and losses; the first change is 0."""
-    change = np.diff(close, prepend=close[:1])
-    out, up, down = np.full(len(close), np.nan), 0.0, 0.0
-    for i, d in enumerate(change):
-        gain, loss = max(d, 0.0), max(-d, 0.0)
-        up, down = (gain, loss) if i == 0 else (up + (gain - up) / n, down + (loss - down) / n)
-        if i >= n - 1:
-            out[i] = 100.0 if down == 0 else 100 - 100 / (1 + up / down)
-    return out
+def moves(bars: pd.DataFrame, before: np.ndarray | None) -> dict[str, np.ndarray]:
+    """True ranges, directional moves and changes of each bar; ``before`` has high,
+    low and close of the bar ahead (None: the first bar has no moves)."""
+    high, low, close = (bars[c].to_numpy(float) for c in HLC)
+    if before is None:
+        before = np.array([high[0], low[0], np.nan])
+    ahead = [np.concatenate([before[i : i + 1], x[:-1]]) for i, x in enumerate((high, low, close))]
+    rise, fall = high - ahead[0], ahead[1] - low
+    return {
+        "range": np.fmax(high - low, np.fmax(np.abs(high - ahead[2]), np.abs(low - ahead[2]))),
+        "plus": np.where((rise > fall) & (rise > 0), rise, 0.0),
+        "minus": np.where((fall > rise) & (fall > 0), fall, 0.0),
+        "change": np.nan_to_num(close - ahead[2]),
+    }
 
 
-def adx_values(bars: pd.DataFrame, n: int = 14) -> np.ndarray:
-    """Wilder's directional index: sums seeded over n changes, then smoothed twice."""
-    high, low = bars["high"].to_numpy(float), bars["low"].to_numpy(float)
-    rise, fall = np.diff(high, prepend=high[:1]), -np.diff(low, prepend=low[:1])
-    plus = np.where((rise > fall) & (rise > 0), rise, 0.0)
-    minus = np.where((fall > rise) & (fall > 0), fall, 0.0)
-    ranges, up, down = (wilder_values(v, n, 1) for v in (true_range_values(bars), plus, minus))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        total = up + down
-        dx = np.where(ranges > 0, np.where(total > 0, 100 * np.abs(up - down) / total, 0.0), 0.0)
-    dx[np.isnan(ranges)] = np.nan
-    return wilder_values(dx, n, n)
+def add_ema(bars: DataFrame, span: int = 50, column: str = "close", out: str = "ema", days: float = DAYS) -> DataFrame:
+    """Exponential mean with alpha = 2 / (span + 1), seeded with the first value."""
+    maps = lambda g, offset, _: {"ema": mean_maps(g[column].to_numpy(float), 2.0 / (span + 1), offset)}
+    return affine_scan(bars, maps, lambda g, v, _: {out: v["ema"]}, {out: "double"}, (), days=days)
 
 
-def add_ema(bars: DataFrame, span: int = 50, column: str = "close", out: str = "ema") -> DataFrame:
-    return ordered_fold(bars, lambda g: {out: ema_values(g[column].to_numpy(float), span)}, {out: "double"})
-
-
-def add_atr(bars: DataFrame, n: int = 14, warmup: float | None = 0.0) -> DataFrame:
+def add_atr(bars: DataFrame, n: int = 14, warmup: float | None = 0.0, days: float = DAYS) -> DataFrame:
     """Average true range; ``warmup`` (None: null) stands on the bars before its seed."""
-    return ordered_fold(bars, lambda g: {"atr": _null(atr_values(g, n), warmup)}, {"atr": "double"})
+    maps = lambda g, offset, before: {"atr": wilder_maps(moves(g, before)["range"], n, offset)}
+    return affine_scan(bars, maps, lambda g, v, offset: {"atr": unseeded(v["atr"], offset, n - 1, warmup)}, {"atr": "double"}, HLC, days=days)
 
 
-def add_recurrences(bars: DataFrame, n: int = 14, span: int = 50, warmup: float | None = 0.0) -> DataFrame:
-    """ema, atr, rsi and adx in one pass over each series. ``warmup`` stands for atr
-    and adx before their seeds; rsi is null there."""
+def add_recurrences(bars: DataFrame, n: int = 14, span: int = 50, warmup: float | None = 0.0, days: float = DAYS) -> DataFrame:
+    """ema, atr, rsi and adx. ``warmup`` stands for atr and adx before their seeds;
+    rsi is null there.
 
-    def fold(g: pd.DataFrame) -> dict[str, np.ndarray]:
-        close = g["close"].to_numpy(float)
-        return {"ema": ema_values(close, span), "atr": _null(atr_values(g, n), warmup), "rsi": _null(rsi_values(close, n)), "adx": _null(adx_values(g, n), warmup)}
+    Two scans over spans of each series: the averages of prices, ranges, moves
+    and changes, and then the average of the directional index that they give.
+    """
 
-    return ordered_fold(bars, fold, dict.fromkeys(("ema", "atr", "rsi", "adx"), "double"))
+    def averages(g: pd.DataFrame, offset: int, before: np.ndarray | None) -> dict:
+        m = moves(g, before)
+        kept = {"ema": mean_maps(g["close"].to_numpy(float), 2.0 / (span + 1), offset), "atr": wilder_maps(m["range"], n, offset)}
+        kept |= {"up": mean_maps(np.maximum(m["change"], 0.0), 1 / n, offset), "down": mean_maps(np.maximum(-m["change"], 0.0), 1 / n, offset)}
+        return kept | {k: wilder_maps(m[k], n, offset, 1) for k in ("range", "plus", "minus")}
+
+    def indices(g: pd.DataFrame, v: dict[str, np.ndarray], offset: int) -> dict:
+        total = v["plus"] + v["minus"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rsi = np.where(v["down"] == 0, 100.0, 100 - 100 / (1 + v["up"] / v["down"]))
+            dx = np.where((v["range"] > 0) & (total > 0), 100 * np.abs(v["plus"] - v["minus"]) / total, 0.0)
+        return {"ema": v["ema"], "atr": unseeded(v["atr"], offset, n - 1, warmup), "rsi": unseeded(rsi, offset, n - 1), "adx": dx}
+
+    once = affine_scan(bars, averages, indices, dict.fromkeys(("ema", "atr", "rsi", "adx"), "double"), HLC, days=days)
+    again = once.withColumnRenamed("adx", "_dx")
+    maps = lambda g, offset, _: {"adx": wilder_maps(g["_dx"].to_numpy(float), n, offset, n)}
+    done = affine_scan(again, maps, lambda g, v, offset: {"adx": unseeded(v["adx"], offset, 2 * n - 1, warmup)}, {"adx": "double"}, (), days=days)
+    return done.drop("_dx")
 
 
 def _null(x: np.ndarray, fill: float | None = None):

@@ -1,7 +1,7 @@
 """Regime states: labelling, stability, forward filtering, drift.
 
 Model parameters are a small table, one row for each model; they are joined to
-the series they score. Filtering is an ordered fold per series; everything
+the series they score. Filtering is a scan over spans of each series; everything
 after it is windows and grouped aggregates.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.spans import DAYS, per_span, renewed, same_keys, schema_of, span_edges, spanned
 from barloom.functions.windows import SERIES, TS, ordered, run_length, trailing
-from barloom.operators.indicators import ordered_fold
 
 #: Labels by number of states, from the lowest mean return to the highest. Fixed values.
 LABELS = {
@@ -168,44 +168,106 @@ def log_emission(x: np.ndarray, means: np.ndarray, covars: np.ndarray) -> np.nda
     return out
 
 
-def forward(emission: np.ndarray, start: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(filtered log-posteriors, log-normaliser of each step)."""
+def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    """log of the sum of exponentials along an axis; all -inf gives -inf."""
+    top = x.max(axis=axis, keepdims=True)
+    safe = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.squeeze(safe, axis) + np.log(np.exp(x - safe).sum(axis=axis))
+
+
+def forward(emission: np.ndarray, start: np.ndarray, transition: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(filtered log-posteriors, log-normaliser of each step), from the log-posterior
+    ``last`` of the bar before (None: from ``start``)."""
     with np.errstate(divide="ignore"):
         step, prior = np.log(transition), np.log(start)
     post, norm = np.empty_like(emission), np.empty(len(emission))
     for t, e in enumerate(emission):
         if t:
-            joint = post[t - 1][:, None] + step
-            top = joint.max(axis=0)
-            safe = np.where(np.isfinite(top), top, 0.0)
-            with np.errstate(divide="ignore"):
-                prior = safe + np.log(np.exp(joint - safe).sum(axis=0))
+            last = post[t - 1]
+        if last is not None:
+            prior = log_sum(last[:, None] + step, 0)
         a = prior + e
-        norm[t] = a.max() + np.log(np.exp(a - a.max()).sum())
+        norm[t] = log_sum(a, 0)
         post[t] = a - norm[t]
     return post, norm
 
 
-def regime_proba(features: DataFrame, models: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
+def log_product(maps: np.ndarray) -> np.ndarray:
+    """Product of matrices given and returned as logarithms, by halving: neighbours
+    are multiplied side by side until one is left."""
+    while len(maps) > 1:
+        even = len(maps) // 2 * 2
+        pairs = log_sum(maps[0:even:2, :, :, None] + maps[1:even:2, None, :, :], 2)
+        maps = np.concatenate([pairs, maps[even:]])
+    return maps[0]
+
+
+def filter_map(emission: np.ndarray, start: np.ndarray, transition: np.ndarray, first: bool, block: int = 4096) -> np.ndarray:
+    """What a span does to the log-posterior before it, as one matrix of logarithms.
+    A series' first bar forgets what was before."""
+    with np.errstate(divide="ignore"):
+        step, begin = np.log(transition), np.log(start)
+    done = None
+    for i in range(0, len(emission), block):
+        maps = step[None] + emission[i : i + block, None, :]
+        if first and i == 0:
+            maps[0] = begin[None] + emission[0][None]
+        part = log_product(maps)
+        done = part if done is None else log_product(np.stack([done, part]))
+        # only ratios matter: keep the scale near one
+        top = done.max()
+        done = done - top if np.isfinite(top) else done
+    return done
+
+
+def regime_proba(features: DataFrame, models: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = (SERIES,), days: float = DAYS) -> DataFrame:
     """Filtered probabilities of each bar, its state (lowest id on ties) and the
-    step's log-likelihood, and the place of its state by volatility. ``models``
-    has one row for each group of ``keys``; it is cogrouped, so that no bar
-    carries a copy of its model. Groups without a model are left out."""
-    params = models.select(*keys, "startprob", "transmat", "means", "covars")
+    step's log-likelihood, and the place of its state by volatility.
+
+    ``models`` has one row for each group of ``keys``; groups without a model are
+    left out. A group is cut into spans: each becomes the matrix that it multiplies
+    posteriors by, the matrices of a group are folded into the posterior that each
+    span starts from, and the spans are filtered side by side. A model stands
+    once beside each span, on no bar.
+    """
     out = {"probabilities": "array<double>", "state_id": "int", "probability": "double", "log_likelihood": "double", "vol_rank": "double"}
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in features.dtypes if n not in out), *(f"`{n}` {t}" for n, t in out.items())])
-
-    def score(group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if group.empty or model.empty:
-            return group.iloc[:0].assign(**dict.fromkeys(out))
-        group = group.sort_values(TS, kind="stable").reset_index(drop=True)
-        start, transition, means, covars = unpack(model.iloc[0])
-        post, norm = forward(log_emission(group[list(columns)].to_numpy(float), means, covars), start, transition)
+    rows = spanned(features.drop(*out), days, keys)
+    edges = span_edges(rows, (), keys).select(*keys, "_span", "_last", (F.col("_offset") == 0).alias("_first"))
+    own = [*keys, "_span"]
+    models = renewed(models.select(*keys, "startprob", "transmat", "means", "covars"))
+    spans = same_keys(edges, models, keys)
+
+    def condense(group: pd.DataFrame, span: pd.Series) -> pd.DataFrame | None:
+        if span["_last"]:
+            return None
+        start, transition, means, covars = unpack(span)
+        made = filter_map(log_emission(group[list(columns)].to_numpy(float), means, covars), start, transition, bool(span["_first"]))
+        return pd.DataFrame({k: [span[k]] for k in own} | {"_map": [made.ravel().tolist()]})
+
+    def carry(maps: pd.DataFrame) -> pd.DataFrame:
+        maps, last, found = maps.sort_values("_span"), None, []
+        for flat in maps["_map"]:
+            n = round(len(flat) ** 0.5)
+            last = np.full(n, -np.log(n)) if last is None else last
+            last = log_sum(last[:, None] + np.asarray(flat, float).reshape(n, n), 0)
+            last = last - log_sum(last, 0)
+            found.append(last.tolist())
+        return maps[own].assign(_carry=found)
+
+    maps = per_span(rows, spans, keys, condense, schema_of(rows, own, _map="array<double>"))
+    ends = maps.groupBy(*keys).applyInPandas(carry, schema_of(rows, own, _carry="array<double>"))
+    starts = same_keys(spans, ends, own, "left").withColumn("_carry", F.lag("_carry").over(Window.partitionBy(*keys).orderBy("_span")))
+
+    def score(group: pd.DataFrame, span: pd.Series) -> pd.DataFrame:
+        start, transition, means, covars = unpack(span)
+        last = None if span["_carry"] is None else np.asarray(span["_carry"], float)
+        post, norm = forward(log_emission(group[list(columns)].to_numpy(float), means, covars), start, transition, last)
         p = np.exp(post)
         state = p.argmax(axis=1)
-        return group.assign(probabilities=list(p), state_id=state.astype("int32"), probability=p.max(axis=1), log_likelihood=norm, vol_rank=volatility_ranks(covars)[state])
+        return group.drop(columns="_span").assign(probabilities=list(p), state_id=state.astype("int32"), probability=p.max(axis=1), log_likelihood=norm, vol_rank=volatility_ranks(covars)[state])
 
-    return features.drop(*out).groupBy(*keys).cogroup(params.groupBy(*keys)).applyInPandas(score, schema)
+    return per_span(rows, starts, keys, score, schema_of(features, [c for c in features.columns if c not in out], **out))
 
 
 def unpack(model: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -246,13 +308,18 @@ def fit_regime_models(features: DataFrame, columns: tuple[str, ...], n: int, see
     return features.groupBy(*keys).applyInPandas(run, schema)
 
 
-def expectation_maximisation(x: np.ndarray, n: int, seed: int, iterations: int, min_covar: float, prior: float, gain: float):
-    """Start, transition, means, covariances, and the log-likelihood by iteration."""
-    draw, d = np.random.default_rng(seed), x.shape[1]
-    means = x[draw.choice(len(x), n, replace=False)]
-    for _ in range(10):  # centres to start from
+def starting_means(x: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Centres that the rows gather around, from ``n`` of them."""
+    means = x[np.random.default_rng(seed).choice(len(x), n, replace=False)]
+    for _ in range(10):
         near = np.square(x[:, None, :] - means[None]).sum(axis=2).argmin(axis=1)
         means = np.array([x[near == k].mean(axis=0) if (near == k).any() else means[k] for k in range(n)])
+    return means
+
+
+def expectation_maximisation(x: np.ndarray, n: int, seed: int, iterations: int, min_covar: float, prior: float, gain: float):
+    """Start, transition, means, covariances, and the log-likelihood by iteration."""
+    d, means = x.shape[1], starting_means(x, n, seed)
     base = np.cov(x.T).reshape(d, d) + min_covar * np.eye(d)
     covars, start, transition = np.repeat(base[None], n, axis=0), np.full(n, 1 / n), np.full((n, n), 1 / n)
     trace: list[float] = []

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.windows import SERIES, TS, ordered, running
 from barloom.operators.indicators import ordered_fold
+from barloom.operators.scans import spaced
 
 # --- allocation -------------------------------------------------------------
 
@@ -429,17 +430,10 @@ def holding_bars(bars: DataFrame, keys: Sequence[str] = (SERIES,)) -> DataFrame:
 # --- monitoring -------------------------------------------------------------
 
 
-def rate_limit(alerts: DataFrame, minutes: float = 15.0, keys: tuple[str, ...] = ("event_key",)) -> DataFrame:
-    """Alerts that pass: none of their key passed within the last minutes."""
-
-    def fold(g: pd.DataFrame) -> dict[str, np.ndarray]:
-        passed, last = np.zeros(len(g), bool), None
-        for i, t in enumerate(g[TS]):
-            if last is None or (t - last).total_seconds() >= minutes * 60:
-                passed[i], last = True, t
-        return {"passed": passed}
-
-    return ordered_fold(alerts, fold, {"passed": "boolean"}, keys, (TS, "alert_id"))
+def rate_limit(alerts: DataFrame, minutes: float = 15.0, keys: tuple[str, ...] = ("event_key",), days: float = 7) -> DataFrame:
+    """Alerts that pass: none of their key passed within the last minutes. A key is
+    cut into spans of ``days``."""
+    return spaced(alerts, minutes * 60, keys, "alert_id", days)
 
 
 def feed_gaps(ticks: DataFrame, seconds: float = 300.0, bucket: int = 900) -> DataFrame:
