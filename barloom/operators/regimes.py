@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.spans import DAYS, per_span, renewed, same_keys, schema_of, span_edges, spanned
 from barloom.functions.windows import SERIES, TS, ordered, run_length, trailing
+from barloom.operators.quantiles import stability_index
 
 #: Labels by number of states, from the lowest mean return to the highest. Fixed values.
 LABELS = {
@@ -425,25 +426,10 @@ def model_asof(bars: DataFrame, promotions: DataFrame) -> DataFrame:
 # --- drift ------------------------------------------------------------------
 
 
-def psi(expected: DataFrame, actual: DataFrame, keys: tuple[str, ...], value: str = "value", bins: int = 10, salts: int = 64) -> DataFrame:
-    """Population stability index of a value per key, on the expected deciles.
-
-    Values are counted before anything else, both sides at once; deciles come from
-    the counts, and counts meet the few edges of their key in ``salts`` parts.
-    """
-    side = lambda df, of: df.select(*keys, F.col(value).alias("_v"), F.lit(of).alias("_e"))
-    counts = side(expected, True).unionByName(side(actual, False)).groupBy(*keys, "_v").agg(F.count_if("_e").alias("_ne"), F.count_if(~F.col("_e")).alias("_na"))
-    probs = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = counts.where("_ne > 0").groupBy(*keys).agg(F.array_distinct(F.percentile("_v", probs, F.col("_ne"))).alias("edges"))
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    edges = edges.select(*keys, F.size("edges").alias("n_edges"), inner.alias("inner"))
-    dealt = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    binned = counts.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(salts))).join(dealt.hint("shuffle_hash"), [*keys, "_salt"])
-    both = binned.groupBy(*keys, "n_edges", F.size(F.filter("inner", lambda e: e <= F.col("_v"))).alias("bin")).agg(F.sum("_ne").alias("_ne"), F.sum("_na").alias("_na"))
-    share = lambda c: F.try_divide(F.col(c), F.sum(c).over(Window.partitionBy(*keys))) + 1e-6
-    both = both.select(*keys, "n_edges", share("_ne").alias("e"), share("_na").alias("a"))
-    total = both.groupBy(*keys).agg(F.max("n_edges").alias("n_edges"), F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi"))
-    return total.select(*keys, F.when(F.col("n_edges") < 2, 0.0).otherwise(F.coalesce("psi", F.lit(0.0))).alias("psi"))
+def psi(expected: DataFrame, actual: DataFrame, keys: tuple[str, ...], value: str = "value", bins: int = 10) -> DataFrame:
+    """Population stability index of a value per key, on the exact expected deciles."""
+    side = lambda df, of: df.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(of).alias("_e"))
+    return stability_index(side(expected, True).unionByName(side(actual, False)), keys, bins)
 
 
 def max_feature_psi(expected: DataFrame, actual: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = (SERIES,)) -> DataFrame:

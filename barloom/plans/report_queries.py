@@ -14,6 +14,7 @@ from barloom.operators import indicators as ind
 from barloom.operators import performance as perf
 from barloom.operators import regimes as reg
 from barloom.operators import risk
+from barloom.operators.quantiles import stability_index
 from barloom.plans.indicator_queries import rounded
 from barloom.plans.sql import BARS, DAMPED, NUMBERED, S, TREND, frame, with_
 from barloom.plans.sql import running as sql_running
@@ -180,10 +181,9 @@ p AS (SELECT k, a / sum(a) OVER (PARTITION BY k) + 1e-6 AS e, c / sum(c) OVER (P
 SELECT k AS series_id, round(sum((a - e) * ln(a / e)), 6) AS psi FROM p GROUP BY 1""",
 )
 def c17(spark, sf):
-    rows = src.read_table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("series_id"), "l_shipdate", F.col("l_extendedprice").alias("value"))
-    cut = F.lit("1995-06-17").cast("timestamp")
-    out = reg.psi(rows.where(F.col("l_shipdate") < cut), rows.where(F.col("l_shipdate") >= cut), ("series_id",))
-    return out.select("series_id", F.round("psi", 6).alias("psi"))
+    rows = src.read_table(spark, sf, "lineitem")
+    flagged = rows.select(F.col("l_returnflag").alias("series_id"), F.col("l_extendedprice").alias("_v"), (F.col("l_shipdate") < F.lit("1995-06-17").cast("timestamp")).alias("_e"))
+    return stability_index(flagged, ("series_id",)).select("series_id", F.round("psi", 6).alias("psi"))
 
 
 @query("c1_fit_regime_models")
