@@ -285,8 +285,9 @@ def volatility_ranks(covars: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def mean_log_likelihood(scored: DataFrame) -> DataFrame:
-    return scored.groupBy(SERIES).agg(F.avg("log_likelihood").alias("mean_ll"))
+def mean_log_likelihood(scored: DataFrame, keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
+    """Forward log-likelihood by bar; groups without bars have no row."""
+    return scored.groupBy(*keys).agg(F.avg("log_likelihood").alias("mean_ll"))
 
 
 def fit_regime_models(features: DataFrame, columns: tuple[str, ...], n: int, seed: int = 42, iterations: int = 100, least_rows: int = 504, min_covar: float = 1e-3, prior: float = 1e-2, keys: tuple[str, ...] = (SERIES,), gain: float = 1e-2) -> DataFrame:

@@ -14,6 +14,7 @@ from barloom.operators import decisions as dec
 from barloom.operators import performance as perf
 from barloom.operators import regimes as reg
 from barloom.operators import risk
+from barloom.plans import model_queries as mq
 from barloom.plans.report_queries import _INFO, _LATCH, _POSTURE, _STATES, CAPITAL, SHARPE, curve, damped, replay_sql, state_table, states, trend_path
 from barloom.plans.sql import BARS, DAMPED, S, TREND, frame, with_
 from barloom.plans.sql import running as sql_running
@@ -185,20 +186,8 @@ def a11(spark, sf):
 
 # --- model versions and drift -----------------------------------------------
 
-_MODELS = DAMPED + f""",
-o AS (SELECT *, row_number() OVER ({S}) - 1 AS i FROM damped), v AS (SELECT series_id, i // 250 AS version, min(ts) AS ts, avg(ret) AS mean_ll, count(*) AS n_rows FROM o GROUP BY 1, 2)"""
-
-
-def versions(spark, sf):
-    numbered = damped(spark, sf).withColumn("version", F.floor((F.row_number().over(ordered()) - 1) / 250))
-    return numbered.groupBy("series_id", "version").agg(F.min("ts").alias("ts"), F.avg("ret").alias("mean_ll"), F.count("*").alias("n_rows"))
-
-
-@query("c14_promote_challenger", with_(_MODELS, "SELECT a.series_id, CASE WHEN b.mean_ll >= a.mean_ll - 1e-9 THEN 'at least as likely' ELSE 'less likely' END AS reason, b.mean_ll >= a.mean_ll - 1e-9 AS promoted FROM v a JOIN v b ON a.series_id = b.series_id AND a.version = 0 AND b.version = 1"))
-def c14(spark, sf):
-    v = versions(spark, sf)
-    new = v.where("version = 1").withColumn("converged", F.lit(True))
-    return reg.promote_challenger(v.where("version = 0"), new, least_rows=2).select("series_id", "reason", "promoted")
+_MODELS = mq.BLOCKS
+versions = mq.versions
 
 
 @query("c15_model_asof", with_(_MODELS, "SELECT d.series_id, d.ts, v.version FROM damped d ASOF LEFT JOIN v ON d.series_id = v.series_id AND d.ts >= v.ts"))

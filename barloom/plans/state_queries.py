@@ -9,6 +9,7 @@ from barloom.operators import performance as perf
 from barloom.operators import regimes as reg
 from barloom.operators import risk
 from barloom.plans import decision_queries as dq
+from barloom.plans import model_queries as mq
 from barloom.plans import report_queries as rq
 from barloom.plans.report_queries import _FILLS, _INFO, _LATCH, _POSTURE, _STATES, CAPITAL, SHARPE, SPANS, curve, damped, state_table, states
 from barloom.plans.sql import DAMPED, S, TREND, frame, with_
@@ -150,21 +151,20 @@ def g15_full(spark, sf):
 @query(
     "j1_alert_kinds",
     with_(
-        dq._CHANGES.rstrip(", ") + ", " + _LATCH[len(DAMPED) + 2 :] + dq._MODELS[len(DAMPED) :] + """,
-gp AS (SELECT event_type AS series_id, ts, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS gap FROM events),
-ch AS (SELECT b.series_id, b.ts, b.mean_ll >= a.mean_ll - 1e-9 AS promoted FROM v a JOIN v b ON a.series_id = b.series_id AND a.version = 0 AND b.version = 1)""",
+        dq._CHANGES.rstrip(", ") + ", " + _LATCH[len(DAMPED) + 2 :] + mq.SCORED[len(DAMPED) :] + """,
+gp AS (SELECT event_type AS series_id, ts, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS gap FROM events)""",
         """SELECT series_id, ts, 'regime_change' AS kind, 'info' AS level FROM cb WHERE consecutive_bars >= 3 AND n >= 2 AND (bef0 IS NULL OR bef0 <> state_id)
 UNION ALL SELECT series_id, ts, 'posture_change', CASE WHEN sev = 2 THEN 'critical' ELSE 'warning' END FROM d5 WHERE sev <> bef UNION ALL SELECT series_id, ts, 'flicker', 'warning' FROM fl WHERE hot
 UNION ALL SELECT series_id, ts, 'large_return', 'warning' FROM damped WHERE abs(ret) > 0.03 UNION ALL SELECT series_id, ts, 'feed_down', 'critical' FROM gp WHERE gap > 1800
-UNION ALL SELECT series_id, ts, CASE WHEN promoted THEN 'retrained' ELSE 'retrain_rejected' END, CASE WHEN promoted THEN 'info' ELSE 'warning' END FROM ch""",
+UNION ALL SELECT series_id, ts, CASE WHEN reason = 'at least as likely' THEN 'retrained' ELSE 'retrain_rejected' END, CASE WHEN reason = 'at least as likely' THEN 'info' ELSE 'warning' END FROM ch""",
+        True,
     ),
 )
 def j1_all(spark, sf):
     runs = states(spark, sf)
     changes = reg.confirmed_changes(reg.with_runs(runs), "state_id").where("changed")
     events = risk.breaker_events(risk.latched_breaker(curve(spark, sf)))
-    v = dq.versions(spark, sf)
-    decided = reg.promote_challenger(v.where("version = 0"), v.where("version = 1").withColumn("converged", F.lit(True)), least_rows=2)
+    decided = mq.challenge(spark, sf)
     gaps = risk.feed_gaps(src.event_ticks(spark, sf), 1800)
     return dec.alerts(changes, events, reg.with_flicker(runs).where("is_flickering"), damped(spark, sf), gaps, decided)
 
