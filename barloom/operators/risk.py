@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.spans import renewed
 from barloom.functions.windows import SERIES, TS, ordered, running
 from barloom.operators.indicators import ordered_fold
 from barloom.operators.scans import spaced
@@ -228,15 +229,49 @@ def correlation(x: Column | str, y: Column | str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
-def max_correlation(returns: DataFrame, candidates: DataFrame, held: DataFrame, rows: int = 60, least: int = 30) -> DataFrame:
+def max_correlation(returns: DataFrame, candidates: DataFrame, held: DataFrame, rows: int = 60, least: int = 30, block: int = 256) -> DataFrame:
     """Largest signed correlation of each candidate with other held series, over
     the last ``rows`` values of each, where enough dates are shared. Series that
-    do not vary correlate with nothing (null)."""
-    recent = returns.withColumn("_r", F.row_number().over(Window.partitionBy(SERIES).orderBy(F.desc(TS)))).where(F.col("_r") <= rows)
-    c = candidates.select(SERIES).join(recent.hint("shuffle_hash"), SERIES).select(F.col(SERIES).alias("candidate"), TS, F.col("ret").alias("x"))
-    h = held.select(SERIES).join(recent.hint("shuffle_hash"), SERIES).select(F.col(SERIES).alias("other"), TS, F.col("ret").alias("y"))
-    pairs = c.join(h.hint("shuffle_hash"), TS).where("candidate <> other").groupBy("candidate", "other").agg(correlation("x", "y").alias("r"), F.count("*").alias("n"))
-    return pairs.where(F.col("n") >= least).groupBy("candidate").agg(F.max("r").alias("max_correlation"))
+    do not vary correlate with nothing (null). Null values are not shared dates.
+
+    Series are dealt to blocks of about ``block``; the sums of all pairs of two
+    blocks are products of their matrices of values and of dates present.
+    """
+    recent = returns.withColumn("_r", F.row_number().over(Window.partitionBy(SERIES).orderBy(F.desc(TS)))).where((F.col("_r") <= rows) & F.col("ret").isNotNull())
+    lines = recent.groupBy(SERIES).agg(F.collect_list(F.struct(F.unix_micros(F.col(TS).cast("timestamp")).alias("t"), F.col("ret").cast("double").alias("v"))).alias("line"))
+    kind = dict(returns.dtypes)[SERIES]
+    counts = [max(1, -(-names.count() // block)) for names in (candidates, held)]
+
+    def dealt(names: DataFrame, side: int) -> DataFrame:
+        known = names.select(SERIES).distinct().join(lines.hint("shuffle_hash"), SERIES)
+        own, other = ("_a", "_b") if side == 0 else ("_b", "_a")
+        return known.select(SERIES, "line", F.pmod(F.xxhash64(SERIES), F.lit(counts[side])).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(counts[1 - side] - 1))).alias(other)).select(SERIES, "line", "_a", "_b")
+
+    def grid(lines_: pd.DataFrame, dates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, there = np.zeros((len(lines_), len(dates))), np.zeros((len(lines_), len(dates)))
+        for i, line in enumerate(lines_["line"]):
+            at = np.searchsorted(dates, [p["t"] for p in line])
+            v = np.array([p["v"] for p in line])
+            x[i, at], there[i, at] = v - v.mean(), 1.0  # shifts change no correlation
+        return x, there
+
+    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"candidate": [], "r": []})
+        dates = np.unique([p["t"] for line in (*a["line"], *b["line"]) for p in line])
+        (x, mx), (y, my) = grid(a, dates), grid(b, dates)
+        n = mx @ my.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = x @ y.T / n - (x @ my.T) * (mx @ y.T) / n**2
+            vx, vy = x**2 @ my.T / n - (x @ my.T / n) ** 2, mx @ (y**2).T / n - (mx @ y.T / n) ** 2
+            floor = 1e-18 * np.maximum(np.abs(x).max(), 1e-300) ** 2, 1e-18 * np.maximum(np.abs(y).max(), 1e-300) ** 2
+            r = np.where((vx > floor[0]) & (vy > floor[1]), cov / np.sqrt(vx * vy), -np.inf)
+        asked = (n >= least) & (a[SERIES].to_numpy()[:, None] != b[SERIES].to_numpy()[None])
+        best, some = np.where(asked, r, -np.inf).max(axis=1), asked.any(axis=1)
+        return pd.DataFrame({"candidate": a[SERIES][some].tolist(), "r": pd.array([None if v == -np.inf else v for v in best[some]], "Float64")})
+
+    pairs = dealt(candidates, 0).groupBy("_a", "_b").cogroup(renewed(dealt(held, 1)).groupBy("_a", "_b")).applyInPandas(multiply, f"candidate {kind}, r double")
+    return pairs.groupBy("candidate").agg(F.max("r").alias("max_correlation"))
 
 
 def held_correlation(signals: DataFrame, held: DataFrame, returns: DataFrame, rows: int = 60, least: int = 30) -> DataFrame:
@@ -452,6 +487,30 @@ def feed_gaps(ticks: DataFrame, seconds: float = 300.0, bucket: int = 900) -> Da
     return df.withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds).drop("_span", "_prev", "_before")
 
 
+def open_gaps(gaps: DataFrame, sessions: DataFrame, seconds: float = 300.0, days: float = 1.0) -> DataFrame:
+    """The open part of silences: a row for each gap and session of its series whose
+    overlap is longer than ``seconds``, with start_ts, ts and open_seconds.
+
+    ``gaps`` has series_id, ts (its end) and gap_seconds, ``sessions`` series_id,
+    opens and closes. Both are cut at borders of ``days`` and meet by series and
+    piece, so that no gap is compared with sessions far from it; pieces of one gap
+    and session are added up again. Sessions that overlap each count; those that
+    do not close after they open, and rows with nulls, have no open time.
+    """
+    size = 86400 * days
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    piece = lambda a, b: F.explode(F.sequence(F.floor(a / (size * 1e6)).cast("long"), F.floor((b - 1) / (size * 1e6)).cast("long"))).alias("_piece")
+    silent = gaps.select(SERIES, (micros(TS) - F.round(F.col("gap_seconds") * 1e6).cast("long")).alias("_from"), micros(TS).alias("_to")).where("_from < _to").distinct()
+    held = sessions.select(SERIES, micros("opens").alias("_opens"), micros("closes").alias("_closes")).where("_opens < _closes").distinct()
+    a = silent.select("*", piece(F.col("_from"), F.col("_to")))
+    b = held.select("*", piece(F.col("_opens"), F.col("_closes")))
+    low = lambda *c: F.greatest(*[F.col(x) for x in c], (F.col("_piece") * (size * 1e6)).cast("long"))
+    high = lambda *c: F.least(*[F.col(x) for x in c], ((F.col("_piece") + 1) * (size * 1e6)).cast("long"))
+    met = a.join(b.hint("shuffle_hash"), [SERIES, "_piece"]).withColumn("_open", high("_to", "_closes") - low("_from", "_opens")).where("_open > 0")
+    whole = met.groupBy(SERIES, "_from", "_to", "_opens", "_closes").agg(F.sum("_open").alias("_open")).where(F.col("_open") > seconds * 1e6)
+    return whole.select(SERIES, F.timestamp_micros(F.greatest("_from", "_opens")).alias("start_ts"), F.timestamp_micros(F.least("_to", "_closes")).alias("ts"), (F.col("_open") / 1e6).alias("open_seconds"))
+
+
 def usage_band(used: Column, limit: Column) -> tuple[Column, Column]:
     """(ratio, band): below half ok, below the limit warn, else breach."""
     ratio = F.when(limit > 0, used / F.when(limit > 0, limit)).otherwise(0.0)

@@ -137,25 +137,3 @@ def stream_staleness(ticks: DataFrame, seconds: float = 300.0, timer_ms: int | N
         yield pd.DataFrame({"series_id": key[0], "ts": ts, "silence": silence, "kind": "gap"})[silence > seconds]
 
     return ticks.select("series_id", "ts").groupBy("series_id").applyInPandasWithState(step, "series_id string, ts timestamp, silence double, kind string", "last_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def upsert_latest(folder: str, key: str = "series_id"):
-    """A foreachBatch sink that keeps one row per key: the latest by ts.
-
-    Every batch writes a new version under the shared folder, so a batch that
-    runs again gives the same version.
-    """
-
-    def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            try:
-                rows = spark.read.parquet(f"{folder}/v{number - 1}").unionByName(batch)
-            except Exception as missing:
-                if "PATH_NOT_FOUND" not in str(missing):
-                    raise
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "ts").alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{folder}/v{number}")
-
-    return sink

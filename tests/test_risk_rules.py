@@ -1,5 +1,9 @@
 """Rules on rows that the given tables lack."""
 
+import datetime as dt
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import ordered
@@ -110,3 +114,38 @@ def test_latest_rows_are_kept_over_batches(spark, tmp_path):
 def test_wide_quotes_are_filtered(spark):
     quotes = spark.createDataFrame([("a", 100.0, 100.2), ("b", 100.0, 102.0), ("c", None, 5.0), ("d", 0.0, 5.0)], "series_id string, bid double, ask double")
     assert [r.series_id for r in jobs.stream_spread_filter(quotes).collect() if r.series_id in "ab"] == ["a"]
+
+
+def test_open_part_of_silences(spark):
+    """A gap over a closed night has none; what lies in open hours counts, over midnight too."""
+    at = lambda day, hour, minute=0: dt.datetime(2024, 1, day, hour, minute)
+    gap = lambda k, a, b: (k, b, (b - a).total_seconds())
+    gaps = [gap("a", at(1, 16), at(2, 9, 30)), gap("a", at(2, 12), at(3, 10)), gap("a", at(4, 9), at(4, 9, 35)), gap("b", at(1, 22), at(2, 2)), gap("b", at(1, 22), at(2, 2)), gap("c", at(1, 1), at(9, 1)), ("a", None, 5.0)]
+    sessions = [("a", at(d, 9, 30), at(d, 16)) for d in (1, 2, 3, 4)] + [("b", at(1, 23), at(2, 1)), ("b", at(2, 5), at(2, 4)), ("b", None, at(2, 4))]
+    frames = spark.createDataFrame(gaps, "series_id string, ts timestamp, gap_seconds double"), spark.createDataFrame(sessions, "series_id string, opens timestamp, closes timestamp")
+    want = {("a", at(2, 12), at(2, 16), 14400.0), ("a", at(3, 9, 30), at(3, 10), 1800.0), ("b", at(1, 23), at(2, 1), 7200.0)}
+    for days in (0.04, 1, 30):
+        got = risk.open_gaps(*frames, 300, days).collect()
+        assert {tuple(r) for r in got} == want and len(got) == 3
+
+
+def test_correlations_in_blocks(spark):
+    """Any block size gives what pairs of dates give; nulls and flat series among them."""
+    draw = np.random.default_rng(6)
+    rows = [(f"s{k}", dt.datetime(2024, 1, 1) + dt.timedelta(days=int(d)), None if draw.random() < 0.05 else 0.5 if k == 3 else float(draw.normal() + (k % 2) * d)) for k in range(9) for d in draw.choice(90, 80, replace=False)]
+    frame = spark.createDataFrame(rows, "series_id string, ts timestamp, ret double")
+    names = frame.select("series_id").distinct()
+    last = {k: {t: v for _, t, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])[-60:] if v is not None} for k in {r[0] for r in rows}}
+    want = {}
+    for a in last:
+        for b in last:
+            shared = sorted(last[a].keys() & last[b].keys())
+            if a != b and len(shared) >= 30:
+                x, y = ([last[k][t] for t in shared] for k in (a, b))
+                r = np.corrcoef(x, y)[0, 1] if np.std(x) > 0 and np.std(y) > 0 else -2.0
+                want[a] = max(want.get(a, -2.0), r)
+    for block in (2, 256):
+        got = {r.candidate: r.max_correlation for r in risk.max_correlation(frame, names, names.where("series_id <> 's5'").union(names.where("series_id = 's5'")), block=block).collect()}
+        assert got.keys() == want.keys() and got["s3"] is None
+        assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items() if v > -2)
+    assert risk.max_correlation(frame.limit(0), names, names).count() == 0

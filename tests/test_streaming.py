@@ -11,6 +11,7 @@ from barloom.operators import risk
 from barloom.plans.report_queries import curve
 from barloom.sources import bars as src
 from barloom.streaming import jobs, regime_jobs
+from barloom.streaming.latest import LatestSink
 
 
 def run(stream, tmp_path, name):
@@ -144,12 +145,45 @@ def test_regimes_from_history(spark, sf_dir, tmp_path):
     same({(r.series_id, r.ts): (r.state_id, r.consecutive_bars, r.is_confirmed, r.flicker, r.probability) for r in rows}, {k: v for k, v in want.items() if k[1] >= cut})
 
 
-def test_spread_filter_and_latest_rows(spark, tmp_path):
+def test_spread_filter(spark):
     rows = spark.createDataFrame([("a", 1, 100.0, 100.1), ("a", 3, 100.0, 103.0), ("b", 2, 50.0, 50.1), ("a", 2, 99.0, 99.1)], "series_id string, t int, bid double, ask double").withColumn("ts", F.timestamp_seconds("t"))
     kept = jobs.stream_spread_filter(rows)
     assert {(r.series_id, r.t) for r in kept.collect()} == {("a", 1), ("b", 2), ("a", 2)}
-    sink = jobs.upsert_latest(f"{tmp_path}/latest")
-    sink(rows.where("t = 1"), 0)
-    sink(rows.where("t > 1"), 1)
-    sink(rows.where("t > 1"), 1)  # a batch that runs again
-    assert {(r.series_id, r.t) for r in spark.read.parquet(f"{tmp_path}/latest/v1").collect()} == {("a", 3), ("b", 2)}
+
+
+def test_latest_rows_survive_restarts(spark, tmp_path):
+    """Repeated, missing and late batches, a new checkpoint, unfinished writes and merges."""
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 3, 2.0), ("b", 2, 3.0), (None, 4, 4.0), ("a", 3, 5.0), ("c", None, 6.0)], "series_id string, t int, v double").withColumn("ts", F.timestamp_seconds("t"))
+    sink = LatestSink(f"{tmp_path}/latest", run="first", merge_every=3)
+    assert sink.read(spark) is None
+    got = lambda: {(r.series_id, r.t) for r in sink.read(spark).collect()}
+    parts = lambda: sorted(p.name for p in (tmp_path / "latest").iterdir())
+    sink(rows.where("series_id = 'b'"), 0)
+    sink(rows.where("v = 2"), 1)
+    before = sink.read(spark).collect()
+    sink(rows.where("v = 2"), 1)  # a batch that runs again
+    assert sink.read(spark).collect() == before and got() == {("b", 2), ("a", 3)}
+    sink(rows.where("v = 1 or series_id is null"), 4)  # ids need not follow each other; an older row does not win
+    assert got() == {("b", 2), ("a", 3), (None, 4)}
+    sink(rows.where("series_id = 'c'"), 5)
+    assert parts() == ["base-0"] and got() == {("b", 2), ("a", 3), (None, 4), ("c", None)}
+    sink(rows.where("v = 2"), 1)  # again, after it was merged
+    LatestSink(f"{tmp_path}/latest", run="second", merge_every=3)(rows.where("v = 5"), 0)  # a new checkpoint counts anew
+    (tmp_path / "latest" / "base-7").mkdir()  # a merge that did not finish
+    chosen = {r.v for r in sink.read(spark).where("series_id = 'a'").collect()}
+    assert len(chosen) == 1 and chosen <= {2.0, 5.0}
+    sink.merge(spark)
+    assert parts() == ["base-1", "base-7"] and {r.v for r in sink.read(spark).where("series_id = 'a'").collect()} == chosen
+    sink.merge(spark)  # nothing to do
+    assert parts() == ["base-1", "base-7"]
+
+
+def test_latest_rows_of_a_stream(spark, sf_dir, tmp_path):
+    batch, stream = events(spark, sf_dir, tmp_path)
+    shape = lambda df: df.select(F.col("event_type").alias("series_id"), "ts", "event_id")
+    sink = LatestSink(f"{tmp_path}/latest", merge_every=2)
+    query = shape(stream).writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/cp").start()
+    query.processAllAvailable()
+    query.stop()
+    want = {(r.series_id, r.ts) for r in shape(batch).groupBy("series_id").agg(F.max("ts").alias("ts")).collect()}
+    assert {(r.series_id, r.ts) for r in sink.read(spark).collect()} == want
