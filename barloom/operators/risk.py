@@ -239,26 +239,26 @@ def max_correlation(returns: DataFrame, candidates: DataFrame, held: DataFrame,
     """
     recent = returns.withColumn("_r", F.row_number().over(Window.partitionBy(SERIES).orderBy(F.desc(TS)))).where((F.col("_r") <= rows) & F.col("ret").isNotNull())
     lines = recent.groupBy(SERIES).agg(F.collect_list(F.struct(F.unix_micros(F.col(TS).cast("timestamp")).alias("t"), F.col("ret").cast("double").alias("v"))).alias("line"))
+    lines = lines.select(SERIES, F.transform("line", lambda p: p["t"]).alias("times"), F.transform("line", lambda p: p["v"]).alias("values"))
     kind = dict(returns.dtypes)[SERIES]
     counts = [max(1, -(-names.count() // block)) for names in (candidates, held)]
 
     def dealt(names: DataFrame, side: int) -> DataFrame:
         known = names.select(SERIES).distinct().join(lines.hint("shuffle_hash"), SERIES)
         own, other = ("_a", "_b") if side == 0 else ("_b", "_a")
-        return known.select(SERIES, "line", F.pmod(F.xxhash64(SERIES), F.lit(counts[side])).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(counts[1 - side] - 1))).alias(other)).select(SERIES, "line", "_a", "_b")
+        return known.select(SERIES, "times", "values", F.pmod(F.xxhash64(SERIES), F.lit(counts[side])).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(counts[1 - side] - 1))).alias(other)).select(SERIES, "times", "values", "_a", "_b")
 
     def grid(lines_: pd.DataFrame, dates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, there = np.zeros((len(lines_), len(dates))), np.zeros((len(lines_), len(dates)))
-        for i, line in enumerate(lines_["line"]):
-            at = np.searchsorted(dates, [p["t"] for p in line])
-            v = np.array([p["v"] for p in line])
+        for i, (times, v) in enumerate(zip(lines_["times"], lines_["values"], strict=True)):
+            at = np.searchsorted(dates, times)
             x[i, at], there[i, at] = v - v.mean(), 1.0  # shifts change no correlation
         return x, there
 
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"candidate": [], "r": []})
-        dates = np.unique([p["t"] for line in (*a["line"], *b["line"]) for p in line])
+            return pd.DataFrame()
+        dates = np.unique(np.concatenate([*a["times"], *b["times"]]))
         (x, mx), (y, my) = grid(a, dates), grid(b, dates)
         n = mx @ my.T
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -268,6 +268,8 @@ def max_correlation(returns: DataFrame, candidates: DataFrame, held: DataFrame,
             r = np.where((vx > floor[0]) & (vy > floor[1]), cov / np.sqrt(vx * vy), -np.inf)
         asked = (n >= least) & (a[SERIES].to_numpy()[:, None] != b[SERIES].to_numpy()[None])
         best, some = np.where(asked, r, -np.inf).max(axis=1), asked.any(axis=1)
+        if not some.any():
+            return pd.DataFrame()
         return pd.DataFrame({"candidate": a[SERIES][some].tolist(), "r": pd.array([None if v == -np.inf else v for v in best[some]], "Float64")})
 
     pairs = dealt(candidates, 0).groupBy("_a", "_b").cogroup(renewed(dealt(held, 1)).groupBy("_a", "_b")).applyInPandas(multiply, f"candidate {kind}, r double")
