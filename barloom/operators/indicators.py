@@ -133,6 +133,22 @@ def add_atr(bars: DataFrame, n: int = 14, warmup: float | None = 0.0, days: floa
     return affine_scan(bars, maps, lambda g, v, offset: {"atr": unseeded(v["atr"], offset, n - 1, warmup)}, {"atr": "double"}, HLC, days=days)
 
 
+def average_maps(g: pd.DataFrame, offset: int, before: np.ndarray | None, n: int = 14, span: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Averages of prices, ranges, moves and changes, as affine maps by name."""
+    m = moves(g, before)
+    kept = {"ema": mean_maps(g["close"].to_numpy(float), 2.0 / (span + 1), offset), "atr": wilder_maps(m["range"], n, offset)}
+    kept |= {"up": mean_maps(np.maximum(m["change"], 0.0), 1 / n, offset), "down": mean_maps(np.maximum(-m["change"], 0.0), 1 / n, offset)}
+    return kept | {k: wilder_maps(m[k], n, offset, 1) for k in ("range", "plus", "minus")}
+
+
+def strength_and_direction(v: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rsi, directional index) of the averages, warm-up included."""
+    total = v["plus"] + v["minus"]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rsi = np.where(v["down"] == 0, 100.0, 100 - 100 / (1 + v["up"] / v["down"]))
+        return rsi, np.where((v["range"] > 0) & (total > 0), 100 * np.abs(v["plus"] - v["minus"]) / total, 0.0)
+
+
 def add_recurrences(bars: DataFrame, n: int = 14, span: int = 50, warmup: float | None = 0.0, days: float = DAYS) -> DataFrame:
     """ema, atr, rsi and adx. ``warmup`` stands for atr and adx before their seeds;
     rsi is null there.
@@ -141,23 +157,15 @@ def add_recurrences(bars: DataFrame, n: int = 14, span: int = 50, warmup: float
     and changes, and then the average of the directional index that they give.
     """
 
-    def averages(g: pd.DataFrame, offset: int, before: np.ndarray | None) -> dict:
-        m = moves(g, before)
-        kept = {"ema": mean_maps(g["close"].to_numpy(float), 2.0 / (span + 1), offset), "atr": wilder_maps(m["range"], n, offset)}
-        kept |= {"up": mean_maps(np.maximum(m["change"], 0.0), 1 / n, offset), "down": mean_maps(np.maximum(-m["change"], 0.0), 1 / n, offset)}
-        return kept | {k: wilder_maps(m[k], n, offset, 1) for k in ("range", "plus", "minus")}
-
     def indices(g: pd.DataFrame, v: dict[str, np.ndarray], offset: int) -> dict:
-        total = v["plus"] + v["minus"]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rsi = np.where(v["down"] == 0, 100.0, 100 - 100 / (1 + v["up"] / v["down"]))
-            dx = np.where((v["range"] > 0) & (total > 0), 100 * np.abs(v["plus"] - v["minus"]) / total, 0.0)
+        rsi, dx = strength_and_direction(v)
         return {"ema": v["ema"], "atr": unseeded(v["atr"], offset, n - 1, warmup), "rsi": unseeded(rsi, offset, n - 1), "adx": dx}
 
-    once = affine_scan(bars, averages, indices, dict.fromkeys(("ema", "atr", "rsi", "adx"), "double"), HLC, days=days)
+    maps = lambda g, offset, before: average_maps(g, offset, before, n, span)
+    once = affine_scan(bars, maps, indices, dict.fromkeys(("ema", "atr", "rsi", "adx"), "double"), HLC, days=days)
     again = once.withColumnRenamed("adx", "_dx")
-    maps = lambda g, offset, _: {"adx": wilder_maps(g["_dx"].to_numpy(float), n, offset, n)}
-    done = affine_scan(again, maps, lambda g, v, offset: {"adx": unseeded(v["adx"], offset, 2 * n - 1, warmup)}, {"adx": "double"}, (), days=days)
+    smooth = lambda g, offset, _: {"adx": wilder_maps(g["_dx"].to_numpy(float), n, offset, n)}
+    done = affine_scan(again, smooth, lambda g, v, offset: {"adx": unseeded(v["adx"], offset, 2 * n - 1, warmup)}, {"adx": "double"}, (), days=days)
     return done.drop("_dx")
 
 
