@@ -15,10 +15,13 @@
    alone as well, so lists are kept by the gram with its left side and by the
    gram with its right side. Lists are merged by a join and their pairs
    verified by the edit distance.
-5. Lists of more than ``MAX_LIST`` words are not paired. Their words are looked
-   up exactly: a pair of equal length is equal without one place, a longer word
-   without one character is the shorter one. Every such pair is a link, and a
-   word has no more links than single edits.
+5. Lists of more than ``MAX_LIST`` words are not paired but split: the edit lies in
+   one half of the side that the list leaves free, so the words are listed by
+   what they list already and either half, for their own length and for that of
+   a word one shorter. What is still too long is looked up exactly: a pair of
+   equal length is equal without one place, a longer word without one character
+   is the shorter one. Every such pair is a link, and a word has no more links
+   than single edits.
 
 No pair is lost by rank, hashing or list length: ranks only need to be the same
 for all words (they come from counts in ``CELLS`` cells), hashed keys can only
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import discard, row_slices, written
 
 SHORTEST, LONGEST = 2, 5
-MAX_GRAMS, MAX_LIST, CELLS = 50_000, 64, 1 << 18
+MAX_GRAMS, MAX_LIST, CELLS = 50_000, 256, 1 << 18
 #: Entries that a task's counter holds before it passes them on.
 MAX_HELD = 300_000
 
@@ -152,39 +155,78 @@ def gram_cells(words: DataFrame, dictionary: dict[str, int]) -> np.ndarray:
     return out
 
 
-def list_keys(word: str, dictionary, cells: np.ndarray) -> list[str]:
+def list_cuts(word: str, dictionary, cells: np.ndarray) -> list[int]:
     """Lists that a word stands in: for each of its rarest grams, as many as one
-    edit can affect and one more, the gram with its left and with its right side."""
+    edit can affect and one more, the gram with its left side (a cut c > 0: the
+    first c characters) and with its right side (c <= 0: all from place -c on)."""
     sizes, read = grams_of(word, dictionary)
     order = sorted((int(cells[cell(word[p : p + q])]), word[p : p + q], p) for p, q in enumerate(sizes))
-    keys = set()
-    for _, _, p in order[: affected(len(word), read) + 1]:
-        keys.add(">" + word[p:])
-        if p + read[p] <= len(word):
-            keys.add("<" + word[: p + read[p]])
-    return sorted(keys)
+    chosen = [p for _, _, p in order[: affected(len(word), read) + 1]]
+    return sorted({-p for p in chosen} | {p + read[p] for p in chosen if p + read[p] <= len(word)})
 
 
 def index_words(words: DataFrame, dictionary: dict[str, int], cells: np.ndarray) -> DataFrame:
-    """word, n and the hashed keys of its lists."""
+    """word, n and the cuts of its lists."""
 
     def run(batches):
         for batch in batches:
-            found = [list_keys(word, dictionary, cells) for word in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(found, pa.list_(pa.string()))], names=["word", "n", "keys"])
+            found = [list_cuts(word, dictionary, cells) for word in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(found, pa.list_(pa.int32()))], names=["word", "n", "cuts"])
 
-    indexed = words.select("word", "n").mapInArrow(run, "word string, n long, keys array<string>")
-    return indexed.select("word", "n", F.transform("keys", lambda k: F.xxhash64(k)).alias("keys"))
+    return words.select("word", "n").mapInArrow(run, "word string, n long, cuts array<int>")
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], extra: Column) -> DataFrame:
-    a, b = left.alias("a").hint("merge"), right.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
-    return a.join(b, [*same, extra]).select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
+def _head(size: Column) -> Column:
+    return F.substring("word", F.lit(1), size)
+
+
+def _tail(size: Column) -> Column:
+    """The last ``size`` characters (0: none)."""
+    return F.substring("word", F.char_length("word") - size + 1, size)
+
+
+def half_keys() -> Column:
+    """Keys that split a word's list: what it lists (``cut``) and either half of the
+    rest, for words of its own length and of one character less."""
+    length, cut = F.char_length("word"), F.col("cut")
+    found = []
+    for shorter in (0, 1):
+        base = length - shorter
+        free = F.when(cut > 0, base - cut).otherwise(-cut - shorter)
+        near = F.floor(free / 2).cast("int")
+        far, fixed = free - near, F.when(cut > 0, cut).otherwise(length + cut)
+        first = F.when(cut > 0, F.struct(_head(fixed + near).alias("a"), F.lit("").alias("b"))).otherwise(F.struct(_tail(fixed + near).alias("a"), F.lit("").alias("b")))
+        second = F.when(cut > 0, F.struct(_head(fixed).alias("a"), _tail(far).alias("b"))).otherwise(F.struct(_tail(fixed).alias("a"), _head(far).alias("b")))
+        for kind, part in ((0, first), (1, second)):
+            found.append(F.when(free >= 0, F.xxhash64(F.lit(kind), cut > 0, base, part)))
+    return F.array_compact(F.array(*found))
+
+
+def _pairs(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
+    """Joined on ``key``, a hash: ``extra`` tells what a pair must be besides. Its
+    table holds one number for a key, so a task needs little room."""
+    a, b = left.alias("a"), right.alias("b").hint("shuffle_hash")
+    return a.join(b, [F.col("a.key") == F.col("b.key"), extra]).select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of the lists (key) of two words or more, with their size."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return rows.join(sizes.hint("shuffle_hash"), "key")
+
+
+def _merged(listed: DataFrame) -> DataFrame:
+    """Pairs of the lists that are not too long, verified. A list is one row of at
+    most ``MAX_LIST`` words."""
+    lists = listed.where(F.col("size") <= MAX_LIST).groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("list"))
+    pairs = lists.select(F.explode("list").alias("a"), "list").select("a", F.explode("list").alias("b"))
+    near = pairs.where((F.col("a.word") < F.col("b.word")) & (F.levenshtein("a.word", "b.word", 1) == 1))
+    return near.select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
 
 
 def near_words(words: DataFrame, least_length: int = 7) -> DataFrame:
-    """(a, a_n, b, b_n) for every two words exactly one edit apart, once each.
+    """(a, a_n, b, b_n) for every two words exactly one edit apart, once for each list
+    that both stand in.
 
     ``words`` has distinct words of at least ``least_length`` characters, and n.
     """
@@ -192,23 +234,23 @@ def near_words(words: DataFrame, least_length: int = 7) -> DataFrame:
         raise ValueError(f"an edit could affect all grams of words of fewer than {LONGEST + SHORTEST} characters")
     dictionary = gram_dictionary(words)
     indexed = written(index_words(words, dictionary, gram_cells(words, dictionary)), "spelling-lists")
-    rows = indexed.select("word", "n", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    listed = rows.join(sizes.hint("merge"), "key")
-    light = listed.where(F.col("size") <= MAX_LIST).select("key", "word", "n")
-    merged = _pairs(light, light, ["key"], (F.col("a.word") < F.col("b.word")) & (F.levenshtein("a.word", "b.word", 1) == 1))
+    rows = indexed.select("word", "n", F.explode("cuts").alias("cut"))
+    listed = _sized(rows.withColumn("key", F.xxhash64(F.col("cut") > 0, F.when(F.col("cut") > 0, _head(F.col("cut"))).otherwise(_tail(F.char_length("word") + F.col("cut"))))))
+    long = written(listed.where(F.col("size") > MAX_LIST).select("word", "n", "cut"), "spelling-long")
+    halved = _sized(long.select("word", "n", F.explode(half_keys()).alias("key")))
+    merged = _merged(listed).union(_merged(halved))
 
     # words of long lists: without one place, or without one character
-    heavy = listed.where(F.col("size") > MAX_LIST).select("word", "n").distinct()
+    heavy = halved.where(F.col("size") > MAX_LIST).select("word", "n").distinct()
     length = F.char_length("word")
     places = F.explode(F.sequence(F.lit(1), length)).alias("at")
     cut = heavy.select("word", "n", places).select("word", "n", "at", F.concat(F.substring("word", F.lit(1), F.col("at") - 1), F.substring("word", F.col("at") + 1, length)).alias("rest"))
-    replaced = _pairs(cut, cut, ["at", "rest"], F.col("a.word") < F.col("b.word"))
+    same = cut.withColumn("key", F.xxhash64("at", "rest"))
+    replaced = _pairs(same, same, (F.col("a.word") < F.col("b.word")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.rest") == F.col("b.rest")))
     # of equal characters in a row only the first goes: the rest is the same
     first = cut.where((F.col("at") == 1) | (F.substring("word", F.col("at"), F.lit(1)) != F.substring("word", F.col("at") - 1, F.lit(1))))
-    longer = _pairs(first, heavy.withColumn("rest", F.col("word")), ["rest"], F.lit(True))
-    ordered = lambda df: df.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("a_n", "b_n"), ("b", "a"), ("b_n", "a_n"))])
-    return merged.union(replaced).union(ordered(longer)).distinct()
+    longer = _pairs(first.withColumn("key", F.xxhash64("rest")), heavy.withColumn("key", F.xxhash64("word")), F.col("a.rest") == F.col("b.word"))
+    return merged.union(replaced).union(longer)
 
 
 def spelling_forms(documents: DataFrame, least_length: int = 7, least_n: int = 2, slip: int = 31, ratio: int = 10) -> DataFrame:
@@ -218,15 +260,15 @@ def spelling_forms(documents: DataFrame, least_length: int = 7, least_n: int = 2
     is at least ``ratio`` times its own; the root is where the forms lead.
     """
     words = written(count_words(documents, least_length, slip).where(F.col("n") >= least_n), "spelling-words")
-    links = written(near_words(words, least_length), "spelling-links")  # read for both ends
-    both = links.select(F.col("a").alias("word"), F.struct((-F.col("b_n")).alias("less"), F.col("b").alias("other")).alias("near"))
-    both = both.union(links.select("b", F.struct((-F.col("a_n")).alias("less"), F.col("a").alias("other"))))
-    best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min("near").alias("near"))
-    joined = words.join(best.hint("merge"), "word", "left")
+    ends = F.array(*[F.struct(F.col(x).alias("word"), F.col(y).alias("other"), (-F.col(m)).alias("less")) for x, y, m in (("a", "b", "b_n"), ("b", "a", "a_n"))])
+    # dealt by word once: a word has no more near words than single edits
+    near = near_words(words, least_length).select(F.explode(ends).alias("e")).select("e.*").repartition("word").dropDuplicates(["word", "other"])
+    best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct("less", "other")).alias("near"))
+    joined = words.join(best.hint("shuffle_hash"), "word", "left")
     led = -F.col("near.less") >= ratio * F.col("n")
     formed = written(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(led, F.col("near.other")).alias("form"), F.when(led, -F.col("near.less")).alias("form_n")), "spelling-forms")
     roots = _roots(formed)
-    return formed.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(roots.hint("shuffle_hash"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(formed: DataFrame) -> DataFrame:

@@ -209,3 +209,31 @@ def benchmark_table(strategy: DataFrame, benchmarks: dict[str, DataFrame], rando
         own = own.unionByName(perf.benchmark_metrics(curve).withColumn("strategy", F.lit(name)))
     drawn = random.select(SERIES, F.lit("random").alias("strategy"), F.col("mean_return").alias("total_return"), F.col("mean_sharpe").alias("sharpe"))
     return own.unionByName(drawn, allowMissingColumns=True)
+
+
+# --- the decision log -------------------------------------------------------
+
+#: What a decision was made on.
+CONTEXT = {"regime": "int", "probability": "double", "equity": "double", "day_result": "double", "exposure": "double"}
+
+
+def decision_lines(decisions: DataFrame) -> DataFrame:
+    """(series_id, ts, event, line): each decision and its context as one line of JSON.
+    Columns beside them go into the line as well."""
+    inside = [c for c in decisions.columns if c not in (SERIES, TS, "event")]
+    return decisions.select(SERIES, TS, "event", F.to_json(F.struct(*inside)).alias("line"))
+
+
+def append_decisions(decisions: DataFrame, folder: str) -> None:
+    """Append to the log, a folder for each day; nothing there is changed."""
+    decision_lines(decisions).withColumn("day", F.to_date(TS)).write.mode("append").partitionBy("day").parquet(folder)
+
+
+def recent_decisions(log: DataFrame, n: int = 20, since: str | None = None) -> DataFrame:
+    """The last ``n`` of each series with their context; ``since`` (a day) reads only
+    the days from it on. Of equal times the smaller line comes first."""
+    if since is not None:
+        log = log.where(F.col("day") >= F.lit(since).cast("date"))
+    order = Window.partitionBy(SERIES).orderBy(F.desc(TS), "line")
+    last = log.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+    return last.select(SERIES, TS, "event", F.from_json("line", ", ".join(f"{c} {t}" for c, t in CONTEXT.items())).alias("c")).select(SERIES, TS, "event", "c.*")

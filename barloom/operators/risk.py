@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.spans import renewed
+from barloom.functions.spans import DAYS, renewed, same_keys, spanned
 from barloom.functions.windows import SERIES, TS, ordered, running
 from barloom.operators.indicators import ordered_fold
 from barloom.operators.scans import spaced
@@ -432,6 +432,24 @@ def mark_to_market(positions: DataFrame, prices: DataFrame) -> DataFrame:
     return df.withColumn("market_value", F.col("qty") * F.col("mark")).withColumn("unrealized", (F.col("mark") - F.col("avg_price")) * F.col("qty"))
 
 
+def mark_asof(positions: DataFrame, prices: DataFrame, days: float = DAYS) -> DataFrame:
+    """Positions (series_id, ts, qty, avg_price) with the last close of their series at
+    or before their time, their value and open result; null without an earlier close.
+
+    Both sides are cut into spans of time; what stood at a span's begin comes from
+    a table of one row for each span.
+    """
+    marks = prices.select(SERIES, TS, F.col("close").alias("mark"), F.lit(0).alias("_side")).where(F.col("mark").isNotNull())
+    rows = spanned(positions.withColumn("_side", F.lit(1)).unionByName(marks, allowMissingColumns=True), days)
+    ends = rows.where("_side = 0").groupBy(SERIES, "_span").agg(F.max_by("mark", TS).alias("_end"))
+    spans = same_keys(rows.select(SERIES, "_span").distinct(), ends, (SERIES, "_span"), "left")
+    spans = spans.withColumn("_begin", F.last("_end", ignorenulls=True).over(Window.partitionBy(SERIES).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    here = F.last("mark", ignorenulls=True).over(Window.partitionBy(SERIES, "_span").orderBy(TS, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    known = same_keys(rows.withColumn("mark", here).where("_side = 1"), spans, (SERIES, "_span")).withColumn("mark", F.coalesce("mark", "_begin"))
+    valued = known.select(*positions.columns, "mark")
+    return valued.withColumn("market_value", F.col("qty") * F.col("mark")).withColumn("unrealized", (F.col("mark") - F.col("avg_price")) * F.col("qty"))
+
+
 def position_weights(marked: DataFrame, equity: Column) -> DataFrame:
     """Market value over the account's equity; 0 where equity is 0."""
     return marked.withColumn("weight", F.coalesce(F.try_divide(F.col("market_value"), equity), F.lit(0.0)))

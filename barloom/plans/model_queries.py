@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import gated, ordered
+from barloom.operators import decisions as dec
 from barloom.operators import indicators as ind
 from barloom.operators import pooled
 from barloom.operators import regimes as reg
 from barloom.operators import risk
 from barloom.plans.indicator_queries import _ATR, _EMA
-from barloom.plans.report_queries import damped
+from barloom.plans.report_queries import _FILLS, curve, damped, fills
 from barloom.plans.sql import BARS, DAMPED, NUMBERED, RETURNS, with_
 from barloom.sources import bars as src
 
@@ -128,6 +129,45 @@ def c12(spark, sf):
     return reg.transition_table(models)
 
 
+# --- decisions and marks ----------------------------------------------------
+
+
+@query(
+    "a11_decision_context",
+    with_(
+        _FIRST + f""",
+dc AS (SELECT c.series_id, c.ts, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS regime, greatest(p0, p1) AS probability, equity, equity - lag(equity) OVER (PARTITION BY c.series_id ORDER BY c.ts) AS day_result, equity * CASE WHEN p1 > p0 THEN 0.6e0 ELSE 0.95e0 END AS exposure, row_number() OVER (PARTITION BY c.series_id ORDER BY c.ts DESC) AS r
+  FROM curve c JOIN o ON o.series_id = c.series_id AND o.ts = c.ts JOIN fw ON fw.series_id = o.series_id AND fw.k = o.k)""",
+        "SELECT series_id, ts, 'regime' AS event, regime, round(probability, 6) AS probability, round(equity, 2) AS equity, round(day_result, 2) AS day_result, round(exposure, 2) AS exposure FROM dc WHERE r <= 20",
+        True,
+    ),
+)
+def a11(spark, sf):
+    """The last twenty lines of a log of every bar's regime and what it was decided on."""
+    scored = posteriors(spark, sf).select("series_id", "ts", F.col("state_id").alias("regime"), "probability")
+    path = curve(spark, sf).select("series_id", "ts", "equity", (F.col("equity") - F.lag("equity").over(ordered())).alias("day_result"))
+    made = scored.join(path.hint("shuffle_hash"), ["series_id", "ts"]).withColumn("exposure", F.col("equity") * F.when(F.col("regime") == 1, 0.6).otherwise(0.95)).withColumn("event", F.lit("regime"))
+    recent = dec.recent_decisions(dec.decision_lines(made))
+    return recent.withColumns({c: F.round(c, 6 if c == "probability" else 2) for c in ("probability", "equity", "day_result", "exposure")})
+
+
+@query(
+    "h3_marks_asof",
+    with_(
+        _FILLS + ", pr AS (SELECT series_id, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS pt, arg_max(price, n) AS mark FROM o GROUP BY 1, 2), x AS (SELECT o.series_id, o.fill_id, o.ts, held, avg_price FROM o JOIN ledger USING (series_id, n))",
+        "SELECT x.series_id, fill_id, floor(mark * 10000) / 10000 AS mark, floor(held * mark * 100) / 100 AS market_value FROM x ASOF LEFT JOIN pr ON pr.series_id = x.series_id AND x.ts >= pr.pt",
+        True,
+    ),
+)
+def h3(spark, sf):
+    """Each supplier's position after each fill, at the last close of a day before."""
+    lines = fills(spark, sf)
+    positions = risk.fill_ledger(lines).select("series_id", "fill_id", "ts", F.col("held").alias("qty"), "avg_price")
+    closes = lines.groupBy("series_id", F.date_trunc("day", "ts").alias("d")).agg(F.max_by("price", F.struct("ts", "fill_id")).alias("close")).select("series_id", (F.col("d") + F.expr("INTERVAL 1 DAY")).alias("ts"), "close")
+    down = lambda c, k: (F.floor(F.col(c) * k) / k).alias(c)
+    return risk.mark_asof(positions, closes).select("series_id", "fill_id", down("mark", 10000), down("market_value", 100))
+
+
 # --- one regime for the market ----------------------------------------------
 
 

@@ -149,3 +149,27 @@ def test_correlations_in_blocks(spark):
         assert got.keys() == want.keys() and got["s3"] is None
         assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items() if v > -2)
     assert risk.max_correlation(frame.limit(0), names, names).count() == 0
+
+
+def test_marks_as_of(spark):
+    """The last close at or before a position, over empty spans; none before the first."""
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    prices = spark.createDataFrame([("a", at(0), 10.0), ("a", at(5), 12.0), ("a", at(6), None), ("a", at(40), 9.0), (None, at(0), 3.0)], "series_id string, ts timestamp, close double")
+    positions = spark.createDataFrame([("a", at(n), 2.0, 8.0) for n in (-1, 0, 4, 5, 6, 39, 40, 99)] + [("b", at(0), 1.0, 1.0), (None, at(1), 1.0, 1.0)], "series_id string, ts timestamp, qty double, avg_price double")
+    for days in (1, 7, 4096):
+        got = {(r.series_id, r.ts): (r.mark, r.market_value, r.unrealized) for r in risk.mark_asof(positions, prices, days).collect()}
+        assert {(at(n), got["a", at(n)][0]) for n in (-1, 0, 4, 5, 6, 39, 40, 99)} == {(at(-1), None), (at(0), 10.0), (at(4), 10.0), (at(5), 12.0), (at(6), 12.0), (at(39), 12.0), (at(40), 9.0), (at(99), 9.0)}
+        assert got["a", at(40)] == (9.0, 18.0, 2.0) and got["b", at(0)][0] is None and got[None, at(1)][0] == 3.0 and len(got) == 10
+
+
+def test_decision_log_is_appended(spark, tmp_path):
+    rows = [("a", dt.datetime(2024, 1, 1, 10, m), "regime", m % 3, 0.5, 100.0, None, 1.0, "x") for m in range(30)] + [("b", dt.datetime(2024, 1, 2), "veto", None, None, 5.0, 1.0, 0.0, None)]
+    frame = spark.createDataFrame(rows, "series_id string, ts timestamp, event string, regime int, probability double, equity double, day_result double, exposure double, note string")
+    folder = f"{tmp_path}/log"
+    decisions.append_decisions(frame.where("minute(ts) < 10"), folder)
+    decisions.append_decisions(frame.where("minute(ts) >= 10"), folder)
+    log = spark.read.parquet(folder)
+    got = decisions.recent_decisions(log).collect()
+    assert log.count() == 31 and sorted(r.ts.minute for r in got if r.series_id == "a") == list(range(10, 30))
+    assert [tuple(r)[2:] for r in got if r.series_id == "b"] == [("veto", None, None, 5.0, 1.0, 0.0)]
+    assert {r.series_id for r in decisions.recent_decisions(log, since="2024-01-02").collect()} == {"b"}
