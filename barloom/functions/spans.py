@@ -61,6 +61,12 @@ def per_span(rows: DataFrame, spans: DataFrame, keys: Sequence[str], step: Calla
     return rows.groupBy(*keys, "_span").cogroup(renewed(spans).groupBy(*keys, "_span")).applyInPandas(run, schema)
 
 
+def followed(rows: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the spans after which another comes: only their effect is carried on."""
+    own = [*keys, "_span"]
+    return same_keys(rows, edges.where("not _last").select(*own), own, "left_semi")
+
+
 def schema_of(df: DataFrame, columns: Sequence[str], **more: str) -> str:
     """The named columns of ``df`` and some others as a schema."""
     kinds = dict(df.dtypes)

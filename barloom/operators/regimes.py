@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.spans import DAYS, per_span, renewed, same_keys, schema_of, span_edges, spanned
+from barloom.functions.spans import DAYS, followed, per_span, renewed, same_keys, schema_of, span_edges, spanned
 from barloom.functions.windows import SERIES, TS, ordered, run_length, trailing
 from barloom.operators.quantiles import stability_index
 
@@ -239,9 +239,7 @@ def regime_proba(features: DataFrame, models: DataFrame, columns: tuple[str, ...
     models = renewed(models.select(*keys, "startprob", "transmat", "means", "covars"))
     spans = same_keys(edges, models, keys)
 
-    def condense(group: pd.DataFrame, span: pd.Series) -> pd.DataFrame | None:
-        if span["_last"]:
-            return None
+    def condense(group: pd.DataFrame, span: pd.Series) -> pd.DataFrame:
         start, transition, means, covars = unpack(span)
         made = filter_map(log_emission(group[list(columns)].to_numpy(float), means, covars), start, transition, bool(span["_first"]))
         return pd.DataFrame({k: [span[k]] for k in own} | {"_map": [made.ravel().tolist()]})
@@ -256,7 +254,7 @@ def regime_proba(features: DataFrame, models: DataFrame, columns: tuple[str, ...
             found.append(last.tolist())
         return maps[own].assign(_carry=found)
 
-    maps = per_span(rows, spans, keys, condense, schema_of(rows, own, _map="array<double>"))
+    maps = per_span(followed(rows, edges, keys), spans, keys, condense, schema_of(rows, own, _map="array<double>"))
     ends = maps.groupBy(*keys).applyInPandas(carry, schema_of(rows, own, _carry="array<double>"))
     starts = same_keys(spans, ends, own, "left").withColumn("_carry", F.lag("_carry").over(Window.partitionBy(*keys).orderBy("_span")))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.lineage import stored
-from barloom.functions.spans import DAYS, per_span, renewed, same_keys, schema_of, span_edges, spanned
+from barloom.functions.spans import DAYS, followed, per_span, renewed, same_keys, schema_of, span_edges, spanned
 from barloom.functions.windows import SERIES, TS
 
 #: From a span's rows, the series' rows before it and the last of these (None: none): (a, b) of each step by name.
@@ -44,9 +44,7 @@ def affine_scan(df: DataFrame, maps: Maps, finish: Callable[[pd.DataFrame, dict[
         before = edge["_before"]
         return maps(group, int(edge["_offset"]), None if before is None else np.asarray(before, float))
 
-    def compose(group: pd.DataFrame, edge: pd.Series) -> pd.DataFrame | None:
-        if edge["_last"]:
-            return None  # nothing follows that would need it
+    def compose(group: pd.DataFrame, edge: pd.Series) -> pd.DataFrame:
         pairs = [x for a, b in made(group, edge).values() for x in (a.prod(), steps(a, b, 0.0)[-1])]
         return pd.DataFrame({k: [edge[k]] for k in own} | {"_pairs": [pairs]})
 
@@ -58,7 +56,7 @@ def affine_scan(df: DataFrame, maps: Maps, finish: Callable[[pd.DataFrame, dict[
             found.append(value.tolist())
         return spans[own].assign(_carry=found)
 
-    pairs = per_span(rows, edges, keys, compose, schema_of(rows, own, _pairs="array<double>"))
+    pairs = per_span(followed(rows, edges, keys), edges, keys, compose, schema_of(rows, own, _pairs="array<double>"))
     ends = pairs.groupBy(*keys).applyInPandas(carry, schema_of(rows, own, _carry="array<double>"))
     # the value at a span's end is where the next span starts
     order = Window.partitionBy(*keys).orderBy("_span")

@@ -476,7 +476,7 @@ _HOURS = "(VALUES (INTERVAL 9 HOUR + INTERVAL 30 MINUTE, INTERVAL 16 HOUR), (INT
     f"""WITH g AS (SELECT event_type AS series_id, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS a, ts AS b FROM events),
 q AS (SELECT DISTINCT series_id, a, b FROM g WHERE epoch(b) - epoch(a) > 300),
 s AS (SELECT series_id, d + o AS opens, d + c AS closes FROM (SELECT DISTINCT event_type AS series_id, date_trunc('day', ts)::TIMESTAMP AS d FROM events) CROSS JOIN {_HOURS} WHERE isodow(d) < 6)
-SELECT q.series_id, greatest(a, opens) AS start_ts, least(b, closes) AS ts, round(epoch(least(b, closes)) - epoch(greatest(a, opens)), 3) AS open_seconds FROM q JOIN s ON s.series_id = q.series_id AND a < closes AND b > opens WHERE epoch(least(b, closes)) - epoch(greatest(a, opens)) > 300""",
+SELECT q.series_id, greatest(a, opens) AS start_ts, least(b, closes) AS ts, (epoch_us(least(b, closes)) - epoch_us(greatest(a, opens))) / 1e6 AS open_seconds FROM q JOIN s ON s.series_id = q.series_id AND a < closes AND b > opens WHERE epoch_us(least(b, closes)) - epoch_us(greatest(a, opens)) > 300000000""",
 )
 def j3_open(spark, sf):
     """Silences in open hours: 9:30 to 16:00 and 22:00 to 1:00 of each weekday that has ticks."""
@@ -484,7 +484,7 @@ def j3_open(spark, sf):
     days = ticks.select("series_id", F.date_trunc("day", "ts").alias("d")).distinct().where(F.weekday("d") < 5)
     hour = lambda minutes: F.col("d") + F.make_dt_interval(mins=F.lit(minutes))
     sessions = days.select("series_id", hour(570).alias("opens"), hour(960).alias("closes")).unionByName(days.select("series_id", hour(1320).alias("opens"), hour(1500).alias("closes")))
-    return risk.open_gaps(risk.feed_gaps(ticks), sessions).withColumn("open_seconds", F.round("open_seconds", 3))
+    return risk.open_gaps(risk.feed_gaps(ticks), sessions)
 
 
 _PASSED = """o AS MATERIALIZED (SELECT event_type AS event_key, ts, event_id AS alert_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
