@@ -10,6 +10,7 @@ from barloom.functions.windows import ordered
 from barloom.operators import decisions, indicators, regimes, risk
 from barloom.sources import bars
 from barloom.streaming import jobs
+from barloom.streaming.latest import LatestSink
 
 
 def test_flat_series_correlate_with_nothing(spark):
@@ -102,12 +103,12 @@ def test_reports_are_written(spark, tmp_path):
 
 
 def test_latest_rows_are_kept_over_batches(spark, tmp_path):
-    sink = jobs.upsert_latest(str(tmp_path))
+    sink = LatestSink(f"{tmp_path}/latest")
     batch = lambda rows: spark.createDataFrame(rows, "series_id string, s int, v int").withColumn("ts", F.timestamp_seconds("s"))
     sink(batch([("a", 1, 10), ("a", 2, 11), ("b", 1, 20)]), 0)
     for _ in range(2):  # a batch that runs again gives the same
         sink(batch([("a", 1, 12), ("b", 3, 21), ("c", 1, 30)]), 1)
-    got = {r.series_id: r.v for r in spark.read.parquet(f"{tmp_path}/v1").collect()}
+    got = {r.series_id: r.v for r in sink.read(spark).collect()}
     assert got == {"a": 11, "b": 21, "c": 30}
 
 
