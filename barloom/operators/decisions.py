@@ -201,14 +201,19 @@ def alerts(changes: DataFrame, breakers: DataFrame, flickers: DataFrame, returns
     return out
 
 
+def benchmark_rows(benchmarks: dict[str, DataFrame], random: DataFrame) -> DataFrame:
+    """A row for each benchmark curve and for the mean of random paths, which have
+    neither growth rate nor drawdown."""
+    out = random.select(SERIES, F.lit("random").alias("strategy"), F.col("mean_return").alias("total_return"), F.col("mean_sharpe").alias("sharpe"))
+    for name, curve in benchmarks.items():
+        out = out.unionByName(perf.benchmark_metrics(curve).withColumn("strategy", F.lit(name)), allowMissingColumns=True)
+    return out
+
+
 def benchmark_table(strategy: DataFrame, benchmarks: dict[str, DataFrame], random: DataFrame, capital: float) -> DataFrame:
-    """A row for the strategy (against its capital), for each benchmark curve and
-    for the mean of random paths, which have neither growth rate nor drawdown."""
+    """A row for the strategy (against its capital), and those of its benchmarks."""
     own = perf.growth(strategy, capital, sharpe=perf.sharpe(F.col("net"))).drop("calmar").withColumn("strategy", F.lit("strategy"))
-    for name, curve in benchmarks.items():
-        own = own.unionByName(perf.benchmark_metrics(curve).withColumn("strategy", F.lit(name)))
-    drawn = random.select(SERIES, F.lit("random").alias("strategy"), F.col("mean_return").alias("total_return"), F.col("mean_sharpe").alias("sharpe"))
-    return own.unionByName(drawn, allowMissingColumns=True)
+    return own.unionByName(benchmark_rows(benchmarks, random), allowMissingColumns=True)
 
 
 # --- the decision log -------------------------------------------------------

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.windows import ordered
 from barloom.operators import decisions as dec
 from barloom.operators import performance as perf
 from barloom.operators import regimes as reg
-from barloom.operators import risk
+from barloom.operators import reports, risk
 from barloom.plans import decision_queries as dq
 from barloom.plans import model_queries as mq
 from barloom.plans import report_queries as rq
-from barloom.plans.report_queries import _FILLS, _INFO, _LATCH, _POSTURE, _STATES, CAPITAL, SHARPE, SPANS, curve, damped, state_table, states
+from barloom.plans.report_queries import _CONF, _FILLS, _INFO, _LATCH, _POSTURE, _STATES, CAPITAL, SHARPE, SORTINO, SPANS, curve, damped, state_table, states
 from barloom.plans.sql import DAMPED, S, TREND, frame, with_
 from barloom.plans.sql import running as sql_running
 from barloom.sources import bars as src
@@ -145,6 +146,45 @@ def g15_full(spark, sf):
     return six(out, "total_return", "cagr", "sharpe", "max_drawdown").select("strategy", "series_id", "total_return", "cagr", "sharpe", "max_drawdown")
 
 
+def reported(spark, sf):
+    """The strategy's path with what the full report asks of each bar."""
+    path = strategy_path(spark, sf)
+    moved = F.col("weight") != F.coalesce(F.lag("weight").over(ordered()), F.lit(0.0))
+    return path.select("series_id", "ts", F.col("net").alias("ret"), "equity", moved.alias("is_rebalance"), F.col("state_id").alias("regime"), (1 / (1 + F.exp(-F.abs("r5") * 20))).alias("confidence"))
+
+
+def _long(section: str, item: str, table: str, measures: tuple[str, ...]) -> str:
+    """Every measure of a table's rows as a row of its own."""
+    return "\nUNION ALL ".join(f"SELECT series_id, '{section}' AS section, CAST({item} AS VARCHAR) AS item, '{m}' AS measure, round(CAST({m} AS DOUBLE), 6) AS value FROM {table}" for m in measures)
+
+
+_REPORT = _FULL + f""",
+rp AS (SELECT series_id, ts, net AS ret, equity, state_id AS regime, {_CONF} AS conf, weight <> coalesce(lag(weight) OVER ({S}), 0.0) AS rb FROM se),
+rw AS (SELECT *, equity / max(equity) OVER {sql_running()} - 1 AS fall, CASE WHEN count(*) OVER {frame(5)} = 5 THEN product(1 + ret) OVER {frame(5)} - 1 END AS w5, CASE WHEN count(*) OVER {frame(21)} = 21 THEN product(1 + ret) OVER {frame(21)} - 1 END AS w21,
+  sum(CASE WHEN rb THEN 1 ELSE 0 END) OVER {sql_running()} AS sg, lead(ts) OVER ({S}) IS NULL AS final, sum(CASE WHEN ret < 0 THEN 0 ELSE 1 END) OVER {sql_running()} AS li FROM rp),
+rf AS (SELECT *, sum(CASE WHEN fall < 0 THEN 0 ELSE 1 END) OVER {sql_running()} AS fi FROM rw),
+ru AS (SELECT series_id, max(n) AS n FROM (SELECT series_id, fi, count(*) FILTER (fall < 0) AS n FROM rf GROUP BY 1, 2) GROUP BY 1),
+rl AS (SELECT series_id, max(n) AS n FROM (SELECT series_id, li, count(*) FILTER (ret < 0) AS n FROM rf GROUP BY 1, 2) GROUP BY 1),
+rs AS (SELECT series_id, sg, count(*) AS bars, product(1 + ret) - 1 AS ret FROM rf WHERE sg > 0 AND NOT final GROUP BY 1, 2),
+rt AS (SELECT series_id, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, coalesce(avg(CASE WHEN ret > 0 THEN ret END), 0) AS avg_win, coalesce(avg(CASE WHEN ret < 0 THEN ret END), 0) AS avg_loss, coalesce(sum(CASE WHEN ret > 0 THEN ret END), 0) AS won, coalesce(sum(CASE WHEN ret < 0 THEN -ret END), 0) AS lost, avg(bars) AS avg_bars FROM rs GROUP BY 1),
+ra AS (SELECT series_id, arg_max(equity, ts) / {CAPITAL} - 1 AS total_return, pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0 / count(*)) - 1 AS cagr, {SHARPE} AS sharpe, {SORTINO} AS sortino, min(fall) AS max_drawdown, sum(CASE WHEN rb THEN 1 ELSE 0 END) AS total_trades, min(ret) AS worst_bar, min(w5) AS worst_5, min(w21) AS worst_21 FROM rf GROUP BY 1),
+report AS (SELECT ra.*, CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) ELSE 0 END AS calmar, ru.n AS drawdown_duration, rl.n AS loss_streak, win_rate, avg_win, avg_loss, avg_bars, CASE WHEN lost > 0 THEN won / lost WHEN won > 0 THEN 'inf'::DOUBLE ELSE 0 END AS profit_factor FROM ra JOIN ru USING (series_id) JOIN rl USING (series_id) JOIN rt USING (series_id)),
+byregime AS (SELECT series_id, regime, count(*) AS bars, count(*) / sum(count(*)) OVER (PARTITION BY series_id) AS share, product(1 + ret) - 1 AS total_return, avg(ret) AS mean_return, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, {SHARPE} AS sharpe FROM rp GROUP BY 1, 2),
+buckets(bucket, lo, hi) AS (VALUES ('<50%', 0.0, 0.5), ('50-60%', 0.5, 0.6), ('60-70%', 0.6, 0.7), ('70%+', 0.7, 1.0001)),
+rb AS (SELECT s.series_id, b.bucket, count(rp.ret) AS bars, coalesce(product(1 + rp.ret) - 1, 0) AS total_return, coalesce({SHARPE.replace("ret", "rp.ret")}, 0) AS sharpe FROM (SELECT DISTINCT series_id FROM rp) s CROSS JOIN buckets b LEFT JOIN rp ON rp.series_id = s.series_id AND conf >= lo AND conf < hi GROUP BY 1, 2),
+beside AS (SELECT CASE strategy WHEN 'trend' THEN 'sma_trend' ELSE strategy END AS strategy, series_id, total_return, cagr, sharpe, max_drawdown FROM summary UNION ALL SELECT 'random', series_id, avg(tr), NULL, avg(sh), NULL FROM each GROUP BY 2)"""
+
+
+@query(
+    "g16_full_report",
+    with_(_REPORT, "\nUNION ALL ".join([_long("total", "'all'", "report", reports.TOTALS), _long("regime", "regime", "byregime", reports.REGIME), _long("confidence", "bucket", "rb", reports.CONFIDENCE), _long("benchmark", "strategy", "beside", reports.BENCHMARK)])),
+)
+def g16_full(spark, sf):
+    drawn = dec.random_allocation(dec.random_paths(damped(spark, sf), 100, F.expr(dq._DRAW), capital=CAPITAL), CAPITAL)
+    beside = dec.benchmark_rows({"buy_hold": curve(spark, sf), "sma_trend": rq.trend_path(spark, sf)}, drawn)
+    return six(reports.report_lines(reports.full_report(reported(spark, sf), CAPITAL, benchmarks=beside)), "value")
+
+
 # --- alerts, versions, drift, ledger ----------------------------------------
 
 
