@@ -1,10 +1,13 @@
 """Structured Streaming versions of the stateful operators.
 
 ``stream_bars`` bounds its state by a watermark; rows later than that are dropped
-and counted by Spark. The other jobs keep a small state for each key for as long
-as the query runs (a last time, a running position, a trimmed buffer): they need
-a key's rows in time order, sort those of one micro-batch, and take its rows of a
-key as one frame, so a trigger's size must be limited at the source.
+and counted by Spark. ``stream_rate_limit``, ``stream_ledger`` and ``stream_breaker``
+do so too if they are given a lateness: rows then wait for the watermark and are
+applied in the order of their times, and state that no row can need is dropped.
+Without one, rows come out at once: these and the other jobs keep a small state for
+each key for as long as the query runs (a last time, a running position, a trimmed
+buffer), need a key's rows in time order and sort those of one micro-batch. All take
+its rows of a key as one frame, so a trigger's size must be limited at the source.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators.risk import HALTED, NORMAL, REDUCED
 from barloom.sources.bars import WIDTHS, with_mid_and_spread
+from barloom.streaming.ordered import fold_in_order
 
 
 def stream_bars(ticks: DataFrame, width: str = "1m", lateness: str = "10 minutes") -> DataFrame:
@@ -32,30 +36,48 @@ def stream_spread_filter(quotes: DataFrame, most: float = 0.005) -> DataFrame:
     return with_mid_and_spread(quotes).where(F.col("spread_pct") <= most)
 
 
-def stream_rate_limit(alerts: DataFrame, minutes: float = 15.0) -> DataFrame:
-    """Alerts that pass: none of their key passed within the last minutes."""
+def stream_rate_limit(alerts: DataFrame, minutes: float = 15.0, lateness: str | None = None) -> DataFrame:
+    """Alerts that pass: none of their key passed within the last minutes.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "alert_id"])
+    With a ``lateness`` alerts wait for the watermark and pass in the order of their
+    times; a key's state goes once its last alert can hold back no other.
+    """
+
+    def apply(last: int | None, us: list[int]) -> tuple[int | None, list[int]]:
         kept = []
-        for i, t in enumerate(rows["ts"]):
-            if last is None or (t - last).total_seconds() >= minutes * 60:
+        for i, t in enumerate(us):
+            if last is None or t - last >= minutes * 60_000_000:
                 kept.append(i)
                 last = t
+        return last, kept
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "alert_id"])
+        last, kept = apply(state.get[0] if state.exists else None, rows["ts"].astype("datetime64[us]").astype("int64").tolist())
         if last is not None:
-            state.update((int(last.value // 1000),))
+            state.update((int(last),))
         yield rows.iloc[kept]
 
-    return alerts.select("event_key", "ts", "alert_id").groupBy("event_key").applyInPandasWithState(step, "event_key string, ts timestamp, alert_id long", "last_us long", "append", GroupStateTimeout.NoTimeout)
+    def ordered(carried: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+        last, kept = apply(carried[0] if carried else None, rows["us"].tolist())
+        return (int(last),), rows.iloc[kept][["us", "alert_id"]]
 
+    shaped = alerts.select("event_key", "ts", "alert_id")
+    if lateness is not None:
+        passed = fold_in_order(shaped, ("event_key",), ordered, "passed_us long", "us long, alert_id long", ("alert_id",), lateness, minutes * 60)
+        return passed.select("event_key", F.timestamp_micros("us").alias("ts"), "alert_id")
+    return shaped.groupBy("event_key").applyInPandasWithState(step, "event_key string, ts timestamp, alert_id long", "last_us long", "append", GroupStateTimeout.NoTimeout)
 
-def stream_ledger(fills: DataFrame) -> DataFrame:
-    """Average-cost positions of a fill stream: quantity, price and realised result."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, avg = state.get if state.exists else (0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "fill_id"]).reset_index(drop=True)
+def stream_ledger(fills: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Average-cost positions of a fill stream: quantity, price and realised result.
+
+    With a ``lateness`` fills wait for the watermark and are booked in the order of
+    their times; only open positions have state.
+    """
+    names = ["held", "avg_price", "realized"]
+
+    def apply(held: float, avg: float, rows: pd.DataFrame) -> tuple[tuple[float, float], pd.DataFrame]:
         out = []
         for side, qty, price in zip(rows["side"], rows["qty"], rows["price"], strict=True):
             made = 0.0
@@ -69,40 +91,68 @@ def stream_ledger(fills: DataFrame) -> DataFrame:
                 if held <= 1e-9:
                     held, avg = 0.0, 0.0
             out.append((held, avg, made))
-        state.update((float(held), float(avg)))
-        yield rows[["series_id", "fill_id"]].assign(**pd.DataFrame(out, columns=["held", "avg_price", "realized"], dtype=float))
+        return (float(held), float(avg)), pd.DataFrame(out, columns=names, dtype=float)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "fill_id"]).reset_index(drop=True)
+        after, out = apply(*(state.get if state.exists else (0.0, 0.0)), rows)
+        state.update(after)
+        yield rows[["series_id", "fill_id"]].assign(**out)
+
+    def ordered(carried: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+        after, out = apply(*(carried or (0.0, 0.0)), rows)
+        return after if after[0] > 0 else None, rows[["fill_id"]].assign(**out)
 
-    return fills.groupBy("series_id").applyInPandasWithState(step, "series_id string, fill_id string, held double, avg_price double, realized double", "held double, avg_price double", "append", GroupStateTimeout.NoTimeout)
+    booked = "fill_id string, held double, avg_price double, realized double"
+    if lateness is not None:
+        shaped = fills.select("series_id", "ts", "fill_id", "side", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+        return fold_in_order(shaped, ("series_id",), ordered, "held double, avg_price double", booked, ("fill_id",), lateness)
+    return fills.groupBy("series_id").applyInPandasWithState(step, f"series_id string, {booked}", "held double, avg_price double", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_breaker(equity: DataFrame) -> DataFrame:
+def stream_breaker(equity: DataFrame, lateness: str | None = None, idle_seconds: float | None = None) -> DataFrame:
     """Latched posture of each bar of an equity stream (series_id, ts, ret, equity).
 
     The day's and the ISO week's latch start anew before the first bar of a day
-    or week is applied; the peak's latch stays.
+    or week is applied; the peak's latch stays. With a ``lateness`` bars wait for
+    the watermark and are applied in the order of their times; state of a series
+    then goes ``idle_seconds`` of event time after its last bar, if that is given.
     """
     level = lambda x, reduce, halt: HALTED if x <= -halt else REDUCED if x <= -reduce else NORMAL
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, week, daily, weekly, day_latch, week_latch, peak, peak_latch = state.get if state.exists else (0, 0, 1.0, 1.0, NORMAL, NORMAL, float("-inf"), NORMAL)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+    def apply(carried: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[int]]:
+        day, week, daily, weekly, day_latch, week_latch, peak, peak_latch = carried or (0, 0, 1.0, 1.0, NORMAL, NORMAL, float("-inf"), NORMAL)
         severity = []
-        for ts, ret, now in zip(rows["ts"], rows["ret"], rows["equity"], strict=True):
-            iso = ts.isocalendar()
-            if (today := ts.toordinal()) != day:
+        for today, this, ret, now in zip(rows["day"], rows["week"], rows["ret"], rows["equity"], strict=True):
+            if today != day:
                 day, daily, day_latch = today, 1.0, NORMAL
-            if (this := iso[0] * 100 + iso[1]) != week:
+            if this != week:
                 week, weekly, week_latch = this, 1.0, NORMAL
             daily, weekly, peak = daily * (1 + ret), weekly * (1 + ret), max(peak, now)
             day_latch = max(day_latch, level(daily - 1, 0.02, 0.03))
             week_latch = max(week_latch, level(weekly - 1, 0.05, 0.07))
             peak_latch = max(peak_latch, HALTED if (peak - now) / peak >= 0.10 else NORMAL)
             severity.append(max(day_latch, week_latch, peak_latch))
-        state.update((int(day), int(week), float(daily), float(weekly), int(day_latch), int(week_latch), float(peak), int(peak_latch)))
+        return (int(day), int(week), float(daily), float(weekly), int(day_latch), int(week_latch), float(peak), int(peak_latch)), severity
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        after, severity = apply(state.get if state.exists else None, rows)
+        state.update(after)
         yield rows[["series_id", "ts"]].assign(severity=pd.Series(severity, index=rows.index, dtype="int32"))
 
+    def ordered(carried: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+        after, severity = apply(carried, rows)
+        return after, rows[["us"]].assign(severity=pd.Series(severity, index=rows.index, dtype="int32"))
+
     held = "day long, week long, daily double, weekly double, day_latch int, week_latch int, peak double, peak_latch int"
-    return equity.select("series_id", "ts", "ret", "equity").groupBy("series_id").applyInPandasWithState(step, "series_id string, ts timestamp, severity int", held, "append", GroupStateTimeout.NoTimeout)
+    date = F.col("ts").cast("date")
+    week = F.extract(F.lit("YEAROFWEEK"), date).cast("long") * 100 + F.weekofyear(date)
+    shaped = equity.select("series_id", "ts", "ret", "equity", F.unix_date(date).cast("long").alias("day"), week.alias("week"))
+    if lateness is not None:
+        latched = fold_in_order(shaped, ("series_id",), ordered, held, "us long, severity int", (), lateness, idle_seconds)
+        return latched.select("series_id", F.timestamp_micros("us").alias("ts"), "severity")
+    return shaped.groupBy("series_id").applyInPandasWithState(step, "series_id string, ts timestamp, severity int", held, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_rolling_mean(bars: DataFrame, rows: int = 764, column: str = "close") -> DataFrame:
