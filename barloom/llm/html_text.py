@@ -11,7 +11,14 @@ Evidence is graded: length, links, sentences, headings, paragraphs, elements
 and words of class, id and role each add or take some hundredths of a nat, as
 much as a few edges are worth. A class name speaks against a block in full only
 when all its words do ("cookie-notice"), else in part ("popular-science"), and
-what stands around the block can outvote it.
+what stands around the block can outvote it. A short text that asks to accept
+cookies or states copyright speaks against itself outside a main element.
+
+What all of a page has in common tells nothing apart. So where the cut leaves no
+block but headings, costs are taken once more: no block is held for boilerplate
+beforehand, and forms and elements with a loose name ("modal-body", "popular")
+say nothing if they hold a paragraph and at least half of the prose. Navigation,
+footers, comments, adverts, cookie notices and links stay what they are.
 
 White space inside a block becomes one space, blocks are joined by a newline in
 page order, character references are decoded. Nothing else is dropped or cut.
@@ -51,10 +58,16 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of class, id and role that speak for boilerplate, for content, and for neither.
 SIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "promotion", "banner", "sidebar", "widget", "widgets", "related", "recommended", "trending", "popular", "comment", "comments", "respond", "replies", "disqus", "discussion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "copyright", "masthead", "topbar", "toolbar", "search", "complementary", "contentinfo", "alertdialog", "skip"}
 MAIN_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
+#: Those of them that may stand around a whole article.
+LOOSE_WORDS = {"alert", "banner", "discussion", "modal", "notice", "notices", "notification", "overlay", "popular", "popup", "promo", "promoted", "promotion", "recommended", "related", "search", "sidebar", "toolbar", "topbar", "trending", "widget", "widgets"}
+#: What notices say, in a few languages. Fixed values.
+NOTICE = re.compile(r"\bcookies?\b.*\b(?:accept|accepter|acceptez|aceptar|aceptas|akzeptieren|agree|allow|consent|einverstanden|zustimmen)\b|©|\ball rights reserved\b|\balle rechte vorbehalten\b|\btous droits réservés\b|\btodos los derechos reservados\b", re.IGNORECASE | re.DOTALL)
 PLAIN_WORDS = MAIN_WORDS | {"area", "bar", "block", "bottom", "box", "col", "column", "container", "form", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "module", "outer", "page", "panel", "posts", "primary", "right", "row", "secondary", "section", "site", "stories", "top", "wrap", "wrapper"}
 #: Classifier weights, in hundredths of a nat. A step in the tree of elements counts once.
 BASE, MAIN, NAMED, SIDE, PARTLY_SIDE, HIDDEN, MOST_SIDE = -100, 260, 80, -420, -120, -700, -900
-HEADING, PARAGRAPH, SENTENCE, PER_100_CHARS, MOST_CHARS, LINKED = 80, 80, 40, 60, 240, -260
+HEADING, PARAGRAPH, SENTENCE, PER_100_CHARS, MOST_CHARS, LINKED, SAYS_NOTICE = 80, 80, 40, 60, 240, -260, -240
+#: Characters of a paragraph, and the most of a notice.
+PROSE, SHORT = 100, 300
 #: Smoothness: between neighbours (a quarter for each step beyond siblings' two), and between children of one parent.
 NEXT, SIBLING = 80, 60
 
@@ -62,16 +75,16 @@ NEXT, SIBLING = 80, 60
 class _Node:
     """An open element: what it and the elements around it say about its blocks."""
 
-    __slots__ = ("tag", "main", "side", "named", "closed", "linked", "number", "up", "depth")
+    __slots__ = ("tag", "main", "side", "named", "closed", "linked", "loose", "number", "up", "depth")
 
-    def __init__(self, tag, parent, attributes, number):
-        self.tag, self.number, self.up = tag, number, parent
+    def __init__(self, tag, parent, attributes, number, spared=frozenset()):
+        self.tag, self.number, self.up, self.loose = tag, number, parent, False
         if parent is None:
             self.main, self.side, self.named, self.closed, self.linked, self.depth = False, 0, False, False, False, 0
             return
         self.main, self.side, self.named, self.closed, self.linked, self.depth = parent.main, parent.side, parent.named, parent.closed, parent.linked or tag == "a", parent.depth + 1
         full = tag in SIDE_TAGS or tag == "header" and not self.main
-        main, partly = tag in MAIN_TAGS, False
+        main, partly, firm = tag in MAIN_TAGS, False, full and tag != "form"
         if attributes and not attributes.isspace():
             for name, value in NAMES.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
@@ -83,10 +96,14 @@ class _Node:
                         against = words & SIDE_WORDS or "header" in words and not self.main
                         full = full or bool(against) and words <= SIDE_WORDS | PLAIN_WORDS | {"header"}
                         partly = partly or bool(against)
+                        firm = firm or bool(against) and not (words & SIDE_WORDS and words & SIDE_WORDS <= LOOSE_WORDS)
                         self.named = self.named or bool(words & MAIN_WORDS)
                     main = main or name == "role" and value.lower() in ("main", "article")
         if main and not self.closed:  # what a page-wide form or a class said around it no longer counts
             self.main, self.side = True, max(self.side, 0)
+        self.loose = (full or partly) and not firm
+        if number in spared:
+            return
         if full:
             self.side += SIDE
             self.main = self.named = False
@@ -107,8 +124,16 @@ def steps_between(a: _Node, b: _Node) -> int:
     return n
 
 
-def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
-    """(text, score in hundredths, element) of each block in page order."""
+def block_element(node: _Node) -> _Node:
+    """The element that makes a block of what stands in ``node``."""
+    while node.up and node.tag not in BLOCK:
+        node = node.up
+    return node
+
+
+def blocks_of(page: str, base: int = BASE, spared: frozenset[int] = frozenset()) -> list[tuple[str, int, _Node]]:
+    """(text, score in hundredths, element) of each block in page order. Elements whose
+    number is ``spared`` say nothing against their blocks."""
     found: list[tuple[str, int, _Node]] = []
     stack = [_Node("", None, "", 0)]
     pieces: list[str] = []
@@ -135,14 +160,14 @@ def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
 
     def score(text: str) -> int:
         n = len(text)
-        out = BASE + (MAIN if owner.main else 0) + (NAMED if owner.named else 0) + max(owner.side, MOST_SIDE)
+        out = base + (MAIN if owner.main else 0) + (NAMED if owner.named else 0) + max(owner.side, MOST_SIDE)
         out += min(MOST_CHARS, n * PER_100_CHARS // 100) + LINKED * min(n, linked) // n
         if text[-1] in ".!?…。！？":
             out += SENTENCE
-        up = owner
-        while up.up and up.tag not in BLOCK:
-            up = up.up
-        return out + (HEADING if up.tag in HEADINGS else PARAGRAPH if up.tag in ("p", "blockquote", "pre") else 0)
+        if not owner.main and n <= SHORT and NOTICE.search(text):
+            out += SAYS_NOTICE
+        tag = block_element(owner).tag
+        return out + (HEADING if tag in HEADINGS else PARAGRAPH if tag in ("p", "blockquote", "pre") else 0)
 
     at, n = 0, len(page)
     while at < n:
@@ -195,7 +220,7 @@ def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
                 break
         if not attributes.endswith("/"):
             numbered += 1
-            stack.append(_Node(name, stack[-1], attributes, numbered))
+            stack.append(_Node(name, stack[-1], attributes, numbered, spared))
     flush()
     if not numbered:  # no tag opened: plain text
         found = [(text, max(1, value), node) for text, value, node in found]
@@ -292,9 +317,38 @@ def edges_of(blocks: list[tuple[str, int, _Node]]) -> list[tuple[int, int, int]]
     return edges
 
 
+def holders(blocks: list[tuple[str, int, _Node]]) -> frozenset[int]:
+    """Numbers of the loosely named elements that hold a paragraph and at least half
+    of the prose: of the characters outside links and firm boilerplate."""
+    inside: dict[int, int] = {}
+    longest: dict[int, int] = {}
+    every = 0
+    for text, _, node in blocks:
+        if node.linked:
+            continue
+        above, against = [], 0
+        while node.up:
+            if node.loose:
+                above.append(node.number)
+            elif node.side < node.up.side:
+                against += 1
+            node = node.up
+        if against:
+            continue
+        every += len(text)
+        for k in above:
+            inside[k] = inside.get(k, 0) + len(text)
+            longest[k] = max(longest.get(k, 0), len(text))
+    return frozenset(k for k, n in inside.items() if 2 * n >= every and longest[k] >= PROSE)
+
+
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+    page = page or ""
+    blocks = blocks_of(page)
     keep = min_cut([s for _, s, _ in blocks], edges_of(blocks))
+    if blocks and not any(k and block_element(node).tag not in HEADINGS for (_, _, node), k in zip(blocks, keep, strict=True)):
+        blocks = blocks_of(page, 0, holders(blocks))
+        keep = min_cut([s for _, s, _ in blocks], edges_of(blocks))
     return "\n".join(text for (text, _, _), k in zip(blocks, keep, strict=True) if k)
 
 

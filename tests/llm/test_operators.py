@@ -173,6 +173,43 @@ def test_html_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+PROSE = "<p>" + "A long paragraph of an article, with a sentence that goes on for a while and ends here. " * 3 + "</p>"
+ARTICLE, NAV, FOOT = "<h1>A heading</h1>" + PROSE + PROSE, "<nav><a href=/>Home</a></nav>", "<footer>(c) 2020</footer>"
+
+
+@pytest.mark.parametrize("name", ["page popular", "widget-container", "modal-body", "search-result", "content alert", "story related", "sidebar", "popup"])
+def test_html_wrappers_keep_their_article(name):
+    """What a page's whole text has in common tells nothing; beside an article it does."""
+    want = html_text.main_text(f"<body>{NAV}<article>{ARTICLE}</article>{FOOT}</body>")
+    assert want.count("\n") == 2
+    assert html_text.main_text(f"<body>{NAV}<div class='{name}'>{ARTICLE}</div>{FOOT}</body>") == want
+    assert html_text.main_text(f"<body><form class='{name}'>{NAV}<div class='{name}'>{ARTICLE}</div>{FOOT}</form></body>") == want
+    if name in ("widget-container", "modal-body", "sidebar", "popup"):
+        assert html_text.main_text(f"<body><article>{ARTICLE}</article><div class='{name}'>{PROSE}{PROSE}{PROSE}</div></body>") == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>a &lt; b</p>", "a < b"),
+        ("<pre>x = 1</pre>", "x = 1"),
+        ("<table><tr><td>a</td><td>b</td></tr></table>", "a b"),
+        ("<div>This is a sentence with some seventy-six characters that stands in a div.</div>", "This is a sentence with some seventy-six characters that stands in a div."),
+        (f"<body><form>{NAV}{PROSE}{FOOT}</form></body>", html_text.main_text(PROSE)),
+        ("".join(f"<div>{PROSE}<a>Home</a></div>" for _ in range(50)), "\n".join([html_text.main_text(PROSE)] * 50)),
+        ("<div>Wir verwenden Cookies. Akzeptieren</div>" + ARTICLE, html_text.main_text(ARTICLE)),
+        # nothing but boilerplate stays empty
+        ("<div class='cookie-notice'>We use cookies on this site.</div>", ""),
+        ("<div class='comments'><p>" + "I like it. " * 30 + "</p></div>", ""),
+        (f"{NAV}<nav><p>{'x y ' * 60}</p></nav>{FOOT}", ""),
+        ("<form><p>Search here</p></form>", ""),
+        (f"<div style='display:none'>{PROSE}</div>", ""),
+    ],
+)
+def test_html_pages_without_other_text(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_clashing_columns(spark):
     df = spark.createDataFrame([(1, "old", "<p>New text.</p>", "k"), (1, "old", None, None)], "page_id long, text string, html string, _x string")
     assert sorted((r.text, r._x) for r in html_text.extract_pages(df).collect()) == [("", None), ("New text.", "k")]
