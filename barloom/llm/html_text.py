@@ -12,7 +12,7 @@ and words of class, id and role each add or take some hundredths of a nat, as
 much as a few edges are worth. A class name speaks against a block in full only
 when all its words do ("cookie-notice"), else in part ("popular-science"), and
 what stands around the block can outvote it. A short text that asks to accept
-cookies or states copyright speaks against itself outside a main element.
+cookies speaks against itself outside a main element.
 
 What all of a page has in common tells nothing apart. So where the cut leaves no
 block but headings, costs are taken once more: no block is held for boilerplate
@@ -60,8 +60,8 @@ SIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
 MAIN_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
 #: Those of them that may stand around a whole article.
 LOOSE_WORDS = {"alert", "banner", "discussion", "modal", "notice", "notices", "notification", "overlay", "popular", "popup", "promo", "promoted", "promotion", "recommended", "related", "search", "sidebar", "toolbar", "topbar", "trending", "widget", "widgets"}
-#: What notices say, in a few languages. Fixed values.
-NOTICE = re.compile(r"\bcookies?\b.*\b(?:accept|accepter|acceptez|aceptar|aceptas|akzeptieren|agree|allow|consent|einverstanden|zustimmen)\b|©|\ball rights reserved\b|\balle rechte vorbehalten\b|\btous droits réservés\b|\btodos los derechos reservados\b", re.IGNORECASE | re.DOTALL)
+#: What cookie notices say, in a few languages. Fixed values.
+NOTICE = re.compile(r"\bcookies?\b.*\b(?:accept|accepter|acceptez|aceptar|aceptas|akzeptieren|agree|allow|consent|einverstanden|zustimmen)\b", re.IGNORECASE | re.DOTALL)
 PLAIN_WORDS = MAIN_WORDS | {"area", "bar", "block", "bottom", "box", "col", "column", "container", "form", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "module", "outer", "page", "panel", "posts", "primary", "right", "row", "secondary", "section", "site", "stories", "top", "wrap", "wrapper"}
 #: Classifier weights, in hundredths of a nat. A step in the tree of elements counts once.
 BASE, MAIN, NAMED, SIDE, PARTLY_SIDE, HIDDEN, MOST_SIDE = -100, 260, 80, -420, -120, -700, -900
