@@ -5,7 +5,10 @@ words from every multiple of ``step``, where ``step`` is the power of two from
 1.2 times the template's own words. So every run of ``step`` words lies whole in
 some block, and words far apart in a long line do not meet. A block matches a
 template when it holds at least ``threshold`` of the template's distinct words,
-whatever their order. The join is exact: words stand in one global order, rarest
+whatever their order. Some words tell variants of one license apart: numbers and
+words such as ShareAlike or Lesser. A block must hold all of these that the template
+has and none that it lacks, so that one version's notice is not taken for another's.
+A template of at most three words must stand in its order. The join is exact: words stand in one global order, rarest
 first, by the number of texts that hold them; a matching block must hold one of
 the template's first ``|T| - need + 1`` words (prefix filter), at least ``need``
 template words at all (length filter), and enough words after the first shared
@@ -60,6 +63,11 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 
+#: Words that tell the variants of a family of licenses apart, by a part of its labels.
+VARIANTS = {"cc-by": ("sa", "sharealike", "alike", "nc", "noncommercial", "nd", "noderivatives", "noderivs"), "gpl": ("lesser", "affero")}
+#: Templates of at most as many words must stand in their order.
+PHRASE = 3
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -84,6 +92,9 @@ class Template:
     words: tuple[str, ...]  # distinct
     step: int  # words between the beginnings of two blocks
     need: int
+    must: tuple[str, ...]  # words of it that a block may not lack
+    avoid: tuple[str, ...]  # words that a block may not hold
+    phrase: tuple[str, ...]  # the words in order, if that matters
 
 
 def templates_of(texts: dict[str, list[str]], threshold: float) -> list[Template]:
@@ -91,7 +102,10 @@ def templates_of(texts: dict[str, list[str]], threshold: float) -> list[Template
     for label, notices in texts.items():
         for notice in notices:
             words = re.findall(WORD, notice.translate(str.maketrans(UPPER, LOWER)))
-            out.append(Template(label, tuple(sorted(set(words))), 1 << math.ceil(math.log2(1.2 * len(words))), needed(len(set(words)), threshold)))
+            telling = {w for part, family in VARIANTS.items() if part in label for w in family}
+            must = {w for w in words if w in telling or w.isdigit()}
+            phrase = tuple(words) if len(words) <= PHRASE else ()
+            out.append(Template(label, tuple(sorted(set(words))), 1 << math.ceil(math.log2(1.2 * len(words))), needed(len(set(words)), threshold), tuple(sorted(must)), tuple(sorted(telling - must)), phrase))
     return out
 
 
@@ -118,7 +132,7 @@ def scan_documents(documents: DataFrame, base: dict[str, str] = BASE_PHRASES, te
     """
     spark = documents.sparkSession
     known = templates_of(templates, threshold)
-    vocabulary = sorted({w for t in known for w in t.words})
+    vocabulary = sorted({w for t in known for w in t.words + t.avoid})
     least = min(t.need for t in known)
     prefilter = "(?i)(?:" + "|".join(BETWEEN.join(p.split(" ")) for p in base) + ")"
     low = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", lowered(F.col("text")))
@@ -147,10 +161,10 @@ def scan_documents(documents: DataFrame, base: dict[str, str] = BASE_PHRASES, te
     index = []
     for t in known:
         ranked = sorted(t.words, key=rank.__getitem__)
-        index += [(w, t.label, i, len(ranked), t.need, t.step, ranked) for i, w in enumerate(ranked[: len(ranked) - t.need + 1])]
+        index += [(w, t.label, i, len(ranked), t.need, t.step, ranked, t.must, t.avoid, t.phrase) for i, w in enumerate(ranked[: len(ranked) - t.need + 1])]
     prefix = sorted({x[0] for x in index})
     widest = 2 * max(t.step for t in known)
-    prefixes = spark.createDataFrame(index, "word string, label string, at int, size int, need int, step int, template array<string>")
+    prefixes = spark.createDataFrame(index, "word string, label string, at int, size int, need int, step int, template array<string>, must array<string>, avoid array<string>, phrase array<string>")
     ranks = F.from_json(F.lit(json.dumps(rank)), "map<string,int>")
     # around each prefix word the template words that any block with it can hold
     near = F.filter(
@@ -163,8 +177,13 @@ def scan_documents(documents: DataFrame, base: dict[str, str] = BASE_PHRASES, te
     own = F.floor(F.col("i") / F.col("step")).cast("int")
     pairs = pairs.withColumn("block", F.explode(F.when(own > 0, F.array(own - 1, own)).otherwise(F.array(own))))
     begin = F.col("block") * F.col("step")
-    inside = F.array_distinct(F.transform(F.filter("around", lambda h: (h["i"] >= begin) & (h["i"] < begin + 2 * F.col("step"))), lambda h: h["w"]))
-    pairs = pairs.withColumn("held", inside).where(F.size("held") >= F.col("need"))
+    within = F.filter("around", lambda h: (h["i"] >= begin) & (h["i"] < begin + 2 * F.col("step")))
+    pairs = pairs.withColumn("within", within).withColumn("held", F.array_distinct(F.transform("within", lambda h: h["w"]))).where(F.size("held") >= F.col("need"))
+    telling = (F.size(F.array_intersect("held", "must")) == F.size("must")) & ~F.arrays_overlap("held", "avoid")
+    size = F.size("phrase")
+    runs = F.transform("within", lambda h, k: F.slice("within", k + 1, F.greatest(size, F.lit(1))))
+    in_order = F.exists(runs, lambda r: (F.transform(r, lambda h: h["w"]) == F.col("phrase")) & (F.get(r, size - 1)["i"] - F.get(r, F.lit(0))["i"] == size - 1))
+    pairs = pairs.where(telling & ((size == 0) | in_order))
     pairs = pairs.withColumn("held", F.transform(F.array_sort(F.transform("held", lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda x: x["w"]))
     pairs = pairs.withColumn("pos", F.array_position("held", F.col("word")).cast("int") - 1)
     pairs = pairs.where(F.lit(1) + F.least(F.size("held") - F.col("pos") - 1, F.col("size") - F.col("at") - 1) + F.least("pos", "at") >= F.col("need"))

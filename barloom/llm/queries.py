@@ -83,18 +83,23 @@ def _license_sql() -> str:
     """The license scan by plain comparison of every block with every template."""
     quoted = lambda x: "'" + str(x).replace("'", "''") + "'"
     known = licenses.templates_of(licenses.TEMPLATES, 0.8)
-    words = ", ".join(f"({n}, {quoted(t.label)}, {len(t.words)}, {t.need}, {t.step}, {quoted(w)})" for n, t in enumerate(known) for w in t.words)
+    words = ", ".join(f"({n}, {quoted(t.label)}, {len(t.words)}, {t.need}, {t.step}, {quoted(w)}, {w in t.must}, {w in t.avoid}, {len(t.must)})" for n, t in enumerate(known) for w in t.words + t.avoid)
     here = lambda phrase: " AND ".join(f"words[i + {k}] = {quoted(p)}" for k, p in enumerate(phrase.split(" "), 1))
+    phrases = " UNION ALL ".join(f"SELECT row, {n} AS n, {len(t.phrase)} AS k, {t.step} AS step, unnest(list_filter(range(0, len(words)), lambda i: {here(' '.join(t.phrase))})) AS i FROM w" for n, t in enumerate(known) if t.phrase)
+    ordered = ", ".join(str(n) for n, t in enumerate(known) if t.phrase)
     places = " UNION ALL ".join(f"SELECT row, {quoted(label)} AS label, unnest(list_filter(range(0, len(words)), lambda i: {here(phrase)})) AS i FROM w" for phrase, label in licenses.BASE_PHRASES.items())
     return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') AS low FROM documents),
 w AS (SELECT row, doc_id, regexp_extract_all(low, '{licenses.WORD}') AS words FROM d),
-t(n, label, size, need, step, word) AS (VALUES {words}),
+t(n, label, size, need, step, word, must, avoid, musts) AS (VALUES {words}),
 p AS ({places}),
 b AS (SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM p GROUP BY row),
 u AS (SELECT row, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM w),
-h AS (SELECT row, n, label, size, need, u.word, i // step AS own FROM u JOIN t ON u.word = t.word),
-k AS (SELECT row, n, label, size, need, word, own AS block FROM h UNION ALL SELECT row, n, label, size, need, word, own - 1 FROM h WHERE own > 0),
-c AS (SELECT row, label, count(DISTINCT word) / size AS held FROM k GROUP BY row, n, block, label, size, need HAVING count(DISTINCT word) >= need),
+h AS (SELECT row, n, label, size, need, must, avoid, musts, u.word, i // step AS own FROM u JOIN t ON u.word = t.word),
+k AS (SELECT * EXCLUDE (own), own AS block FROM h UNION ALL SELECT * EXCLUDE (own), own - 1 FROM h WHERE own > 0),
+f AS ({phrases}),
+o AS (SELECT row, n, block FROM (SELECT *, unnest([i // step, i // step - 1]) AS block FROM f) WHERE block >= 0 AND i + k <= (block + 2) * step),
+c AS (SELECT row, label, count(DISTINCT word) FILTER (NOT avoid) / size AS held FROM k WHERE n NOT IN ({ordered}) OR (row, n, block) IN (SELECT (row, n, block) FROM o) GROUP BY row, n, block, label, size, need, musts
+  HAVING count(DISTINCT word) FILTER (NOT avoid) >= need AND count(DISTINCT word) FILTER (must) = musts AND NOT bool_or(avoid)),
 m AS (SELECT row, max(held) AS held, list_distinct(list(label)) AS labels FROM c GROUP BY row)
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
 array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(m.held, 0)::DOUBLE END AS score

@@ -281,7 +281,10 @@ def brute_blocks(rows):
         words = re.findall(licenses.WORD, (text or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
         for t in licenses.templates_of(licenses.TEMPLATES, 0.8):
             for at in range(0, len(words), t.step):
-                if len(set(words[at : at + 2 * t.step]) & set(t.words)) >= t.need:
+                block = words[at : at + 2 * t.step]
+                there = set(block)
+                ordered = not t.phrase or any(tuple(block[i : i + len(t.phrase)]) == t.phrase for i in range(len(block)))
+                if len(there & set(t.words)) >= t.need and there >= set(t.must) and not there & set(t.avoid) and ordered:
                     want.add((doc_id, at, 2 * t.step, t.label))
     return want
 
@@ -292,6 +295,32 @@ def test_license_join_is_exact(spark, sf_dir):
     assert {(r.doc_id, r.word, r.width, r.label) for r in found} == want and want
 
 
+def test_license_variants_are_told_apart(spark):
+    """One version's notice is not another's, and short notices keep their order."""
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    cases = [
+        ("Licensed under CC BY 4.0.", "cc-by"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "gpl"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+        (gpl + ", either version 3 of the License, or (at your option) any later version.", "gpl,gpl-3.0"),
+        (gpl.replace("program", "library").replace("General", "Lesser General") + ".", "lgpl"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", ""),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+        ("all that we reserved were rights", ""),
+        ("x. All rights reserved by y", "all-rights-reserved"),
+        ("w " * 6 + "all rights reserved", "all-rights-reserved"),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], SCHEMA)
+    got = {r.doc_id: r for r in licenses.license_rows(rows).collect()}
+    assert [got[i].labels for i in range(len(cases))] == [want for _, want in cases]
+    assert got[10].score == 0 and got[6].score == 0
+    found = licenses.scan_documents(rows).selectExpr("doc_id", "inline(matches)").collect()
+    assert {(r.doc_id, r.word, r.width, r.label) for r in found} == brute_blocks([(i, t) for i, (t, _) in enumerate(cases)])
+
+
 def test_license_blocks_cross_lines(spark):
     grant = "Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated\n * documentation files, to deal in the Software\n * without restriction"
     rows = [(1, grant), (2, "all " + "w " * 300 + "rights " + "v " * 300 + "reserved"), (3, "x All rights\nreserved. y"), (4, None), (5, "q " * 50_000 + grant + " q" * 50_000), (6, grant.replace("free of charge", ""))]
