@@ -2,12 +2,15 @@
 
 import base64
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -368,6 +371,60 @@ def test_language(spark, tmp_path):
     assert np.allclose(whole, again) and (sizes == same).all()
 
 
+def plain_kneser_ney(texts):
+    """Entropy per symbol of a text under interpolated Kneser-Ney on plain dictionaries of tuples."""
+    cut = lambda t: " " + " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split()) + " "
+    top = language.ORDER
+    seen = [{} for _ in range(top)]
+    for text in map(cut, texts):
+        for end in range(1, len(text)) if text.strip() else ():
+            for o in range(min(top, end + 1)):
+                gram = text[end - o : end + 1]
+                seen[o][gram] = seen[o].get(gram, 0) + 1
+    used = [dict.fromkeys(g, 0) for g in seen]
+    used[-1] = dict(seen[-1])
+    for o in range(top - 1):
+        for gram in seen[o + 1]:
+            used[o][gram[1:]] += 1
+    once, twice = (sum(v == k for v in used[-1].values()) for k in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.75
+    total = sum(used[0].values())
+    unseen = d * sum(v > 0 for v in used[0].values()) / total / 5000
+
+    def chance(context, symbol):
+        if not context:
+            return max(used[0].get(symbol, 0) - d, 0) / total + unseen
+        lower = chance(context[1:], symbol)
+        follow = [v for g, v in used[len(context)].items() if g[:-1] == context and v > 0]
+        if not follow:
+            return lower
+        return max(used[len(context)].get(context + symbol, 0) - d, 0) / sum(follow) + d * len(follow) / sum(follow) * lower
+
+    def entropy(text):
+        text = cut(text)
+        return -sum(math.log(chance(text[max(0, i - top + 1) : i], text[i])) for i in range(1, len(text))) / max(1, len(text) - 1)
+
+    return entropy
+
+
+def test_language_equals_plain_kneser_ney(spark):
+    """The sorted arrays of hashes give what dictionaries of tuples give, for each language."""
+    draw = random.Random(4)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randint(1, 6)))
+    letters = {"xx": "abcdé", "yy": "cdefя"}
+    rows = [(i, " ".join(word(letters[x]) for _ in range(draw.randint(1, 12))), x) for i in range(60) for x in [draw.choice(["xx", "yy"])]]
+    rows += [(100, "", "xx"), (101, "12 !?", "yy"), (102, "a", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(5)) != 0).collect()  # the others calibrate
+    model = language.train_languages(docs)
+    tests = [r[1] for r in rows[:15]] + ["abc fed", "zzz q", "é", "Я-c, d", "a" * 40]
+    got, _ = model.entropies(tests)
+    assert model.languages == ["xx", "yy"]
+    for k, x in enumerate(model.languages):
+        entropy = plain_kneser_ney([r.text for r in learned if r.lang == x])
+        assert np.allclose(got[:, k], [entropy(t) for t in tests], rtol=1e-4), x
+
+
 def test_language_probabilities_sum_to_one():
     texts = ["the cat sat on the mat and the dog sat on the log " * 3]
     points, starts = language.symbols(texts)
