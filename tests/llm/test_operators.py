@@ -6,7 +6,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -699,3 +699,32 @@ def test_pipeline(spark, tmp_path):
     good = {r.doc_id for r in toxic.where("quality = 1").collect()}
     passed = {i for i, _ in deduped}
     assert len(good & passed) > 0.95 * len(good)
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    """Null, empty, repeated and extra: each stage keeps whole rows of its input, with the columns of documents."""
+    columns = list(corpus_pipeline.COLUMNS)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rejected string, quality_score string, row string"
+    copy = "one two three four five six seven eight nine ten eleven twelve"
+    odd = [(i, t, None, None, None, "x", "y", "z") for i, t in ODD] + [(20, copy, "en", "a", 1, "", "", ""), (21, copy, "en", None, 2, "", "", ""), (21, copy, "en", None, 2, "", "", "")]
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), *[F.lit("k").alias(c) for c in ("rejected", "quality_score", "row")])
+    odd_docs = spark.createDataFrame(odd, schema)
+    key = lambda rows: Counter(tuple(r[c] for c in columns) for r in rows)
+    for docs in (odd_docs, real.union(odd_docs)):
+        given = key(docs.collect())
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            rows = out.collect()
+            assert out.columns == columns and not key(rows) - given, name
+            texts = [r.text for r in rows]
+            if name == "language":
+                assert None not in texts and "" not in texts and " " not in texts  # nothing to recognise
+            if name == "near_duplicates":  # texts without words are linked with nothing, of copies the smallest id stays
+                assert texts.count(None) == 1 and texts.count("") == 1 and texts.count("a b c") == 1
+                assert [r.doc_id for r in rows if r.text == copy] == [20]
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+        assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(i for i, *_ in given.elements())
+        assert all(1 <= r.length <= 4096 for r in packed)
+    empty = odd_docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).collect() == [], name
