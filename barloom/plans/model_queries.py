@@ -221,7 +221,7 @@ def pooled_models(spark, sf) -> DataFrame:
     """Two and three states for all suppliers together; a gain of a hundredth of a
     thousandth a row ends a fit."""
     features = supplier_features(spark, sf)
-    return pooled.fit_pooled_models(features, ("ret", "vol"), ((2, 42), (3, 42)), gain=1e-5 * max(features.count(), 1))
+    return pooled.fit_pooled_models(features, ("ret", "vol"), ((2, 42), (3, 42)), gain=1e-5, row_gain=1e-5)
 
 
 @query("c1_pooled_models")
