@@ -8,6 +8,7 @@ them are compared value by value.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,9 +236,10 @@ def c7_pooled(spark, sf):
     """Each supplier's last state under the pooled model of least BIC, how likely its
     bars are and how sure the state is."""
     features = supplier_features(spark, sf)
-    best = reg.select_model(pooled_models(spark, sf).withColumn("model", F.lit("pooled")), 2, ("model",))
-    models = features.select("series_id").distinct().crossJoin(F.broadcast(best.select("startprob", "transmat", "means", "covars")))  # one row: a model
-    scored = reg.with_runs(reg.regime_proba(features, models, ("ret", "vol")))
+    best = reg.select_model(pooled_models(spark, sf).withColumn("model", F.lit("pooled")), 2, ("model",)).first()  # one row: a model
+    # too few rows for a fit: no model, no row
+    features, model = (features, reg.unpack(best)) if best else (features.limit(0), (np.ones(1), np.ones((1, 1)), np.zeros((1, 2)), np.eye(2)[None]))
+    scored = reg.with_runs(pooled.score_pooled(features, model, ("ret", "vol")))
     last = scored.groupBy("series_id").agg(F.count("*").alias("bars"), F.avg("log_likelihood").alias("mean_ll"), F.max_by(F.struct("state_id", "probability", "probabilities", "consecutive_bars"), "ts").alias("s"))
     last = last.select("series_id", "bars", "mean_ll", "s.state_id", "s.probability", "s.consecutive_bars", reg.posterior_entropy(F.col("s.probabilities")).alias("entropy"))
     return six(last, "mean_ll", "probability", "entropy")
