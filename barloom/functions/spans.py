@@ -11,7 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,3 +74,16 @@ def schema_of(df: DataFrame, columns: Sequence[str], **more: str) -> str:
     """The named columns of ``df`` and some others as a schema."""
     kinds = dict(df.dtypes)
     return ", ".join([*(f"`{c}` {kinds[c]}" for c in columns if c not in more), *(f"`{c}` {t}" for c, t in more.items())])
+
+
+def first_rows(batch: pa.RecordBatch, keys: Sequence[str], before: pa.RecordBatch | None) -> np.ndarray:
+    """Where a group of sorted rows begins: the keys differ from the row ahead, which
+    is ``before`` for the first (None: it begins). Nulls are equal, as are NaNs."""
+    differ = np.zeros(batch.num_rows, bool)
+    differ[0] = before is None
+    for key in keys:
+        own = batch.column(key)
+        both = own if before is None else pa.concat_arrays([before.column(key), own])
+        codes = pc.dictionary_encode(both, null_encoding="encode").indices.to_numpy()
+        differ[len(own) + 1 - len(both) :] |= codes[1:] != codes[:-1]
+    return differ

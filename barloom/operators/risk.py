@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.spans import DAYS, renewed, same_keys, spanned
+from barloom.functions.spans import DAYS, first_rows, renewed, same_keys, schema_of, spanned
 from barloom.functions.windows import SERIES, TS, ordered, running
 from barloom.operators.indicators import ordered_fold
 from barloom.operators.scans import spaced
@@ -400,26 +402,48 @@ def replay_allocation(signals: DataFrame, capital: float = 100_000.0, threshold:
 
 def fill_ledger(fills: DataFrame, keys: tuple[str, ...] = (SERIES,)) -> DataFrame:
     """Average-cost ledger: quantity, average price and realised result after each
-    fill. Sells close at most what is held; an emptied position starts afresh."""
+    fill. Sells close at most what is held; an emptied position starts afresh.
 
-    def fold(g: pd.DataFrame) -> dict[str, np.ndarray]:
-        held, avg, made = 0.0, 0.0, 0.0
-        out = np.empty((len(g), 3))
-        for i, (side, qty, price) in enumerate(zip(g["side"], g["qty"].to_numpy(float), g["price"].to_numpy(float), strict=True)):
-            made = 0.0
-            if side == "buy":
-                avg = (held * avg + qty * price) / (held + qty)
-                held += qty
-            elif held > 0:
-                closed = min(qty, held)
-                made = (price - avg) * closed
-                held -= closed
-                if held <= 1e-9:
+    Rows come sorted by series and time, and a task goes through them once: no
+    series is a group of its own, and a long one need not fit a worker.
+    """
+    made = ("held", "avg_price", "realized")
+    rows = fills.drop(*made)
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last(TS), F.asc_nulls_last("fill_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held, avg = None, 0.0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = first_rows(batch, keys, before).tolist()
+            before = batch.slice(batch.num_rows - 1)
+            buys = pc.fill_null(pc.equal(batch.column("side"), "buy"), False).to_pylist()
+            qty, price = (pc.cast(batch.column(c), pa.float64(), safe=False).to_numpy(zero_copy_only=False).tolist() for c in ("qty", "price"))
+            out = np.empty((3, batch.num_rows))
+            quantities, averages, results = [], [], []
+            for new, buy, q, p in zip(fresh, buys, qty, price, strict=True):
+                if new:
                     held, avg = 0.0, 0.0
-            out[i] = held, avg, made
-        return {"held": out[:, 0], "avg_price": out[:, 1], "realized": out[:, 2]}
-
-    return ordered_fold(fills, fold, dict.fromkeys(("held", "avg_price", "realized"), "double"), keys, (TS, "fill_id"))
+                result = 0.0
+                if buy:
+                    total = held + q
+                    paid = held * avg + q * p
+                    avg = paid / total if total else paid * np.inf
+                    held = total
+                elif held > 0:
+                    closed = min(q, held)
+                    result = (p - avg) * closed
+                    held -= closed
+                    if held <= 1e-9:
+                        held, avg = 0.0, 0.0
+                quantities.append(held)
+                averages.append(avg)
+                results.append(result)
+            out[:] = quantities, averages, results
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, from_pandas=True) for x in out]], names=[*batch.schema.names, *made])
+
+    return rows.mapInArrow(run, schema_of(rows, rows.columns, **dict.fromkeys(made, "double")))
 
 
 def realized_by_day(ledger: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Rules on rows that the given tables lack."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -174,3 +175,32 @@ def test_decision_log_is_appended(spark, tmp_path):
     assert log.count() == 31 and sorted(r.ts.minute for r in got if r.series_id == "a") == list(range(10, 30))
     assert [tuple(r)[2:] for r in got if r.series_id == "b"] == [("veto", None, None, 5.0, 1.0, 0.0)]
     assert {r.series_id for r in decisions.recent_decisions(log, since="2024-01-02").collect()} == {"b"}
+
+
+def test_a_ledger_goes_on_over_batches(spark):
+    """Series of one row and of many more than a batch, one without a name, ties in time."""
+    draw, rows, want = random.Random(5), [], {}
+    for name, count in (("a", 1), ("b", 700), (None, 300), ("c", 2), ("d", 1)):
+        held = avg = 0.0
+        for i in range(count):
+            side, qty, price = ("buy", "sell")[draw.random() < 0.45], float(draw.randint(1, 9)), draw.randint(1, 99) / 4
+            made = 0.0
+            if side == "buy":
+                held, avg = held + qty, (held * avg + qty * price) / (held + qty)
+            elif held > 0:
+                closed = min(qty, held)
+                made, held = (price - avg) * closed, held - closed
+                avg = avg if held > 1e-9 else 0.0
+            rows.append((name, dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 3), f"{i:05d}", side, qty, price))
+            want[name, f"{i:05d}"] = (held, avg, made)
+    draw.shuffle(rows)
+    frame = spark.createDataFrame(rows, "series_id string, ts timestamp, fill_id string, side string, qty double, price double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (size, "7", "1"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            ledger = risk.fill_ledger(frame)
+            assert "FlatMapGroupsInPandas" not in ledger._jdf.queryExecution().toString()  # no series is one group
+            assert {(r.series_id, r.fill_id): (r.held, r.avg_price, r.realized) for r in ledger.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
