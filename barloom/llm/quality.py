@@ -8,8 +8,8 @@ hinge-loss model is fitted by dual coordinate descent, and a logistic curve on
 held-back rows of the sample turns its margin into a score.
 
 The fit uses labelled rows in order of their id's hash, at most ``max_rows`` of
-them and ``max_bytes`` of their features: the documented bound, which holds on
-the driver whatever texts are like. Scoring covers every row and whole texts.
+them and ``max_bytes`` of their features: the documented bound, which holds in
+the task that fits whatever texts are like. Scoring covers every row and whole texts.
 
 Null and empty texts have only their length bin and get a score like any other.
 Rows with a null id, null label or null remainder are never learned from. With
@@ -170,10 +170,20 @@ def train_quality(documents: DataFrame, labels: DataFrame, learn: Column | None
     first = found.select("row", "doc_id", "label", F.xxhash64("found").alias("mark"), F.length("found").alias("size")).orderBy(*order).limit(max_rows)
     # a running total over max_rows numbers at most
     first = first.withColumn("total", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= max_bytes)
-    got = found.join(F.broadcast(first.select("row", "total")), "row").orderBy("total", "row").select("label", "found").toArrow()
-    # views of the Arrow buffers: the driver holds the sample's features once
-    rows = [np.frombuffer(x.as_buffer(), "<i4") for x in got["found"]]
-    return fit(rows, got["label"].to_pylist())
+    got = found.join(F.broadcast(first.select("row", "total")), "row").select("total", "row", "label", "found")
+
+    def train(batches):
+        kept = list(batches)
+        # views of the Arrow buffers: the task holds the sample's features once
+        made = fit([np.frombuffer(x.as_buffer(), "<i4") for b in kept for x in b.column("found")], [y for b in kept for y in b.column("label").to_pylist()])
+        yield pa.RecordBatch.from_pylist([{"ratio": made.ratio.tobytes(), "weight": made.weight.tobytes(), "numbers": [made.bias, made.slope, made.offset], "constant": made.constant}], schema=kinds)
+
+    # the sample is one task's: the driver gets the model alone
+    kinds = pa.schema([("ratio", pa.binary()), ("weight", pa.binary()), ("numbers", pa.list_(pa.float64())), ("constant", pa.float64())])
+    made = got.repartition(1).sortWithinPartitions("total", "row").mapInArrow(train, "ratio binary, weight binary, numbers array<double>, constant double").first()
+    if made is None:
+        return fit([], [])
+    return QualityModel(np.frombuffer(made["ratio"]), np.frombuffer(made["weight"]), *[float(v) for v in made["numbers"]], made["constant"])
 
 
 def score_quality(documents: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:

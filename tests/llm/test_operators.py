@@ -728,3 +728,18 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
     empty = odd_docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).collect() == [], name
+
+
+def test_quality_is_fitted_by_a_task(spark, monkeypatch):
+    """The sample's features do not reach the driver, and the model is the plain fit's."""
+    texts = [(i, f"word{i % 7} " * (1 + i % 5) + ("good prose here" if i % 3 else "buy now cheap")) for i in range(60)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in texts], "doc_id long, quality int")
+    places = {r.doc_id: r.place for r in labels.select("doc_id", F.xxhash64("doc_id").alias("place")).collect()}
+    plain = sorted(texts, key=lambda t: (places[t[0]], t[0]))
+    want = quality.fit([quality.indicators(t, np.zeros(quality.FEATURES, bool)) for _, t in plain], [int(i % 3 > 0) for i, _ in plain])
+    monkeypatch.setattr(type(documents), "toArrow", None)
+    got = quality.train_quality(documents, labels)
+    assert np.array_equal(got.ratio, want.ratio) and np.array_equal(got.weight, want.weight)
+    assert (got.bias, got.slope, got.offset, got.constant) == (want.bias, want.slope, want.offset, None)
+    assert quality.train_quality(documents, labels.where("quality = 1")).constant == 1.0
